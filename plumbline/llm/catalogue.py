@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing
 
-_QUERIES = {"op7_exact_dedup": exact_dedup}
+_QUERIES = {"op7_exact_dedup": exact_dedup, "op10_packing": packing}
 
 
 def queries() -> dict:

@@ -121,7 +121,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     groups = rows.groupBy("blocks", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.min_by(F.struct("row", "doc_id"), order).alias("stays")
     )
-    return rows.join(groups, ["blocks", "name"]).select(
+    # Written first, so that both sides of the join are plain exchanges and a hot group can be split at run time.
+    return rows.join(durable(groups), ["blocks", "name"]).select(
         "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"),
         "text_sha256", F.col("row"),
     )
