@@ -94,3 +94,28 @@ def shingles(word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
             part = np.where(length > k, part, np.uint64(0))
         value = mixed(value * np.uint64(0xE7037ED1A0B428DB) + part)
     return value, starts
+
+
+def runs(mask: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest runs of set bytes within rows, of `least` bytes or more: row, first byte and the byte after the last."""
+    n = len(mask)
+    if n < least:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    inner = starts[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < n)])
+    inner = inner[mask[inner] & mask[inner - 1]]  # rows that touch within a run
+    step = np.diff(mask.view(np.int8))
+    begin, end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    begin = np.concatenate([[0] if mask[0] else [], begin, inner]).astype(np.int64)
+    end = np.concatenate([end, [n] if mask[-1] else [], inner]).astype(np.int64)
+    begin.sort()
+    end.sort()
+    keep = end - begin >= least
+    begin, end = begin[keep], end[keep]
+    return np.searchsorted(starts, begin, "right") - 1, begin, end
+
+
+def points(data: np.ndarray, start: int, at: int) -> int:
+    """Code points between two bytes of UTF-8."""
+    return int(np.count_nonzero((data[start:at] & 0xC0) != 0x80))
