@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -38,7 +40,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _all_powers(n: int, base: int) -> np.ndarray:
     out = np.ones(n, dtype=np.uint64)
     size = 1
     while size < n:
@@ -48,16 +51,21 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(n: int, base: int) -> np.ndarray:
+    """The first n powers modulo 2**64; tables are kept, in sizes of powers of two."""
+    return _all_powers(1 << max(16, (n - 1).bit_length()), int(base))[:n]
+
+
+def words(data: np.ndarray, starts: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, the row's first word (one more entry than rows), and each word's first byte.
 
-    Words are runs of bytes other than white space, A to Z in lower case; equal words have equal hashes everywhere.
+    Words are runs of bytes other than spaces, A to Z in lower case; equal words have equal hashes everywhere.
     """
     n = len(data)
     if not n:
         zero = np.zeros(0, dtype=np.uint64)
         return zero, np.zeros(len(starts), dtype=np.int64), np.zeros(0, dtype=np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~is_space[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     first = starts[:-1][(starts[:-1] < n) & (np.diff(starts) > 0)]
