@@ -51,3 +51,15 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and nothing else, so that extra columns with clashing names cannot get in the way."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Ids that may be broadcast, 8 bytes each and as much again for their table.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not in `gone`: a broadcast where that is counted to be small, a shuffle beyond."""
+    gone = gone.select(F.col("doc_id").alias("_gone"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
