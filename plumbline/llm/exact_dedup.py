@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable
+from .common import SPACE, durable, without
 
 BLOCK_BYTES = 4096
 
@@ -130,16 +130,15 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with one row of each group of equal texts, in the columns of the input."""
-    stays = durable(exact_duplicates(docs, block_bytes).where("kept").select("doc_id", "text_sha256"))
-    key, sha = F.col("doc_id"), F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE}+", ""), 256)
-    one = docs.join(stays.select(key.alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return one
-    # Repeated doc_ids: the row that stays is told by its text too, and one of the rows that agree in both is taken.
-    text = F.struct(-F.length(F.coalesce(F.col("text"), F.lit(""))), F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    best = one.withColumn("_sha", sha).groupBy("doc_id", "_sha").agg(F.min(text).alias("_row"))
+    rows = durable(exact_duplicates(docs, block_bytes))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty() and rows.where("doc_id IS NULL").isEmpty():
+        return without(docs, rows.where("NOT kept"))
+    # Repeated or null doc_ids: the row that stays is told by its text too, and one of the rows that agree is taken.
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE}+", ""), 256)
+    order = F.struct(-F.length(F.coalesce(F.col("text"), F.lit(""))), F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    best = docs.withColumn("_sha", sha).groupBy("doc_id", "_sha").agg(F.min(order).alias("_row"))
+    kept = rows.where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_text"))
     agree = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_text"))
-    kept = stays.select(key.alias("_kept"), F.col("text_sha256").alias("_text"))
     return best.join(kept, agree, "left_semi").select("_row.col2.*")
 
 
