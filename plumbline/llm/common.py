@@ -45,7 +45,16 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again: compressed and column-prunable, for large intermediates."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table of which nothing is left to read."""
+    spark = table.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -57,9 +66,12 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast where it is counted to be small; beyond, joins with it shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in `gone`: a broadcast where that is counted to be small, a shuffle beyond."""
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    """The documents whose doc_id is not in `gone`."""
+    gone = small(gone.select(F.col("doc_id").alias("_gone")))
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -13,7 +13,8 @@ the others by their hash. Any common order gives the same links; this one keeps
 3. What is left are nodes of different components that share a shingle: exactly these pairs are compared too, so no
    link is lost that would join two components, and no pairs are made within a group that is joined already.
 
-Comparisons of a pivot run in a task that holds its candidates' ordered sets as a trie (sets sorted, common beginnings
+Before sets are sent, parity bits of both sets, a 64th of their size, give a lower bound of their difference; pairs that
+it rules out, which are nearly all unlinked ones, end there. Comparisons of a pivot run in a task that holds its candidates' ordered sets as a trie (sets sorted, common beginnings
 walked once): the overlap found on a shared path is kept, and a subtree is left when the overlap so far plus the shorter
 remaining length cannot reach the required overlap.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, without, written
+from .common import discard, durable, small, without, written
 from .flat import flat_bytes, mixed, shingles, words
 from .graph import components
 
@@ -195,7 +196,9 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     rare = made.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "token long, node long, n long")
     late = made.where("bucket < 0").select("tokens", "nodes", "sizes").mapInArrow(frequent_rows, "token long, node long, n long").distinct()
-    return written(rare.unionByName(late), "tokens")
+    tokens = written(rare.unionByName(late), "tokens")
+    discard(made)
+    return tokens
 
 
 def trie_links(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> list[int]:
@@ -229,8 +232,46 @@ def trie_links(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], percent
     return links
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A bit for each residue of the set's shingles, modulo a power of two not below its size: odd counts set it.
+
+    The bits in which two sets differ are no more than the shingles in which they differ, and a 64th of the set's bytes.
+    """
+    m = 1 << max(6, (len(values) - 1).bit_length())
+    count = np.bincount((values & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """Bits in which two parity strings differ, the longer one folded to the size of the other."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = len(a), len(b)
+    while n != m:
+        half = max(n, m) // 2
+        if n > m:
+            x, n = (x >> 8 * half) ^ (x & ((1 << 8 * half) - 1)), half
+        else:
+            y, m = (y >> 8 * half) ^ (y & ((1 << 8 * half) - 1)), half
+    return (x ^ y).bit_count()
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity bits leave room for a link: most unlinked pairs end here, without their sets."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, pn, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                keep.append(_differ(a, b) <= n + pn - 2 * -(-percent * (n + pn) // (100 + percent)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["pivot", "node", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    light = durable(sets.select("node", "bits").dropDuplicates(["node"]))
+    both = pairs.join(light, "node").join(light.select(F.col("node").alias("pivot"), F.col("bits").alias("pivot_bits")), "pivot")
+    return both.select("pivot", "node", "n", "pn", "bits", "pivot_bits").mapInArrow(judge, "pivot long, node long, n long")
+
+
 def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """The linked ones of pairs (pivot, node, n); a written table of a and b."""
+    """The linked ones of pairs (pivot, node, n and the pivot's pn); a written table of a and b."""
     nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
     wanted = table.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node").select("id").distinct()
 
@@ -239,16 +280,19 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
             rows = []
             for _, values in _sets(batch.column(2), width):
                 if len(values):
-                    rows.append((_key(values), _ordered(values, *frequent.value)[0].tobytes()))
+                    rows.append((_key(values), _ordered(values, *frequent.value)[0].tobytes(), parity(values)))
             for k in range(0, len(rows), 500):
-                some = list(zip(*rows[k : k + 500]))
-                yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.binary())], ["node", "tokens"])
+                some = zip(*rows[k : k + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, (pa.int64(), pa.binary(), pa.binary()))], ["node", "tokens", "bits"])
 
-    sets = written(_identified(docs).join(durable(wanted), "id", "left_semi").mapInArrow(ordered, "node long, tokens binary"), "sets", "none")
+    wanted = small(durable(wanted))
+    sets = written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(ordered, "node long, tokens binary, bits binary"), "sets", "none")
+    pairs = durable(_possible(pairs, sets, percent))
     size = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _TRIE_SETS, F.sum("n") / _TRIE_TOKENS)).alias("parts"))
     dealt = durable(pairs.join(size, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
-    members = dealt.join(sets, "node").select("pivot", "part", F.lit(1).alias("role"), "node", "tokens")
-    heads = dealt.select("pivot", "part").distinct().join(sets.withColumnRenamed("node", "pivot"), "pivot")
+    sets_only = sets.select("node", "tokens")
+    members = dealt.join(sets_only, "node").select("pivot", "part", F.lit(1).alias("role"), "node", "tokens")
+    heads = dealt.select("pivot", "part").distinct().join(sets_only.withColumnRenamed("node", "pivot"), "pivot")
     rows = members.unionByName(heads.select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("node"), "tokens"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +317,9 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else [[], []])], ["a", "b"])
 
     sorted_rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
-    return written(sorted_rows.mapInArrow(walk, "a long, b long"), "links")
+    links = written(sorted_rows.mapInArrow(walk, "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -286,7 +332,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # 2. Every node against the smallest set that shares a shingle with it.
     pivots = durable(tokens.groupBy("token").agg(F.min(F.struct("n", "node")).alias("p"), F.count(F.lit(1)).alias("many")).select("token", F.col("p.n").alias("pn"), F.col("p.node").alias("pivot"), "many"))
     near = F.expr(f"node <> pivot AND 100 * pn >= {percent} * n")
-    stars = durable(tokens.join(pivots, "token").where(near).select("pivot", "node", "n").distinct())
+    stars = durable(tokens.join(pivots, "token").where(near).select("pivot", "node", "n", "pn").distinct())
     links = _verified(docs, table, stars, frequent, width, percent)
     found = durable(components(links))
     # 3. Nodes of different components that share a shingle with neither of them its pivot.
@@ -302,7 +348,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     left = across.join(mine.select("token", "component", F.col("node").alias("pivot"), F.col("n").alias("pn")), ["token", "component"])
     right = mine.select("token", F.col("component").alias("other"), "node", "n")
     size = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    pairs = left.join(right, ["token", "other"]).where(size).select("pivot", "node", "n").distinct()
+    pairs = left.join(right, ["token", "other"]).where(size).select("pivot", "node", "n", "pn").distinct()
     done = stars.select("pivot", "node").unionByName(stars.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
     pairs = durable(pairs.join(done, ["pivot", "node"], "left_anti"))
     if not pairs.isEmpty():
