@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import index_queries, map_queries, sequence_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list = []
+_MODULES = (map_queries, sequence_queries, index_queries)
 
 
 def queries() -> dict[str, Query]:
