@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,13 @@ def discard(table: DataFrame) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and checkpoints that no plan needs any more: it does so for objects that the driver's
+    garbage collectors have found, which may else be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and nothing else, so that extra columns with clashing names cannot get in the way."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -67,7 +75,7 @@ BROADCAST_IDS = 500_000
 
 
 def small(ids: DataFrame) -> DataFrame:
-    """A table of ids, marked for broadcast where it is counted to be small; beyond, joins with it shuffle."""
+    """A table of a few numbers a row, marked for broadcast where it is counted to be small; beyond, joins shuffle it."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 

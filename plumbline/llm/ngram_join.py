@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, small, without, written
+from .common import discard, durable, release, small, without, written
 from .flat import flat_bytes, mixed, shingles, words
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
 #: Frequent shingles on the driver and in each task, at most: 16 bytes each. The limit rises until they are no more.
 FREQUENT, FREQUENT_FROM = 1_000_000, 64
-_ROWS, _LOCAL = 500, 4
+_ROWS, _PREFIX_ROWS, _LOCAL = 500, 2500, 4
 _BUCKET_TOKENS = 250_000
 #: A trie holds at most so many candidate sets, and shingles on average.
 _TRIE_SETS, _TRIE_TOKENS = 512, 2_000_000
@@ -80,12 +80,17 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
                 if node[-1] not in known:
                     known.add(node[-1])
                     every.append(values)
-            value, count = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = count >= _LOCAL
+            value = np.concatenate([*every, np.zeros(0, np.uint64)])
+            del every
+            value.sort()
+            # The first of equal values is frequent here if the one _LOCAL - 1 places on is equal too.
+            first = np.flatnonzero(value[_LOCAL - 1 :] == value[: max(0, len(value) - _LOCAL + 1)]) if len(value) >= _LOCAL else np.zeros(0, np.int64)
+            often = np.unique(value[first])
+            count = np.searchsorted(value, often, "right") - np.searchsorted(value, often, "left")
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([batch.column(0), pa.nulls(1, pa.int64())]), pa.concat_arrays([batch.column(1), pa.nulls(1, pa.int64())]), pa.array([*node, None], pa.int64()), pa.array([*size, None], pa.int64()),
-                 pa.array([*[None] * n, value[often].astype(np.int64)], pa.list_(pa.int64())), pa.array([*[None] * n, count[often]], pa.list_(pa.int64()))],
+                 pa.array([*[None] * n, often.astype(np.int64)], pa.list_(pa.int64())), pa.array([*[None] * n, count], pa.list_(pa.int64()))],
                 ["id", "doc_id", "node", "n", "often", "counts"],
             )
 
@@ -125,7 +130,7 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
     packed = "bucket int, tokens binary, nodes binary, sizes binary"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, _PREFIX_ROWS) for b in batches for k in range(0, b.num_rows, _PREFIX_ROWS)):
             tokens, nodes, sizes, late, known = [], [], [], [], set()
             for _, values in _sets(batch.column(2), width):
                 n = len(values)
@@ -198,6 +203,7 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
     late = made.where("bucket < 0").select("tokens", "nodes", "sizes").mapInArrow(frequent_rows, "token long, node long, n long").distinct()
     tokens = written(rare.unionByName(late), "tokens")
     discard(made)
+    release(spark)
     return tokens
 
 
@@ -290,10 +296,9 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
     pairs = durable(_possible(pairs, sets, percent))
     size = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _TRIE_SETS, F.sum("n") / _TRIE_TOKENS)).alias("parts"))
     dealt = durable(pairs.join(size, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
-    sets_only = sets.select("node", "tokens")
-    members = dealt.join(sets_only, "node").select("pivot", "part", F.lit(1).alias("role"), "node", "tokens")
-    heads = dealt.select("pivot", "part").distinct().join(sets_only.withColumnRenamed("node", "pivot"), "pivot")
-    rows = members.unionByName(heads.select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("node"), "tokens"))
+    heads = dealt.select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct()
+    places = durable(dealt.select("pivot", "part", F.lit(1).alias("role"), "node").unionByName(heads))
+    rows = sets.select("node", "tokens").join(small(places), "node").select("pivot", "part", "role", "node", "tokens")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivot, members = None, None, {}
@@ -319,6 +324,7 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
     sorted_rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
     links = written(sorted_rows.mapInArrow(walk, "a long, b long"), "links")
     discard(sets)
+    release(docs.sparkSession)
     return links
 
 
