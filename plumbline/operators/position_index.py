@@ -155,7 +155,8 @@ class PositionIndex:
         data = self.data.select(F.expr(f"pos div {e}L").alias("block"), "pos", F.col("key").alias("_k"))
         inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")) & (F.col("_k") < F.col("key"))
         below = blocks.join(data, "block").groupBy("_id").agg(F.count_if(inside).alias("_n"))
-        lower = F.when(F.col("past"), F.col("end_idx")).otherwise(F.col("lo") + F.coalesce("_n", F.lit(0)))
+        # Only keys at or below the very first have a segment that does not begin below them.
+        lower = F.when(F.col("key") <= F.col("min_key"), F.lit(0)).when(F.col("past"), F.col("end_idx")).otherwise(F.col("lo") + F.coalesce("_n", F.lit(0)))
         return near.join(below, "_id", "left").select(*probes.columns, F.coalesce(lower, F.lit(0)).alias("lower"))
 
     def segment_of(self, indices: DataFrame) -> DataFrame:
