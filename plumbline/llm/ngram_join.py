@@ -32,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, release, small, without, written
+from .common import batches_of, discard, durable, release, small, without, written
 from .flat import flat_bytes, mixed, shingles, words
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
 #: Frequent shingles on the driver and in each task, at most: 16 bytes each. The limit rises until they are no more.
 FREQUENT, FREQUENT_FROM = 1_000_000, 64
-_ROWS, _PREFIX_ROWS, _LOCAL = 500, 2500, 4
+_ROWS, _LOCAL = 500, 4
+#: Rows in an Arrow batch of texts or sets, and shingles counted at a time.
+_BATCH, _COUNTED = 2000, 4_000_000
 _BUCKET_TOKENS = 250_000
 #: A trie holds at most so many candidate sets, and shingles on average.
 _TRIE_SETS, _TRIE_TOKENS = 512, 2_000_000
@@ -69,32 +71,41 @@ def _key(values: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """A written table: id, doc_id, node and n per document, and per batch the shingles found in several of its texts."""
+    """A written table: id, doc_id, node and n per document, and rows of shingles found in several of some texts."""
+
+    names = ["id", "doc_id", "node", "n", "often", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        value = np.concatenate([*held, np.zeros(0, np.uint64)])
+        held.clear()
+        value.sort()
+        # The first of equal values is frequent here if the one _LOCAL - 1 places on is equal too.
+        ahead = value[_LOCAL - 1 :]
+        token = np.unique(ahead[ahead == value[: len(ahead)]])
+        count = np.searchsorted(value, token, "right") - np.searchsorted(value, token, "left")
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, token.astype(np.int64), count), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known, total = [], set(), 0
         for batch in batches:
-            node, size, every, known = [], [], [], set()
+            node, size = [], []
             for _, values in _sets(batch.column(2), width):
                 node.append(_key(values))
                 size.append(len(values))
                 if node[-1] not in known:
                     known.add(node[-1])
-                    every.append(values)
-            value = np.concatenate([*every, np.zeros(0, np.uint64)])
-            del every
-            value.sort()
-            # The first of equal values is frequent here if the one _LOCAL - 1 places on is equal too.
-            first = np.flatnonzero(value[_LOCAL - 1 :] == value[: max(0, len(value) - _LOCAL + 1)]) if len(value) >= _LOCAL else np.zeros(0, np.int64)
-            often = np.unique(value[first])
-            count = np.searchsorted(value, often, "right") - np.searchsorted(value, often, "left")
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([batch.column(0), pa.nulls(1, pa.int64())]), pa.concat_arrays([batch.column(1), pa.nulls(1, pa.int64())]), pa.array([*node, None], pa.int64()), pa.array([*size, None], pa.int64()),
-                 pa.array([*[None] * n, often.astype(np.int64)], pa.list_(pa.int64())), pa.array([*[None] * n, count], pa.list_(pa.int64()))],
-                ["id", "doc_id", "node", "n", "often", "counts"],
-            )
-
-    return written(_identified(docs).mapInArrow(run, "id long, doc_id long, node long, n long, often array<long>, counts array<long>"), "shingles")
+                    held.append(values)
+                    total += len(values)
+                if total >= _COUNTED:
+                    yield often(held)
+                    known, total = set(), 0
+            none = pa.nulls(batch.num_rows, kinds[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), none, none], names)
+        yield often(held)
+
+    with batches_of(docs.sparkSession, _BATCH):
+        return written(_identified(docs).mapInArrow(run, "id long, doc_id long, node long, n long, often array<long>, counts array<long>"), "shingles")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -130,7 +141,7 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
     packed = "bucket int, tokens binary, nodes binary, sizes binary"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, _PREFIX_ROWS) for b in batches for k in range(0, b.num_rows, _PREFIX_ROWS)):
+        for batch in batches:
             tokens, nodes, sizes, late, known = [], [], [], [], set()
             for _, values in _sets(batch.column(2), width):
                 n = len(values)
@@ -197,7 +208,9 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
         if held:
             yield from flush()
 
-    spark, made = docs.sparkSession, written(_identified(docs).mapInArrow(prefixes, packed), "prefixes", "none")
+    spark = docs.sparkSession
+    with batches_of(spark, _BATCH):
+        made = written(_identified(docs).mapInArrow(prefixes, packed), "prefixes", "none")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     rare = made.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "token long, node long, n long")
     late = made.where("bucket < 0").select("tokens", "nodes", "sizes").mapInArrow(frequent_rows, "token long, node long, n long").distinct()
@@ -283,16 +296,17 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for _, values in _sets(batch.column(2), width):
-                if len(values):
-                    rows.append((_key(values), _ordered(values, *frequent.value)[0].tobytes(), parity(values)))
-            for k in range(0, len(rows), 500):
-                some = zip(*rows[k : k + 500])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, (pa.int64(), pa.binary(), pa.binary()))], ["node", "tokens", "bits"])
+            for k in range(0, batch.num_rows, _ROWS):
+                rows = []
+                for _, values in _sets(batch.column(2).slice(k, _ROWS), width):
+                    if len(values):
+                        rows.append((_key(values), _ordered(values, *frequent.value)[0].tobytes(), parity(values)))
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, kinds)], ["node", "tokens", "bits"])
 
     wanted = small(durable(wanted))
-    sets = written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(ordered, "node long, tokens binary, bits binary"), "sets", "none")
+    with batches_of(docs.sparkSession, _BATCH):
+        sets = written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(ordered, "node long, tokens binary, bits binary"), "sets", "none")
     pairs = durable(_possible(pairs, sets, percent))
     size = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _TRIE_SETS, F.sum("n") / _TRIE_TOKENS)).alias("parts"))
     dealt = durable(pairs.join(size, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
@@ -322,7 +336,8 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else [[], []])], ["a", "b"])
 
     sorted_rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
-    links = written(sorted_rows.mapInArrow(walk, "a long, b long"), "links")
+    with batches_of(docs.sparkSession, _BATCH // 4):
+        links = written(sorted_rows.mapInArrow(walk, "a long, b long"), "links")
     discard(sets)
     release(docs.sparkSession)
     return links
