@@ -6,6 +6,9 @@ window numbers or sums them; the totals of the ranges, one row each, give every
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +16,23 @@ from pyspark.sql import functions as F
 RANGE_ROWS, MOST_RANGES = 250_000, 4_096
 
 
-def _range(df: DataFrame, key: str) -> Column:
+def _ranged(df: DataFrame, key: str) -> DataFrame:
+    """The rows with _range, the number of their range of the key; ranges are found by binary search in the JVM."""
     n = df.count()
     parts = min(MOST_RANGES, n // RANGE_ROWS)
     if parts < 2:
-        return F.lit(0)
+        return df.withColumn("_range", F.lit(0.0))
     points = [k / parts for k in range(1, parts)]
     limits = sorted(set(df.approxQuantile(key, points, 0.1 / parts)))
-    return F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x <= F.col(key).cast("double"))) if limits else F.lit(0)
+    splits = [-math.inf, *limits, math.inf]
+    keyed = df.withColumn("_key", F.col(key).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep").transform(keyed).drop("_key")
 
 
 def running_sum(df: DataFrame, value: Column, order: list[str], into: str) -> DataFrame:
-    """The sum of `value` over all rows up to and including each, in the given order (a total one)."""
-    ranged = df.withColumns({"_range": _range(df, order[0]), into: value.cast("long")})
+    """The sum of `value` over all rows up to and including each, in the given order: a total one, whose first column is
+    a number."""
+    ranged = _ranged(df, order[0]).withColumn(into, value.cast("long"))
     totals = ranged.groupBy("_range").agg(F.sum(into).alias("_total"))
     before = F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("_range", F.coalesce(before, F.lit(0)).cast("long").alias("_before"))
