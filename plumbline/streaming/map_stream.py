@@ -21,46 +21,73 @@ STATE = "lba long, seq long, pba long, grp long"
 
 
 class MergedTable:
-    """A table of (lba, seq, pba, grp) versions under a folder: each micro-batch writes the next version.
+    """A table of (lba, seq, pba, grp) under a folder, in buckets of groups: a micro-batch rewrites the buckets it touches.
 
-    A version is complete before its number counts, so a batch that fails or is repeated leaves the last good one. Only
-    the two newest versions are kept.
+    data/batch=N holds the buckets that batch N wrote; list/batch=N says, for every bucket, which batch wrote it last. The
+    list is written after the data and counts once it is complete, so a batch that fails or is repeated leaves the last
+    good state. Files that neither of the two newest lists names are deleted.
     """
 
-    def __init__(self, spark, path: str, options: MapOptions = MapOptions()):
-        self.spark, self.path, self.options = spark, path.rstrip("/"), options
+    def __init__(self, spark, path: str, options: MapOptions = MapOptions(), buckets: int = 64):
+        self.spark, self.path, self.options, self.buckets = spark, path.rstrip("/"), options, buckets
         self._place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._store = self._place(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        if not self._store.exists(self._place(self.path)):
+    def _batches(self, kind: str) -> list[int]:
+        folder = self._place(f"{self.path}/{kind}")
+        if not self._store.exists(folder):
             return []
-        names = [s.getPath() for s in self._store.listStatus(self._place(self.path))]
+        names = [s.getPath() for s in self._store.listStatus(folder)]
         done = [p for p in names if self._store.exists(self._place(f"{p.toString()}/_SUCCESS"))]
         return sorted(int(p.getName().split("=")[1]) for p in done)
 
-    def _read(self, version: int) -> DataFrame:
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/batch={version}")
+    def _listed(self, batch: int) -> dict[int, int]:
+        """Bucket to batch: at most `buckets` rows."""
+        rows = self.spark.read.schema("bucket int, written long").parquet(f"{self.path}/list/batch={batch}").collect()
+        return {r.bucket: r.written for r in rows}
+
+    def _read(self, where: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/data/batch={batch}/bucket={bucket}" for bucket, batch in sorted(where.items())]
+        if not paths:
+            return self.spark.createDataFrame([], STATE)
+        return self.spark.read.schema(STATE).parquet(*paths)
 
     def state(self) -> DataFrame:
         """lba, pba and grp of the live entries."""
-        versions = self._versions()
-        df = self._read(versions[-1]) if versions else self.spark.createDataFrame([], STATE)
+        lists = self._batches("list")
+        df = self._read(self._listed(lists[-1]) if lists else {})
         return df.where("pba IS NOT NULL").select("lba", "pba", "grp")
 
     def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch. The old state and the batch, reduced per address, meet in one aggregation."""
-        versions = [v for v in self._versions() if v < batch_id]
-        new = last_operations(batch, self.options).withColumn("grp", group_of(F.col("lba"), self.options))
-        both = new.select("lba", "seq", "pba", "grp")
-        if versions:
-            both = both.unionByName(self._read(versions[-1]))
-        value = F.struct("pba")
-        last = both.groupBy("lba", "grp").agg(F.max("seq").alias("seq"), F.max_by(value, "seq").alias("v"))
-        out = last.select("lba", "seq", F.col("v.pba").alias("pba"), "grp")
-        out.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        for v in versions[:-1]:
-            self._store.delete(self._place(f"{self.path}/batch={v}"), True)
+        """For foreachBatch. The touched buckets' old rows and the batch, reduced per address, meet in one aggregation."""
+        lists = [v for v in self._batches("list") if v < batch_id]
+        known = self._listed(lists[-1]) if lists else {}
+        new = last_operations(batch, self.options).withColumn("grp", group_of(F.col("lba"), self.options)).persist()
+        try:
+            bucket = F.pmod("grp", F.lit(self.buckets)).cast("int")
+            touched = {r[0] for r in new.select(bucket).distinct().collect()}
+            old = self._read({k: v for k, v in known.items() if k in touched})
+            both = new.select("lba", "seq", "pba", "grp").unionByName(old)
+            last = both.groupBy("lba", "grp").agg(F.max("seq").alias("seq"), F.max_by(F.struct("pba"), "seq").alias("v"))
+            out = last.select("lba", "seq", F.col("v.pba").alias("pba"), "grp", bucket.alias("bucket"))
+            out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch_id}")
+        finally:
+            new.unpersist()
+        where = known | {k: batch_id for k in touched}
+        listed = self.spark.createDataFrame(sorted(where.items()), "bucket int, written long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list/batch={batch_id}")
+        self._clean([*lists[-1:], batch_id])
+
+    def _clean(self, lists: list[int]) -> None:
+        used = {(k, v) for n in lists for k, v in self._listed(n).items()}
+        for batch in self._batches("data"):
+            if batch < lists[-1]:
+                for bucket in range(self.buckets):
+                    if (bucket, batch) not in used:
+                        self._store.delete(self._place(f"{self.path}/data/batch={batch}/bucket={bucket}"), True)
+        for batch in self._batches("list"):
+            if batch < lists[0]:
+                self._store.delete(self._place(f"{self.path}/list/batch={batch}"), True)
 
 
 def merge_stream(log: DataFrame, table: MergedTable, checkpoint: str):
