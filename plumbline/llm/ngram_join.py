@@ -10,8 +10,9 @@ the others by their hash. Any common order gives the same links; this one keeps
    nodes; frequent shingles need no such task.
 2. Per shared shingle every node is compared with one pivot, its smallest set. Links found so join groups of near
    copies, however large, with a number of comparisons in proportion to their rows.
-3. What is left are nodes of different components that share a shingle: exactly these pairs are compared too, so no
-   link is lost that would join two components, and no pairs are made within a group that is joined already.
+3. What is left are nodes of different components that share a shingle: these pairs are compared too, so no link is lost
+   that would join two components, and no pairs are made within a group that is joined already. In both steps a pair is
+   met at the first shingle it shares, where the shorter rest of the two sets bounds what is common.
 
 Before sets are sent, parity bits of both sets, a 64th of their size, give a lower bound of their difference; pairs that
 it rules out, which are nearly all unlinked ones, end there. Comparisons of a pivot run in a task that holds its candidates' ordered sets as a trie (sets sorted, common beginnings
@@ -137,12 +138,13 @@ def _ordered(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tu
 
 
 def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent: int) -> DataFrame:
-    """A written table of token, node and n: the prefix shingles that several nodes have."""
-    packed = "bucket int, tokens binary, nodes binary, sizes binary"
+    """A written table of token, node, n and pos, the place in the node's order: prefix shingles that several nodes have."""
+    packed = "bucket int, tokens binary, nodes binary, sizes binary, places binary"
+    schema = "token long, node long, n long, pos long"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, nodes, sizes, late, known = [], [], [], [], set()
+            tokens, nodes, sizes, places, late, known = [], [], [], [], [], set()
             for _, values in _sets(batch.column(2), width):
                 n = len(values)
                 node = _key(values)
@@ -154,31 +156,33 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
                 tokens.append(values[: min(head, rare)])
                 nodes.append(np.full(len(tokens[-1]), node, dtype=np.int64))
                 sizes.append(np.full(len(tokens[-1]), n, dtype=np.int32))
+                places.append(np.arange(len(tokens[-1]), dtype=np.int32))
                 if head > rare:
-                    late.append((values[rare:head], node, n))
+                    late.append((values[rare:head], node, n, rare))
             rows = []
             if tokens:
-                token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
+                token, node, size, place = (np.concatenate(x) for x in (tokens, nodes, sizes, places))
                 bucket = (token >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for k in range(buckets):
                     some = order[edge[k] : edge[k + 1]]
                     if len(some):
-                        rows.append((k, token[some].tobytes(), node[some].tobytes(), size[some].tobytes()))
+                        rows.append((k, token[some].tobytes(), node[some].tobytes(), size[some].tobytes(), place[some].tobytes()))
             # Frequent shingles are shared for certain: they go on as they are, with no bucket.
-            for values, node, n in late:
-                rows.append((-1 - n % 64, values.tobytes(), np.full(len(values), node, dtype=np.int64).tobytes(), np.full(len(values), n, dtype=np.int32).tobytes()))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["bucket", "tokens", "nodes", "sizes"])
+            for values, node, n, rare in late:
+                k = len(values)
+                rows.append((-1, values.tobytes(), np.full(k, node, dtype=np.int64).tobytes(), np.full(k, n, dtype=np.int32).tobytes(), np.arange(rare, rare + k, dtype=np.int32).tobytes()))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["bucket", "tokens", "nodes", "sizes", "places"])
 
-    def out(token, node, size) -> Iterator[pa.RecordBatch]:
+    def out(token, node, size, place) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(token), 50_000):
             part = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[part].view(np.int64)), pa.array(node[part]), pa.array(size[part].astype(np.int64))], ["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[part].view(np.int64)), pa.array(node[part]), pa.array(size[part].astype(np.int64)), pa.array(place[part].astype(np.int64))], ["token", "node", "n", "pos"])
 
     def unpack(rows) -> tuple[np.ndarray, ...]:
-        return tuple(np.frombuffer(b"".join(c), dtype=t) for c, t in zip(rows, ("<u8", "<i8", "<i4")))
+        return tuple(np.frombuffer(b"".join(c), dtype=t) for c, t in zip(rows, ("<u8", "<i8", "<i4", "<i4")))
 
     def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,14 +193,14 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
         bucket, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            token, node, size = unpack(list(zip(*held)))
-            order = np.lexsort((node, token))
-            token, node, size = token[order], node[order], size[order]
+            columns = unpack(list(zip(*held)))
+            order = np.lexsort((columns[1], columns[0]))
+            token, node, size, place = (c[order] for c in columns)
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            token, node, size = token[fresh], node[fresh], size[fresh]
+            token, node, size, place = token[fresh], node[fresh], size[fresh], place[fresh]
             with_next = np.concatenate([token[1:] == token[:-1], [False]])
             several = with_next | np.concatenate([[False], with_next[:-1]])
-            yield from out(token[several], node[several], size[several])
+            yield from out(token[several], node[several], size[several], place[several])
 
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -212,8 +216,8 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
     with batches_of(spark, _BATCH):
         made = written(_identified(docs).mapInArrow(prefixes, packed), "prefixes", "none")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-    rare = made.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "token long, node long, n long")
-    late = made.where("bucket < 0").select("tokens", "nodes", "sizes").mapInArrow(frequent_rows, "token long, node long, n long").distinct()
+    rare = made.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, schema)
+    late = made.where("bucket < 0").select("tokens", "nodes", "sizes", "places").mapInArrow(frequent_rows, schema).distinct()
     tokens = written(rare.unionByName(late), "tokens")
     discard(made)
     release(spark)
@@ -351,13 +355,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     total = table.agg(F.sum((100 - percent) * F.col("n") / 100 + 1)).first()[0] or 0
     tokens = _shared_tokens(docs, frequent, max(12, int(total / _BUCKET_TOKENS)), width, percent)
     # 2. Every node against the smallest set that shares a shingle with it.
-    pivots = durable(tokens.groupBy("token").agg(F.min(F.struct("n", "node")).alias("p"), F.count(F.lit(1)).alias("many")).select("token", F.col("p.n").alias("pn"), F.col("p.node").alias("pivot"), "many"))
-    near = F.expr(f"node <> pivot AND 100 * pn >= {percent} * n")
+    pivots = durable(tokens.groupBy("token").agg(F.min(F.struct("n", "node", "pos")).alias("p"), F.count(F.lit(1)).alias("many")).select("token", F.col("p.n").alias("pn"), F.col("p.node").alias("pivot"), F.col("p.pos").alias("ppos"), "many"))
+    # Where a shingle is the first that two sets share, no more than the shorter rest from it on is common. A pair that
+    # this rules out at one shingle is met at its first one, if it can link at all.
+    rest = f"{100 + percent} * least(n - pos, pn - ppos) >= {percent} * (n + pn)"
+    near = F.expr(f"node <> pivot AND 100 * pn >= {percent} * n AND {rest}")
     stars = durable(tokens.join(pivots, "token").where(near).select("pivot", "node", "n", "pn").distinct())
     links = _verified(docs, table, stars, frequent, width, percent)
     found = durable(components(links))
     # 3. Nodes of different components that share a shingle with neither of them its pivot.
-    mine = tokens.join(pivots.where("many > 2"), "token").where("node <> pivot").select("token", "node", "n")
+    mine = tokens.join(pivots.where("many > 2"), "token").where("node <> pivot").select("token", "node", "n", "pos")
     known = found.select("node", "component")
     mine = mine.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = mine.groupBy("token", "component").agg(F.lit(1).alias("_"))
@@ -366,10 +373,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     groups = mine.select("token", "component").distinct()
     other = groups.withColumnRenamed("component", "other")
     across = groups.join(other, "token").where("component < other")
-    left = across.join(mine.select("token", "component", F.col("node").alias("pivot"), F.col("n").alias("pn")), ["token", "component"])
-    right = mine.select("token", F.col("component").alias("other"), "node", "n")
-    size = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    pairs = left.join(right, ["token", "other"]).where(size).select("pivot", "node", "n", "pn").distinct()
+    left = across.join(mine.select("token", "component", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos")), ["token", "component"])
+    right = mine.select("token", F.col("component").alias("other"), "node", "n", "pos")
+    pairs = left.join(right, ["token", "other"]).where(rest).select("pivot", "node", "n", "pn").distinct()
     done = stars.select("pivot", "node").unionByName(stars.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
     pairs = durable(pairs.join(done, ["pivot", "node"], "left_anti"))
     if not pairs.isEmpty():
