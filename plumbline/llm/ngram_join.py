@@ -14,7 +14,7 @@ the others by their hash. Any common order gives the same links; this one keeps
    that would join two components, and no pairs are made within a group that is joined already. In both steps a pair is
    met at the first shingle it shares, where the shorter rest of the two sets bounds what is common.
 
-Before sets are sent, parity bits of both sets, a 64th of their size, give a lower bound of their difference; pairs that
+Before sets are sent, parity bits of both sets, a 16th to an 8th of their size, give a lower bound of their difference; pairs that
 it rules out, which are nearly all unlinked ones, end there. Comparisons of a pivot run in a task that holds its candidates' ordered sets as a trie (sets sorted, common beginnings
 walked once): the overlap found on a shared path is kept, and a subtree is left when the overlap so far plus the shorter
 remaining length cannot reach the required overlap.
@@ -256,11 +256,11 @@ def trie_links(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], percent
 
 
 def parity(values: np.ndarray) -> bytes:
-    """A bit for each residue of the set's shingles, modulo a power of two not below its size: odd counts set it.
+    """A bit for each residue of the set's shingles, modulo a power of two at least four times its size: odd counts set it.
 
-    The bits in which two sets differ are no more than the shingles in which they differ, and a 64th of the set's bytes.
+    The bits in which two sets differ are no more than the shingles in which they differ, and are seldom far fewer.
     """
-    m = 1 << max(6, (len(values) - 1).bit_length())
+    m = 1 << max(8, (len(values) - 1).bit_length() + 2)
     count = np.bincount((values & np.uint64(m - 1)).astype(np.int64), minlength=m)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -347,6 +347,50 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
     return links
 
 
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that share a shingle, are of different components and pass the bound: pivot, node, n and pn.
+
+    Rows are token, component, node, n and pos. A shingle's nodes are compared in blocks of arrays, all with those that
+    are not of its largest component, and only pairs that pass are made.
+    """
+    names = ["pivot", "node", "n", "pn"]
+
+    def passing(component, node, n, pos) -> Iterator[pa.RecordBatch]:
+        _, kind, count = np.unique(component, return_inverse=True, return_counts=True)
+        few = np.flatnonzero(kind != count.argmax())
+        inside = np.zeros(len(kind), dtype=bool)
+        inside[few] = True
+        rest, block = n - pos, max(1, 1_000_000 // len(kind))
+        for k in range(0, len(few), block):
+            a = few[k : k + block, None]
+            ok = (100 + percent) * np.minimum(rest[a], rest) >= percent * (n[a] + n)
+            ok &= (kind[a] != kind) & (~inside | (node[a] < node))
+            x, y = np.nonzero(ok)
+            x = few[k : k + block][x]
+            low = np.where(n[x] <= n[y], x, y)
+            high = x + y - low
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[low], node[high], n[high], n[low])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+        for batch in batches:
+            token, *columns = (c.to_numpy() for c in batch.columns)
+            cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if token[a] != now and held:
+                        yield from passing(*(np.concatenate(c) for c in zip(*held)))
+                        held = []
+                    now = token[a]
+                    held.append(tuple(c[a:b] for c in columns))
+        if held:
+            yield from passing(*(np.concatenate(c) for c in zip(*held)))
+
+    ordered = rows.select("token", "component", "node", "n", "pos").repartition("token").sortWithinPartitions("token")
+    return ordered.mapInArrow(run, "pivot long, node long, n long, pn long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and node (equal for equal sets) of every row."""
     spark = docs.sparkSession
@@ -370,12 +414,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     groups = mine.groupBy("token", "component").agg(F.lit(1).alias("_"))
     mixed_tokens = groups.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     mine = durable(mine.join(mixed_tokens, "token", "left_semi"))
-    groups = mine.select("token", "component").distinct()
-    other = groups.withColumnRenamed("component", "other")
-    across = groups.join(other, "token").where("component < other")
-    left = across.join(mine.select("token", "component", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("ppos")), ["token", "component"])
-    right = mine.select("token", F.col("component").alias("other"), "node", "n", "pos")
-    pairs = left.join(right, ["token", "other"]).where(rest).select("pivot", "node", "n", "pn").distinct()
+    pairs = _across(mine, percent).distinct()
     done = stars.select("pivot", "node").unionByName(stars.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
     pairs = durable(pairs.join(done, ["pivot", "node"], "left_anti"))
     if not pairs.isEmpty():
