@@ -51,7 +51,7 @@ GENERATORS = (
     Generator("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True),
     Generator("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", True),
     # Runs of digits with single separators, from their start; those with under 16 digits are passed over.
-    Generator("card", rf"(?<![0-9])(?<![0-9][\x20-])(?=[0-9](?:[\x20-]?[0-9]){{15}}){_CARD}", "[0-9]{4}|(?:[0-9][ -]){4}", True),
+    Generator("card", rf"(?<![0-9])(?<![0-9][\x20-])(?=[0-9](?:[\x20-]?[0-9]){{15}}){_CARD}", "[0-9](?:[ -]?[0-9]){15}", True),
     Generator("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True),
     Generator("email", rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{{1,63}}){{1,8}}", r"[\[(] ?at ?[\])]", False),
     Generator("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])", "[0-9]{4}", False),

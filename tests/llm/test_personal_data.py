@@ -49,6 +49,24 @@ def test_base_spans_equal_brute_force(spark, rows):
         assert not spans or set(joined(spans).split(",")) <= set(r.spans.split(","))
 
 
+def test_cards_in_any_grouping_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = ["paid 411 111 111 111 111 1 now", "41 11 11 11 11 11 11 11"]
+    for _ in range(60):
+        digits, at, groups = rng.choice(["4111111111111111", "4918187128635271", "6011000990139424"]), 0, []
+        sizes = rng.choice([(1,), (2,), (3,), (2, 3), (1, 2, 3), (1, 2, 3, 4, 5)])
+        while at < len(digits):
+            groups.append(digits[at : at + rng.choice(sizes)])
+            at += len(groups[-1])
+        texts.append(f"paid {rng.choice([' ', '-']).join(groups)} now")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in P.digest(P.find(docs)).collect()}
+    for k, text in enumerate(texts):
+        spans = brute(text)
+        assert sum(s[0] == 2 for s in spans) == got[k].n_card, text
+        assert got[k].base_sha256 == hashlib.sha256(joined(spans).encode()).hexdigest(), text
+
+
 def test_the_method_adds_what_the_formats_miss(spark):
     texts = ["tion er an +1 (578) 555-6437 4918187128635271 the on", "write to jo.li [at] mail [dot] com please", "order 123 456 7890-12 was 17", "ISBN 9783161484100 and 20240101120000", "only words here"]
     got = {r.doc_id: r.spans for r in P.digest(P.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
