@@ -74,12 +74,19 @@ def test_the_method_adds_what_the_formats_miss(spark):
     assert got[3] == got[4] == ""
 
 
-@pytest.mark.xfail(reason="the trees do not select this masked address yet")
 def test_a_masked_address_is_added(spark):
     docs = spark.createDataFrame([(1, "write to jo.li [at] mail [dot] com please")], "doc_id long, text string")
     assert P.digest(P.find(docs)).first().spans == "email:9:34"
 
 
+def test_masked_addresses_of_unseen_sentences(spark):
+    made = [m for m in P._examples(600, seed=77) if m[3] == "email"]
+    texts = [m[0] for m in made] + ["reach jo [at] mail.com. Then go", "sold 12 (at) 3.50 order x", "reach jo [at] mail . com today"]
+    got = [r.spans for r in sorted(P.digest(P.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect(), key=lambda r: r.doc_id)]
+    assert len(made) > 80 and sum(f"email:{a}:{b}" in s for (_, a, b, _), s in zip(made, got)) >= 0.95 * len(made)
+    assert got[-3:] == ["email:6:22", "", "email:6:24"]
+
+
 def test_no_python_runs_on_executors(spark):
     docs = spark.createDataFrame([(1, "a@b.cc")], "doc_id long, text string")
     plan = P.digest(P.find(docs))._jdf.queryExecution().executedPlan().toString()
