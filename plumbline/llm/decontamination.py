@@ -1,23 +1,25 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 Texts and items are sequences of words (runs of letters, digits and non-ASCII characters, A to Z in lower case). A
-document is contaminated by an item of n words if a window of n of its words is within floor(n * EDITS) word edits.
+document is contaminated by an item of n words if a window of its words is within k = floor(n * EDITS) word edits; such
+a window has n - k to n + k words. find_leaks() takes windows of exactly n words unless it is called with wide.
 
 * The random walk embedding of Chakraborty, Goldenberg and Koucky reads a sequence with steps of 0 or 1 that a hash of
   the step and the symbol decides, for 3n steps. Sequences at small edit distance fall into step again and so are at
   small Hamming distance.
 * Bit sampling: a table takes SAMPLED coordinates of a walk. Windows and items that agree in one of WALKS * TABLES
   tables are candidates. The numbers are set for a recall of 0.99 at the largest distance; the tests measure it.
-* Candidates are verified by the bit-parallel edit distance over words, so no clean window is reported.
+* Candidates are verified by the bit-parallel edit distance over words, so no clean window is reported. Wide windows are
+  sought in the candidate and k words on either side of it, with free ends.
 
 Windows that cannot be within the distance are passed over before, without loss: a window within k edits of an item of n
 words shares at least n - q + 1 - k * q of the item's q-word runs. Only where a document has that many of one item's
-runs within n words are windows of that size embedded, one at each word.
+runs within the longest window are windows of the item's size embedded, one at each word.
 
 The items are the query set. They go to all executors in blocks of BLOCK_ITEMS, each a pass over the documents, which is
 a map: nothing is shuffled. Defined results: null and empty texts match nothing; items of under LEAST_WORDS words are not
 searched for; a document with fewer words than an item is one window; of windows at the same distance the first is
-reported; repeated rows and items are reported each; empty tables give no rows. Other columns are ignored.
+reported, and of wide ones with the same start the shortest; repeated rows and items are reported each; empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +65,40 @@ def edit_distance(pattern: dict, n: int, text: np.ndarray) -> int:
     return score
 
 
+def edit_distances(pattern: dict, n: int, text: list[int], free: bool) -> list[int]:
+    """Distance of an item to each prefix of a sequence, or, with a free start, to the best suffix of each prefix."""
+    mask, top = (1 << n) - 1, 1 << (n - 1)
+    plus, minus, score, out = mask, 0, n, []
+    for symbol in text:
+        eq = pattern.get(symbol, 0)
+        x = eq | minus
+        d = ((((x & plus) + plus) ^ plus) | x) & mask
+        up, down = minus | (mask & ~(d | plus)), plus & d
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+        out.append(score)
+        up, down = ((up << 1) | (not free)) & mask, (down << 1) & mask
+        plus, minus = down | (mask & ~(d | up)), up & d
+    return out
+
+
+def best_window(item: np.ndarray, pattern: dict, most: int, text: list[int]) -> tuple[int, int, int] | None:
+    """Distance, start and length of the closest window, the first and then shortest of equals; None if over `most`."""
+    n = len(item)
+    score = edit_distances(pattern, n, text, True)
+    least = min(score, default=n)
+    if least > most:
+        return None
+    back, found = masks(item[::-1]), []
+    for stop in (j + 1 for j, d in enumerate(score) if d == least):
+        tail = edit_distances(back, n, text[max(0, stop - n - least) : stop][::-1], False)
+        length = max(j + 1 for j, d in enumerate(tail) if d == least)
+        found.append((stop - length, length))
+    return (least, *min(found))
+
+
 def masks(item: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for k, symbol in enumerate(item.tolist()):
@@ -103,6 +139,7 @@ class Index:
     ids: list
     items: list[np.ndarray]
     edits: float
+    wide: bool = False
     tables: dict[tuple[int, int], list[int]] = field(default_factory=dict)
     grams: dict[int, tuple] = field(default_factory=dict)  # by q: sorted runs, offsets, items, small filter
     need: np.ndarray | None = None
@@ -136,6 +173,7 @@ class Index:
     def windows(self, word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """Row, item and starts of the windows that share enough runs with the item."""
         size = np.asarray([len(x) for x in self.items])
+        longest = size + np.asarray([allowed(n, self.edits) if self.wide else 0 for n in size.tolist()], dtype=np.int64)
         for q, (value, at, items, seen) in self.grams.items():
             run, starts = shingles(word, first, q)
             place = np.flatnonzero(seen[run >> np.uint64(44)])
@@ -155,7 +193,7 @@ class Index:
             ahead = np.arange(len(row)) + self.need[item] - 1
             ok = ahead < len(row)
             far = np.minimum(ahead, len(row) - 1)
-            ok &= (row[far] == row) & (item[far] == item) & (place[far] - place + q <= size[item])
+            ok &= (row[far] == row) & (item[far] == item) & (place[far] - place + q <= longest[item])
             hit = np.flatnonzero(ok)
             if not len(hit):
                 continue
@@ -164,8 +202,9 @@ class Index:
                 some = hit[a:b]
                 r, i = int(row[some[0]]), int(item[some[0]])
                 n, most = size[i], first[r + 1] - first[r]
-                low, high = np.maximum(0, place[far[some]] + q - n), np.minimum(place[some], max(0, most - n))
-                mark = np.zeros(max(1, most - n + 1) + 1, dtype=np.int64)
+                last = max(0, most - 1 if self.wide else most - n)
+                low, high = np.maximum(0, place[far[some]] + q - longest[i]), np.minimum(place[some], last)
+                mark = np.zeros(last + 2, dtype=np.int64)
                 np.add.at(mark, np.minimum(low, len(mark) - 1), 1)
                 np.add.at(mark, np.minimum(np.maximum(high, low) + 1, len(mark) - 1), -1)
                 yield r, i, np.flatnonzero(np.cumsum(mark[:-1]) > 0)
@@ -186,7 +225,11 @@ class Index:
                     row, start = place[j : j + _WINDOWS].T
                     begin = first[row] + start
                     length = np.minimum(n, first[row + 1] - begin)
-                    held.setdefault(n, []).append((row + k, start, length, word[np.minimum(begin[:, None] + np.arange(n), len(word) - 1)]))
+                    room = allowed(n, self.edits) if self.wide else 0
+                    left = np.minimum(start, room)
+                    width = left + np.minimum(n + room, first[row + 1] - begin)
+                    grid = word[np.clip(begin[:, None] + np.arange(-room, n + room), 0, len(word) - 1)]
+                    held.setdefault(n, []).append((row + k, start, length, left, width, grid))
                     if sum(len(x[0]) for x in held[n]) >= _WINDOWS:
                         self._compare(n, held.pop(n), best)
         for n, parts in held.items():
@@ -194,8 +237,9 @@ class Index:
         return [(r, i, s, m, d) for (r, i), (d, s, m) in sorted(best.items())]
 
     def _compare(self, n: int, parts: list[tuple], best: dict) -> None:
-        row, start, length, grid = (np.concatenate(x) for x in zip(*parts))
-        keys = signatures(grid, length, n)
+        row, start, length, left, width, grid = (np.concatenate(x) for x in zip(*parts))
+        room = (grid.shape[1] - n) // 2
+        keys = signatures(grid[:, room : room + n], length, n)
         near: dict[tuple[int, int], dict[int, int]] = {}
         for t in range(keys.shape[1]):
             for w, key in enumerate(keys[:, t].tolist()):
@@ -208,16 +252,22 @@ class Index:
                 known = best.get((r, i))
                 if known and known[0] == 0:
                     break
+                if self.wide:
+                    a = room - left[w]
+                    if found := best_window(self.items[i], self.masks[i], allowed(n, self.edits), grid[w, a : a + width[w]].tolist()):
+                        d, s, m = found[0], int(start[w] - left[w]) + found[1], found[2]
+                        best[r, i] = min((d, s, m), known or (n, 0, 0))
+                    continue
                 d = edit_distance(self.masks[i], n, grid[w, : length[w]])
                 if d <= allowed(n, self.edits) and (known is None or (d, start[w]) < known[:2]):
                     best[r, i] = (d, int(start[w]), int(length[w]))
 
 
-def index_of(items: list[tuple[int, str]], edits: float = EDITS, least_words: int = LEAST_WORDS) -> Index:
+def index_of(items: list[tuple[int, str]], edits: float = EDITS, least_words: int = LEAST_WORDS, wide: bool = False) -> Index:
     data, starts = flat_bytes(pa.array([t for _, t in items], pa.string()))
     word, first, _ = words(data, starts, BREAKS)
     some = [k for k in range(len(items)) if first[k + 1] - first[k] >= least_words]
-    return Index([items[k][0] for k in some], [word[first[k] : first[k + 1]] for k in some], edits)
+    return Index([items[k][0] for k in some], [word[first[k] : first[k + 1]] for k in some], edits, wide)
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
@@ -235,11 +285,11 @@ def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int,
 _MATCH = "doc_id long, item_id long, word_start long, word_end long, distance long"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_items: int = BLOCK_ITEMS, wide: bool = False) -> DataFrame:
     """doc_id, item_id, word_start, word_end (exclusive) and distance of the best window of each document and item."""
     found = None
     for block in _blocks(benchmark, block_items):
-        index = index_of(block, edits)
+        index = index_of(block, edits, wide=wide)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -252,11 +302,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, bloc
     return docs.sparkSession.createDataFrame([], _MATCH) if found is None else found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_items: int = BLOCK_ITEMS, wide: bool = True) -> DataFrame:
     """The documents that no item contaminates, in the columns of the input."""
     place = docs.columns.index("text")
     for block in _blocks(benchmark, block_items):
-        index = index_of(block, edits)
+        index = index_of(block, edits, wide=wide)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -268,4 +318,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, bloc
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), wide=True)

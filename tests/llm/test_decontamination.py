@@ -66,6 +66,54 @@ def test_recall_and_exactness_against_brute_force(spark):
     assert total > 40 and hit / total >= 0.95
 
 
+def wide_brute(items, docs):
+    """Distance, start and length of the best window of n - k to n + k words."""
+    out = {}
+    for d, t in docs:
+        w = as_words(t).tolist()
+        for i, u in items:
+            v = as_words(u).tolist()
+            n, k = len(v), int(len(v) * D.EDITS)
+            if n < D.LEAST_WORDS:
+                continue
+            # By start: the last row of the table has the distance to each prefix.
+            best = (n, 0, 0)
+            for s in range(len(w)):
+                part = w[s : s + n + k]
+                row = list(range(len(part) + 1))
+                for a, x in enumerate(v, 1):
+                    last, row[0] = row[0], a
+                    for b, y in enumerate(part, 1):
+                        last, row[b] = row[b], min(row[b] + 1, row[b - 1] + 1, last + (x != y))
+                best = min(best, min((e, s, m) for m, e in enumerate(row) if m))
+            if best[0] <= k:
+                out[d, i] = best
+    return out
+
+
+def test_passages_with_insertions(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 6))) for _ in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in (10, 15, 20, 25, 30, 40)]
+    docs = []
+    for j in range(60):
+        i = list(items[j % 6])
+        for c in range(len(i) // 5, 0, -1):
+            at = len(i) * c // (len(i) // 5 + 1)
+            i[at : at + (j // 6 % 3 == 1)] = [] if j // 6 % 3 == 1 else text(1)
+        docs.append((j, " ".join(text(rng.randint(0, 20)) + i + text(rng.randint(0, 20)))))
+    items = [(k, " ".join(i)) for k, i in enumerate(items)]
+    want = wide_brute(items, docs)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.word_start, r.word_end - r.word_start) for r in D.find_leaks(frame, bench, wide=True).collect()}
+    assert len(want) == 60 and set(got) <= set(want) and len(got) >= 57
+    assert all(got[k] == want[k] for k in got)
+    fixed = {(r.doc_id, r.item_id) for r in D.find_leaks(frame, bench).collect()}
+    assert len(fixed) < len(got)
+    assert {r.doc_id for r in D.keep_clean(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
 def test_bit_parallel_distance():
     rng = random.Random(4)
     for _ in range(300):
