@@ -43,9 +43,13 @@ _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 
-#: Alphabets of the encodings, in the order of their symbols' values.
+#: Alphabets of the encodings, in the order of their symbols' values; smaller ones first.
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ENCODINGS = {"hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base64": _UPPER + _UPPER.lower() + _DIGITS + "+/"}
+ENCODINGS = {
+    "hex": _DIGITS + "abcdef", "upper hex": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "lower base32": _UPPER.lower() + "234567",
+    "base36": _DIGITS + _UPPER.lower(), "upper base36": _DIGITS + _UPPER, "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": _DIGITS + _UPPER + _UPPER.lower(), "base64": _UPPER + _UPPER.lower() + _DIGITS + "+/",
+}
 _TOKEN = _UPPER + _UPPER.lower() + _DIGITS + "+/_=-"
 #: Upper ends of the length classes.
 CLASSES = (24, 32, 48, 64, 128)

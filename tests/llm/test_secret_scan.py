@@ -50,5 +50,23 @@ def test_opaque_tokens_are_found_and_words_are_not(spark):
     assert not any(got[k] for k in [*range(40), 200, 201, 202])
 
 
+def test_random_tokens_of_each_alphabet_and_length_look_random():
+    rng = random.Random(9)
+    for name in ("upper hex", "base32", "lower base32", "base36", "upper base36", "base58", "base62", "base64"):
+        for n in (24, 32, 40, 48, 64, 128):
+            found = sum(S.looks_random("".join(rng.choice(S.ENCODINGS[name]) for _ in range(n))) for _ in range(200))
+            assert found >= 180, (name, n, found)
+
+
+def test_tokens_of_each_alphabet_are_found_in_text(spark):
+    rng = random.Random(2)
+    prose = lambda: " ".join(rng.choice(["the", "tion", "er", "ing", "an", "ou"]) for _ in range(200))
+    names = ["upper hex", "lower base32", "base36", "base58", "base62"]
+    rows = [(k, f"{prose()} {''.join(rng.choice(S.ENCODINGS[names[k % 5]]) for _ in range(40))} {prose()}") for k in range(50)]
+    got = {r.doc_id: r.spans for r in S.digest(S.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for j, name in enumerate(names):
+        assert sum("opaque" in got[k] for k in range(j, 50, 5)) >= 8, name
+
+
 def test_empty_table(spark):
     assert S.digest(S.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
