@@ -155,7 +155,7 @@ def epsilon_sweep(spark, sf_dir):
 
 
 def patch_sweep(spark, sf_dir):
-    return A.patch_sweep(live(spark, sf_dir), [512, 4096], [2, 8])
+    return A.patch_sweep(live(spark, sf_dir))
 
 
 def regress_delta(spark, sf_dir):

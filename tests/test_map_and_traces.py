@@ -111,3 +111,18 @@ def test_keyed_stream_equals_batch(spark, tmp_path):
         if r.seq >= last.get(r.lba, (-1,))[0]:
             last[r.lba] = (r.seq, r.pba)
     assert {k: v[1] for k, v in last.items() if v[1] is not None} == want
+
+
+def test_patch_sweep_has_the_whole_grid(spark):
+    from plumbline.operators import address_map, trace_analytics
+    from plumbline.plans import map_queries
+
+    grid = {(e, s) for e in (512, 1024, 4096, 16384) for s in (2, 4, 8, 16, 32)}
+    got = map_queries.patch_sweep(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 20 and {(r.epsilon, r.skip) for r in got} == grid
+    # Straight lines: a segment each, residuals of a bit at most, nothing to save.
+    rows = [(g, g * 4096 + k, 1000 * g + 3 * k) for g in range(3) for k in range(50)]
+    flat = trace_analytics.patch_sweep(spark.createDataFrame(rows, "grp long, lba long, pba long")).collect()
+    assert {(r.epsilon, r.skip) for r in flat} == grid
+    assert {(r.segments, r.outliers, r.saved_percent) for r in flat} == {(3, 0, 0.0)}
+    assert all(0 <= r.bytes - 3 * (4 + address_map.SEGMENT_BYTES) <= 3 * 7 for r in flat)
