@@ -7,8 +7,12 @@ PER_LANGUAGE of each language, chosen by a hash of doc_id. Executors reduce the
 what reaches the driver is bounded however long the texts are. Embeddings and softmax are linear, so for prediction
 they are multiplied out into one integer table and a text is scored by table look-ups, in pieces of fixed size.
 
-A part of the sample calibrates: a temperature makes the scores probabilities, and a conformal threshold is the score
-that all but REJECTED of the calibration documents reach. A document below it is rejected.
+A part of the sample calibrates: a temperature makes the scores probabilities. Two criteria reject a document: its score,
+and how usual its n-grams are in the language found, the mean of their log-frequencies in the sample against that of
+calibration documents, in standard deviations at the text's length. Their limits are what all but REJECTED of the
+calibration documents reach, those of the sample and up to CALIBRATED more of each language. Where these are too few for
+that quantile, the limits are chance and UNUSUAL standard deviations; with fewer than
+LEAST_CALIBRATED, n-grams reject nothing.
 
 Defined results: null text, or text without a letter, gives `und` with score 0 and is rejected; without any labelled
 document all rows are `und`; a null doc_id is not held out and not learned from; ties between languages go to the one
@@ -32,6 +36,8 @@ from .flat import flat_bytes
 #: The bound of the training sample: documents of each language, and languages.
 PER_LANGUAGE, MOST_LANGUAGES = 400, 500
 REJECTED = 0.0005
+#: Documents of each language beyond the sample that calibrate the rejection, and the limits for few of them.
+CALIBRATED, LEAST_CALIBRATED, UNUSUAL = 1000, 50, -6.0
 NGRAMS, BUCKET_BITS, DIMENSIONS = (2, 3, 4), 15, 8
 _PIECE = 1 << 19
 _PARTS = 3  # rows of the sample for each document: the whole text and two stretches
@@ -66,10 +72,16 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
-
-    def logits(self, column: pa.Array) -> np.ndarray:
+    #: Log-frequencies in units like the table's, by language the usual mean, and the variance: constant, by 1 / n-grams.
+    usual: np.ndarray | None = None
+    center: np.ndarray | None = None
+    variance: tuple[float, float] = (1.0, 0.0)
+    unusual: float = -np.inf
+
+    def means(self, column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean of the table's rows over each text's n-grams, and their number."""
         data, starts = _folded(column)
-        rows, kinds = len(column), len(self.languages)
+        rows, kinds = len(column), table.shape[1]
         sums, counts = np.zeros((rows, kinds), dtype=np.int64), np.zeros(rows, dtype=np.int64)
         for a in range(0, len(data), _PIECE):
             b = min(len(data), a + _PIECE)
@@ -82,10 +94,34 @@ class Model:
                 if not len(some):
                     continue
                 edges = np.stack([begin[some] - a, end[some] - a], axis=1).ravel()
-                padded = np.concatenate([self.table[bucket], np.zeros((1, kinds), dtype=np.int32)])
+                padded = np.concatenate([table[bucket], np.zeros((1, kinds), dtype=np.int32)])
                 sums[lo + some] += np.add.reduceat(padded, edges, axis=0, dtype=np.int64)[::2]
                 counts[lo + some] += (end - begin)[some]
-        return sums / (65536.0 * np.maximum(counts, 1)[:, None]) + self.bias
+        return sums / (65536.0 * np.maximum(counts, 1)[:, None]), counts
+
+    def logits(self, column: pa.Array) -> np.ndarray:
+        return self.means(column, self.table)[0] + self.bias
+
+    def judged(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities, the best language, the mean log-frequency in it, and the number of n-grams."""
+        mean, count = self.means(column, np.concatenate([self.table, self.usual], axis=1))
+        p = _softmax((mean[:, : len(self.languages)] + self.bias) / self.temperature) if len(column) else mean[:, : len(self.languages)]
+        best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
+        return p, best, mean[np.arange(len(p)), len(self.languages) + best], count
+
+    def strangeness(self, best: np.ndarray, usual: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (usual - self.center[best]) / np.sqrt(self.variance[0] + self.variance[1] / np.maximum(count, 1))
+
+    def decide(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and whether a text is rejected."""
+        lang, score = self.predict(column)
+        if not self.languages:
+            return lang, score, np.ones(len(column), dtype=bool)
+        gone = np.asarray([x == "und" for x in lang], dtype=bool) | (score < self.threshold)
+        if self.usual is not None and self.unusual > -np.inf:
+            _, best, usual, count = self.judged(column)
+            gone |= self.strangeness(best, usual, count) < self.unusual
+        return lang, score, gone
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         letters = pc.fill_null(pc.match_substring_regex(column.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -107,22 +143,31 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """Bucket counts of the sampled documents, and of stretches of 30 and 8 words of each: short texts are to be known too."""
+def _chosen(docs: DataFrame, after: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents that are not held out, and the doc_ids of some of each language by places in a random order."""
     named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     mark = F.xxhash64(F.col("doc_id"), F.lit(20))
     order = Window.partitionBy("lang").orderBy(mark, "doc_id")
-    chosen = named.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    chosen = chosen.orderBy("place", "lang").limit(per_language * MOST_LANGUAGES).select("doc_id")
+    chosen = named.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where((F.col("place") > after) & (F.col("place") <= last))
+    return named, chosen.orderBy("place", "lang").limit((last - after) * MOST_LANGUAGES).select("doc_id")
+
+
+def _parts(doc: int, text: str) -> tuple[str, str, str]:
+    every = text.split()
+    at = doc * 7919 % max(1, len(every) - 29)
+    return text, " ".join(every[at : at + 30]), " ".join(every[at : at + 8])
+
+
+def _sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """Bucket counts of the sampled documents, and of stretches of 30 and 8 words of each: short texts are to be known too."""
+    named, chosen = _chosen(docs, 0, per_language)
     rows = named.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                every = text.split()
-                at = doc * 7919 % max(1, len(every) - 29)
-                for part in (text, " ".join(every[at : at + 30]), " ".join(every[at : at + 8])):
+                for part in _parts(doc, text):
                     data, _ = _folded(pa.array([part]))
                     count = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
                     for n in NGRAMS:
@@ -130,7 +175,7 @@ def _sample(docs: DataFrame, per_language: int) -> DataFrame:
                             count += np.bincount(_buckets(data[a : a + _PIECE + n - 1], n), minlength=len(count))
                     bucket = np.flatnonzero(count)
                     weight = (count[bucket] / max(1, count.sum())).astype("<f4")
-                    out.append((doc, lang, len(every), bucket.astype("<u4").tobytes(), weight.tobytes()))
+                    out.append((doc, lang, len(text.split()), bucket.astype("<u4").tobytes(), weight.tobytes()))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], ["doc_id", "lang", "n", "bucket", "weight"])
 
@@ -178,11 +223,47 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, se
     target[np.arange(len(check)), y[check]] = 1 - target[0, 0] * (len(languages) - 1)
     loss = lambda t: -(target * np.log(_softmax(logits / t) + 1e-300)).sum(axis=1).mean()
     temperature = float(min(np.geomspace(0.05, 5000, 121), key=loss))
-    whole = _softmax(logits / temperature).max(axis=1)[[k % _PARTS == 0 for k in check]]
-    rank = int(REJECTED * (len(whole) + 1))
-    threshold = float(np.sort(whole)[rank - 1]) if rank else 0.0
-    # Too few calibration documents for the quantile: reject what is no better than chance.
-    return Model(languages, table, bias, temperature, max(threshold, 1.0 / len(languages)))
+    seen = np.zeros((1 << BUCKET_BITS, len(languages)))
+    for k in fit:
+        if k % _PARTS == 0:
+            seen[x[k][0], y[k]] += x[k][1]
+    # A millionth for buckets that the language's sample does not have.
+    usual = np.rint(np.log(seen / np.maximum(seen.sum(axis=0), 1e-9) + 1e-6) * 65536).astype(np.int32)
+    model = Model(languages, table, bias, temperature, 1.0 / len(languages), usual)
+    return _calibrated(docs, model, per_language, [got[k].doc_id for k in check if k % _PARTS == 0] if aside.any() else [])
+
+
+def _calibrated(docs: DataFrame, model: Model, per_language: int, known: list[int]) -> Model:
+    """The limits of rejection from documents the model was not fitted on: `known`, and some that were not sampled."""
+    named, chosen = _chosen(docs, per_language, per_language + CALIBRATED)
+    chosen = chosen.union(docs.sparkSession.createDataFrame([(k,) for k in known], "doc_id long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 300):
+                doc, text = (c.to_pylist() for c in batch.slice(a, 300).columns)
+                p, best, usual, count = model.judged(pa.array([x for d, t in zip(doc, text) for x in _parts(d, t)], pa.large_string()))
+                part = np.tile(np.arange(_PARTS), len(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (part, p.max(axis=1), best.astype(np.int64), usual, count)], ["part", "p", "best", "usual", "n"])
+
+    texts = named.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    # At most three rows of numbers a document reach the driver.
+    rows = texts.mapInArrow(run, "part long, p double, best long, usual double, n long").toPandas()
+    part, p, best, usual, count = (rows[c].to_numpy() for c in ("part", "p", "best", "usual", "n"))
+    whole = part == 0
+    n = int(whole.sum())
+    rank = int(REJECTED * (n + 1))
+    if rank:
+        model.threshold = max(float(np.sort(p[whole])[rank - 1]), 1.0 / len(model.languages))
+    if n >= LEAST_CALIBRATED:
+        of = [usual[whole & (best == k)] for k in range(len(model.languages))]
+        model.center = np.asarray([x.mean() if len(x) else usual[whole].mean() for x in of])
+        square, m = (usual - model.center[best]) ** 2, np.maximum(count, 1)
+        slope = max(1e-9, float((square * m)[~whole].mean()))
+        model.variance = (max(1e-9, float((square - slope / m)[whole].mean())), slope)
+        strange = np.sort(model.strangeness(best, usual, count)[whole])
+        model.unusual = float(strange[rank - 1] if rank else UNUSUAL)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -192,8 +273,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                lang, score = model.predict(part.column(1))
-                gone = [x == "und" or s < model.threshold for x, s in zip(lang, score)]
+                lang, score, gone = model.decide(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -208,8 +288,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                lang, score = model.predict(part.column(place))
-                yield part.filter(pa.array([x != "und" and s >= model.threshold for x, s in zip(lang, score)], pa.bool_()))
+                yield part.filter(pa.array(~model.decide(part.column(place))[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

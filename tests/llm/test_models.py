@@ -18,6 +18,21 @@ def test_language_on_held_out_documents(spark):
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.limit(50).collect())
 
 
+def test_unknown_languages_and_random_letters_are_rejected(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(50)]
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью."]
+    frame = spark.createDataFrame(list(enumerate(noise + foreign)), "doc_id long, text string")
+    model = L.train(docs)
+    assert sum(r.rejected for r in L.identify(frame, model).collect()) >= 52
+    assert L.keep_identified(frame, model).count() <= 1
+    held = L.identify(docs.where(L.held_out(F.col("doc_id"))), model)
+    assert held.where("rejected").count() <= 0.01 * held.count()
+    other = L.train(docs.where("lang <> 'es'"))
+    assert L.identify(docs.where("lang = 'es'"), other).agg(F.avg(F.col("rejected").cast("double"))).first()[0] >= 0.9
+
+
 def test_language_edge_cases(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     model = L.train(docs)
