@@ -2,8 +2,9 @@
 
 `build` fits the segments in one pass over range partitions of the keys; a partition's edge is one more segment break,
 so the error bound holds for any partitioning. Keys are taken relative to their segment's first key, in integers, before
-any floating point, so large keys lose nothing. All look-ups are equi-joins: keys and segments meet in the bins of a
-look-up table, windows and data in blocks of positions.
+any floating point, so large keys lose nothing. All look-ups are equi-joins. Predictions and lower bounds use the index:
+keys and segments meet in the bins of a look-up table, windows and data in blocks of positions. Exact look-ups, misses
+and hit counts do not: they join the probes with the keys, and no segment is fitted for them.
 """
 
 from __future__ import annotations
