@@ -16,12 +16,15 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder
+    of its own; a cluster has none that all of it shares, and is refused."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = context.getCheckpointDir()
         if base is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="plumbline-")
             context.setCheckpointDir(base)
     elif context.getCheckpointDir() is None:
@@ -68,15 +71,18 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for the actions inside, where rows are wide: both sides hold whole batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def batches_of(spark: SparkSession, rows: int, mega: int = 4) -> Iterator[None]:
+    """Arrow batches of at most so many rows and megabytes (a row at least) for the actions inside, where rows are wide:
+    both sides hold whole batches."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(mega << 20)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -93,7 +99,48 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where the table has such a column already; names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose doc_id is not in `gone`."""
-    gone = small(gone.select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = small(gone.select(F.col("doc_id").alias(name)))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+
+
+def marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a 64-bit hash of the text in a column of its own, and its name. With the doc_id it tells rows
+    apart whatever order a source is read in; rows that agree in both are copies of one row."""
+    name = unused(docs, "_mark")
+    return docs.withColumn(name, mark()), name
+
+
+def mark():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def one_each(docs: DataFrame, mark_name: str, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The marked documents without those of `gone`, and one row for each of `repeated`, in the columns of the input.
+
+    Both are tables of doc_id and mark; null doc_ids are equal here. Repeated rows are no more than their copies, and are
+    combined on the map side.
+    """
+    names = [c for c in docs.columns if c != mark_name]
+
+    def joined(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        doc, key = unused(docs, "_doc"), unused(docs, "_key")
+        keys = small(keys.select(F.col("doc_id").alias(doc), F.col("mark").alias(key)))
+        return left.join(keys, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark_name) == F.col(key)), how)
+
+    left = joined(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return left.select(*[F.col(f"`{c}`") for c in names])
+    row = unused(docs, "_row")
+    once = joined(left, repeated, "left_semi").groupBy("doc_id", mark_name).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias(row)).select(f"{row}.*")
+    return joined(left, repeated, "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(once)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,30 +37,48 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = 0x9E3779B97F4A7C15
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-@lru_cache(maxsize=4)
-def _all_powers(n: int, base: int) -> np.ndarray:
+#: Bytes hashed at a time, and of text in a slice of a column: what the loops hold is some tens of times as much.
+CHUNK = 1 << 18
+
+
+def slices(column: pa.Array, rows: int = 500) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The column in slices of at most so many rows and about CHUNK bytes, a row at least: first row, bytes and starts."""
+    data, starts = flat_bytes(column)
+    k, n = 0, len(starts) - 1
+    while k < n:
+        end = min(n, k + rows, max(k + 1, int(np.searchsorted(starts, starts[k] + CHUNK, "right")) - 1))
+        yield k, data[starts[k] : starts[end]], starts[k : end + 1] - starts[k]
+        k = end
+
+
+def _made_powers(n: int, base: int) -> np.ndarray:
+    """The first n powers modulo 2**64."""
     out = np.ones(n, dtype=np.uint64)
     size = 1
     while size < n:
         take = min(size, n - size)
-        out[size : size + take] = out[:take] * np.uint64(pow(int(base), size, 1 << 64))
+        out[size : size + take] = out[:take] * np.uint64(pow(base, size, 1 << 64))
         size += take
     return out
 
 
+_kept_powers = lru_cache(maxsize=2)(_made_powers)
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    """The first n powers modulo 2**64; tables are kept, in sizes of powers of two."""
-    return _all_powers(1 << max(16, (n - 1).bit_length()), int(base))[:n]
+    """A table for chunks is kept; a longer one, for a word of more bytes than that, is not."""
+    return _kept_powers(2 * CHUNK, base)[:n] if n <= 2 * CHUNK else _made_powers(n, base)
 
 
 def words(data: np.ndarray, starts: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, the row's first word (one more entry than rows), and each word's first byte.
 
-    Words are runs of bytes other than spaces, A to Z in lower case; equal words have equal hashes everywhere.
+    Words are runs of bytes other than spaces, A to Z in lower case; equal words have equal hashes everywhere. Words are
+    found in all of the bytes, and hashed by chunks of whole words.
     """
     n = len(data)
     if not n:
@@ -74,10 +93,16 @@ def words(data: np.ndarray, starts: np.ndarray, is_space: np.ndarray = IS_SPACE)
     closes = inside.copy()
     closes[:-1] &= ~inside[1:] | opens[1:]
     end = np.flatnonzero(closes) + 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[LOWER[data]] * _powers(n, _BASE), out=sums[1:])
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    value = (sums[end] - sums[begin]) * _powers(n, inverse)[begin]
+    inverse = pow(_BASE, -1, 1 << 64)
+    value = np.empty(len(begin), dtype=np.uint64)
+    k = 0
+    while k < len(begin):
+        upto = max(k + 1, int(np.searchsorted(end, begin[k] + CHUNK, "right")))
+        a, b = begin[k], end[upto - 1]
+        sums = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[LOWER[data[a:b]]] * _powers(b - a, _BASE), out=sums[1:])
+        value[k:upto] = (sums[end[k:upto] - a] - sums[begin[k:upto] - a]) * _powers(b - a, inverse)[begin[k:upto] - a]
+        k = upto
     value = mixed(value + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     return value, np.searchsorted(begin, starts), begin
 

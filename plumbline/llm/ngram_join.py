@@ -1,23 +1,25 @@
 """N-gram Jaccard self-join with a prefix tree, up to connected components.
 
 A document is its set of 5-word shingles, each a 64-bit hash (a pair of sets would need equal hashes of different
-shingles to be judged wrongly). Documents with equal sets are one node, known by a hash of the set, so groups of copies
-cost one node however large they are. Shingles have one global order: those found frequent come last, by rising count,
-the others by their hash. Any common order gives the same links; this one keeps frequent passages out of prefixes.
+shingles to be judged wrongly). Documents with equal sets are one node, known by a 128-bit hash of the set, so groups of
+copies cost one node however large they are. Shingles have one global order: those found frequent come last, by rising
+count, the others by their hash. Any common order gives the same links; this one keeps frequent passages out of prefixes.
 
 1. Sets of size n link at J >= 80/100 only if they share a shingle among the first n - ceil(0.8 n) + 1 in order. A map
    over the texts sends these prefixes, packed by ranges of shingles, to tasks that keep the shingles of two or more
-   nodes; frequent shingles need no such task.
-2. Per shared shingle every node is compared with one pivot, its smallest set. Links found so join groups of near
-   copies, however large, with a number of comparisons in proportion to their rows.
-3. What is left are nodes of different components that share a shingle: these pairs are compared too, so no link is lost
-   that would join two components, and no pairs are made within a group that is joined already. In both steps a pair is
-   met at the first shingle it shares, where the shorter rest of the two sets bounds what is common.
-
-Before sets are sent, parity bits of both sets, a 16th to an 8th of their size, give a lower bound of their difference; pairs that
-it rules out, which are nearly all unlinked ones, end there. Comparisons of a pivot run in a task that holds its candidates' ordered sets as a trie (sets sorted, common beginnings
-walked once): the overlap found on a shared path is kept, and a subtree is left when the overlap so far plus the shorter
-remaining length cannot reach the required overlap.
+   nodes; frequent shingles need no such task. Shingles with the same nodes stand for the same pairs: the first stays.
+2. Such a shingle is the root of a trie. It holds each node's ordered shared shingles from the root on, to a bounded
+   depth. A query walks the trie: nodes with a common beginning share the overlap found on it, and a subtree is left when
+   the overlap so far plus the shorter remaining length cannot reach what its smallest set requires. What is left at the
+   ends of paths are the candidate pairs. A pair that can link is met at the first shingle it shares.
+3. In the first pass each trie is walked with one query, the node with the fewest shingles before the root, which is the
+   centre of what shares the root. Links found so join groups of near copies, however large, at a cost in proportion to
+   their rows. In the second pass the queries are all nodes outside the largest component of their trie, and meet the
+   nodes of other components only: no link is lost that would join two components, and no pairs are made within a group
+   that is joined already. Tries of very many nodes are dealt to a grid of tasks, queries by nodes.
+4. Candidates are judged by parity bits of both sets, a 16th to an 8th of their size, which bound their difference from
+   below: most unlinked ones end there, without their sets. The others are decided exactly: whole sets go to a task per
+   query, as a trie again, walked once with the same bounds.
 
 Defined results: null or empty text, or text of white space, has an empty set and is linked with nothing; with fewer
 than 5 words the whole sequence is the one shingle; repeated rows and equal texts are linked by their equal sets; a null
@@ -33,19 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, durable, release, small, without, written
-from .flat import flat_bytes, mixed, shingles, words
+from .common import batches_of, discard, durable, mark, marked, one_each, release, small, written
+from .flat import mixed, shingles, slices, words
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
 #: Frequent shingles on the driver and in each task, at most: 16 bytes each. The limit rises until they are no more.
 FREQUENT, FREQUENT_FROM = 1_000_000, 64
-_ROWS, _LOCAL = 500, 4
-#: Rows in an Arrow batch of texts or sets, and shingles counted at a time.
-_BATCH, _COUNTED = 2000, 4_000_000
+_LOCAL = 4
+#: Rows in an Arrow batch of texts or sets, at most (4 MB of them), and shingles counted at a time.
+_BATCH, _COUNTED = 2000, 1_000_000
 _BUCKET_TOKENS = 250_000
-#: A trie holds at most so many candidate sets, and shingles on average.
-_TRIE_SETS, _TRIE_TOKENS = 512, 2_000_000
+#: A candidate trie is so deep, and holds at most so many nodes and queries in one task.
+_DEPTH, _TRIE_NODES = 16, 1024
+#: A trie of whole sets holds at most so many sets, and shingles on average.
+_TRIE_SETS, _TRIE_TOKENS = 512, 500_000
 
 
 def required(n: int, percent: int = PERCENT) -> int:
@@ -55,27 +59,38 @@ def required(n: int, percent: int = PERCENT) -> int:
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct shingles of each row."""
-    for k in range(0, len(column), _ROWS):
-        data, starts = flat_bytes(column.slice(k, _ROWS))
+    for k, data, starts in slices(column):
         word, first, _ = words(data, starts)
         run, at = shingles(word, first, width)
         for row in range(len(at) - 1):
             yield k + row, np.unique(run[at[row] : at[row + 1]])
 
 
-def _key(values: np.ndarray) -> int:
-    """A node: two independent sums over the set's members and its size, mixed to 64 bits, signed."""
+def _key(values: np.ndarray) -> bytes:
+    """A node: 128 bits of three independent sums over the set's members and its size; equal sets have equal ones."""
     if not len(values):
-        return 0
-    one, two = mixed(values).sum(dtype=np.uint64), mixed(values ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64)
-    return int(mixed(np.asarray([one ^ mixed(np.asarray([two + np.uint64(len(values))]))[0]]))[0].astype(np.int64))
+        return bytes(16)
+    one, two, three = (mixed(values ^ np.uint64(x)).sum(dtype=np.uint64) for x in (0, 0xA5A5A5A5DEADBEEF, 0x3C6EF372FE94F82B))
+    n = np.uint64(len(values))
+    return mixed(np.asarray([one ^ mixed(np.asarray([three + n]))[0], two ^ mixed(np.asarray([three ^ ~n]))[0]])).tobytes()
+
+
+def _binaries(nodes: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit halves as 16-byte values."""
+    ends = np.arange(0, 16 * len(nodes) + 1, 16, dtype="<i4")
+    return pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(nodes).tobytes())])
+
+
+def _halves(column: pa.Array) -> np.ndarray:
+    """16-byte values as rows of two 64-bit halves."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, 2)
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """A written table: id, doc_id, node and n per document, and rows of shingles found in several of some texts."""
+    """A written table: id, doc_id, mark, node and n per document, and rows of shingles found in several of some texts."""
 
-    names = ["id", "doc_id", "node", "n", "often", "counts"]
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    names = ["id", "doc_id", "mark", "node", "n", "often", "counts"]
+    kinds = [pa.int64()] * 3 + [pa.binary(), pa.int64()] + [pa.list_(pa.int64())] * 2
 
     def often(held: list[np.ndarray]) -> pa.RecordBatch:
         value = np.concatenate([*held, np.zeros(0, np.uint64)])
@@ -85,13 +100,13 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
         ahead = value[_LOCAL - 1 :]
         token = np.unique(ahead[ahead == value[: len(ahead)]])
         count = np.searchsorted(value, token, "right") - np.searchsorted(value, token, "left")
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, token.astype(np.int64), count), kinds)], names)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, None, token.astype(np.int64), count), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known, total = [], set(), 0
         for batch in batches:
             node, size = [], []
-            for _, values in _sets(batch.column(2), width):
+            for _, values in _sets(batch.column(3), width):
                 node.append(_key(values))
                 size.append(len(values))
                 if node[-1] not in known:
@@ -102,16 +117,17 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
                     yield often(held)
                     known, total = set(), 0
             none = pa.nulls(batch.num_rows, kinds[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), none, none], names)
         yield often(held)
 
     with batches_of(docs.sparkSession, _BATCH):
-        return written(_identified(docs).mapInArrow(run, "id long, doc_id long, node long, n long, often array<long>, counts array<long>"), "shingles")
+        schema = "id long, doc_id long, mark long, node binary, n long, often array<long>, counts array<long>"
+        return written(_identified(docs).mapInArrow(run, schema), "shingles")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """id finds a document again: its doc_id, or a hash of its text where that is null."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("id"), "doc_id", "text")
+    """id finds a document's text again: its doc_id, or a hash of its text where that is null."""
+    return docs.select(F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("id"), "doc_id", mark().alias("mark"), "text")
 
 
 def _frequent(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,12 +156,12 @@ def _ordered(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tu
 def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent: int) -> DataFrame:
     """A written table of token, node, n and pos, the place in the node's order: prefix shingles that several nodes have."""
     packed = "bucket int, tokens binary, nodes binary, sizes binary, places binary"
-    schema = "token long, node long, n long, pos long"
+    schema = "token long, node binary, n long, pos long"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, nodes, sizes, places, late, known = [], [], [], [], [], set()
-            for _, values in _sets(batch.column(2), width):
+            for _, values in _sets(batch.column(3), width):
                 n = len(values)
                 node = _key(values)
                 if not n or node in known:
@@ -154,7 +170,7 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
                 values, rare = _ordered(values, *frequent.value)
                 head = n - required(n, percent) + 1
                 tokens.append(values[: min(head, rare)])
-                nodes.append(np.full(len(tokens[-1]), node, dtype=np.int64))
+                nodes.append(np.tile(np.frombuffer(node, dtype="<u8"), (len(tokens[-1]), 1)))
                 sizes.append(np.full(len(tokens[-1]), n, dtype=np.int32))
                 places.append(np.arange(len(tokens[-1]), dtype=np.int32))
                 if head > rare:
@@ -172,17 +188,18 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
             # Frequent shingles are shared for certain: they go on as they are, with no bucket.
             for values, node, n, rare in late:
                 k = len(values)
-                rows.append((-1, values.tobytes(), np.full(k, node, dtype=np.int64).tobytes(), np.full(k, n, dtype=np.int32).tobytes(), np.arange(rare, rare + k, dtype=np.int32).tobytes()))
+                rows.append((-1, values.tobytes(), node * k, np.full(k, n, dtype=np.int32).tobytes(), np.arange(rare, rare + k, dtype=np.int32).tobytes()))
             kinds = (pa.int32(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["bucket", "tokens", "nodes", "sizes", "places"])
 
     def out(token, node, size, place) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(token), 50_000):
             part = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[part].view(np.int64)), pa.array(node[part]), pa.array(size[part].astype(np.int64)), pa.array(place[part].astype(np.int64))], ["token", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[part].view(np.int64)), _binaries(node[part]), pa.array(size[part].astype(np.int64)), pa.array(place[part].astype(np.int64))], ["token", "node", "n", "pos"])
 
     def unpack(rows) -> tuple[np.ndarray, ...]:
-        return tuple(np.frombuffer(b"".join(c), dtype=t) for c, t in zip(rows, ("<u8", "<i8", "<i4", "<i4")))
+        token, node, size, place = (np.frombuffer(b"".join(c), dtype=t) for c, t in zip(rows, ("<u8", "<u8", "<i4", "<i4")))
+        return token, node.reshape(-1, 2), size, place
 
     def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,9 +211,9 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns = unpack(list(zip(*held)))
-            order = np.lexsort((columns[1], columns[0]))
+            order = np.lexsort((columns[1][:, 0], columns[1][:, 1], columns[0]))
             token, node, size, place = (c[order] for c in columns)
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
+            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]).any(axis=1)])
             token, node, size, place = token[fresh], node[fresh], size[fresh], place[fresh]
             with_next = np.concatenate([token[1:] == token[:-1], [False]])
             several = with_next | np.concatenate([[False], with_next[:-1]])
@@ -215,16 +232,164 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
     spark = docs.sparkSession
     with batches_of(spark, _BATCH):
         made = written(_identified(docs).mapInArrow(prefixes, packed), "prefixes", "none")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-    rare = made.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, schema)
-    late = made.where("bucket < 0").select("tokens", "nodes", "sizes", "places").mapInArrow(frequent_rows, schema).distinct()
-    tokens = written(rare.unionByName(late), "tokens")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+        rare = made.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, schema)
+        late = made.where("bucket < 0").select("tokens", "nodes", "sizes", "places").mapInArrow(frequent_rows, schema).distinct()
+        tokens = written(rare.unionByName(late), "tokens")
     discard(made)
     release(spark)
     return tokens
 
 
-def trie_links(pivot: np.ndarray, members: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> list[int]:
+def _roots(tokens: DataFrame) -> DataFrame:
+    """The roots of tries: token, pivot (its node with the fewest shingles before it), and what bounds its pairs.
+
+    Of shingles that the same nodes have, the first in the global order is also the first in each node.
+    """
+    nodes = [F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), F.col("node"))).alias("two"), F.count(F.lit(1)).alias("many")]
+    each = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.min(F.struct("node", "pos")).alias("first"), F.min("n").alias("least"), *nodes)
+    same = each.where("many > 1").groupBy("one", "two", "many").agg(F.min_by(F.struct("token", "p", "least"), F.col("first.pos")).alias("root"))
+    return same.select("root.token", F.col("root.p.node").alias("pivot"), F.col("root.least").alias("least"), "many")
+
+
+def _paths(tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """A written table of the rows of the tries: token (the root), node, n, pos and path, the node's shared shingles from
+    the root on with their places. Rows that no partner in their trie can suit, by size and place, are left out."""
+    ahead = tokens.join(roots.select("token", "least"), "token", "left")
+    # With a partner of `least` shingles, no more than the rest from the root on is common.
+    ahead = ahead.withColumn("root", F.expr(f"coalesce({100 + percent} * (n - pos) >= {percent} * (n + least), false)"))
+    lists = ahead.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "token", "root"))).alias("all"))
+    path = f"transform(slice(all, k + 1, {_DEPTH}), y -> struct(y.token AS token, y.pos AS pos))"
+    rows = f"filter(transform(all, (x, k) -> if(x.root, struct(x.token AS token, cast(x.pos AS long) AS pos, {path} AS path), null)), x -> x IS NOT NULL)"
+    return written(lists.select("node", "n", F.inline(F.expr(rows))), "paths")
+
+
+def walk(queries: tuple, members: tuple, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs in the trie of `members`: the members' row and the queries' rows, for each member with any.
+
+    Either is (n, group, path, place) with lists of arrays for the last two: sizes, and for each row its shared shingles
+    from the root on with their places in its whole ordered set. Rows of one group are not paired.
+
+    On a path, the overlap counted up to a shingle that both have is exact; what lies beyond is at most the shorter rest.
+    """
+    size, group, path, place = queries
+    n, own, paths, places = members
+    order = sorted(range(len(n)), key=lambda k: paths[k].tobytes())
+    # Where in the queries a shingle occurs.
+    token = np.concatenate(path)
+    whose = np.repeat(np.arange(len(path)), [len(p) for p in path])
+    rest = size[whose] - np.concatenate(place) - 1
+    by_token = np.argsort(token, kind="stable")
+    token, whose, rest = token[by_token], whose[by_token], rest[by_token]
+    # Shingles that neighbours in the order of the trie have in common, from the root on.
+    common = [0] * (len(order) + 1)
+    for k in range(1, len(order)):
+        a, b = paths[order[k - 1]], paths[order[k]]
+        m = min(len(a), len(b))
+        differ = np.flatnonzero(a[:m] != b[:m])
+        common[k] = int(differ[0]) if len(differ) else m
+    need = lambda least: -(-percent * (size + least) // (100 + percent))
+    #: By depth: overlap, the query's rest and the depth at the last common shingle, the bound of the subtree, the live.
+    zero = np.zeros(len(size), dtype=np.int64)
+    stack = [(zero, size, zero, zero, np.ones(len(size), dtype=bool))]
+    k = 0
+    while k < len(order):
+        row = order[k]
+        del stack[common[k] + 1 :]
+        for depth in range(len(stack) - 1, len(paths[row])):
+            overlap, left, last, reach, live = stack[-1]
+            end = k + 1
+            while end < len(order) and common[end] > depth:
+                end += 1
+            below = order[k:end]
+            x = paths[row][depth]
+            a, b = np.searchsorted(token, x, "left"), np.searchsorted(token, x, "right")
+            if b > a:
+                hit = whose[a:b]
+                overlap, left, last, reach = overlap.copy(), left.copy(), last.copy(), reach.copy()
+                overlap[hit] += 1
+                left[hit] = rest[a:b]
+                last[hit] = depth
+                reach[hit] = overlap[hit] + np.minimum(left[hit], max(n[j] - places[j][depth] - 1 for j in below))
+            live = live & (reach >= need(min(n[j] for j in below)))
+            stack.append((overlap, left, last, reach, live))
+            if not live.any():
+                break
+        overlap, left, last, reach, live = stack[-1]
+        if len(stack) <= len(paths[row]) or not live.any():
+            # The subtree is left: its other paths go on from the same shingle.
+            k += 1
+            while k < len(order) and common[k] >= len(stack) - 1:
+                k += 1
+            continue
+        can = live & (group != own[row])
+        can &= overlap + np.minimum(left, n[row] - places[row][last] - 1) >= need(n[row])
+        if can.any():
+            yield row, np.flatnonzero(can)
+        k += 1
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes (pivot, node, with sizes pn and n) that the tries leave. Rows are those of _paths with `many`, the
+    rows of their trie, `query`, and `component`; nodes of one component are not paired. Pairs of two queries come twice
+    or more: a pair is met in each trie that holds both."""
+    names = ["pivot", "node", "n", "pn"]
+
+    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        role, node, n, component, path, place = zip(*held)
+        role, n = np.asarray(role), np.asarray(n)
+        group = np.unique(np.asarray(component, dtype=object), return_inverse=True)[1]
+        asks, holds = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
+        if not len(asks) or not len(holds):
+            return
+        some = lambda at: (n[at], group[at], [path[k] for k in at], [place[k] for k in at])
+        first, second = [], []
+        for member, found in walk(some(asks), some(holds), percent):
+            a, b = holds[member], asks[found]
+            first.append(np.full(len(b), a))
+            second.append(b)
+        if not first:
+            return
+        a, b = np.concatenate(first), np.concatenate(second)
+        low = np.asarray([(n[x], node[x]) <= (n[y], node[y]) for x, y in zip(a, b)])
+        a, b = np.where(low, a, b), np.where(low, b, a)
+        for k in range(0, len(a), 10_000):
+            x, y = a[k : k + 10_000], b[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in x], pa.binary()), pa.array([node[i] for i in y], pa.binary()), pa.array(n[y]), pa.array(n[x])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            lists = batch.column(7)
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            token, place = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy().astype(np.int64)
+            values = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist())
+            for k, (key, value) in enumerate(zip(keys, values)):
+                if key != now and held:
+                    yield from pairs(held)
+                    held = []
+                now = key
+                held.append((*value, token[ends[k] : ends[k + 1]].copy(), place[ends[k] : ends[k + 1]].copy()))
+        if held:
+            yield from pairs(held)
+
+    parts = F.ceil(F.col("many") / _TRIE_NODES)
+    mine = F.pmod(F.xxhash64("node"), parts)
+    # In a grid of parts, queries are dealt by rows and meet all columns, members the other way round.
+    role = lambda x, a, b: F.struct(F.lit(x).alias("role"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    grid = lambda f: F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), f)
+    dealt = F.when(parts <= 1, F.array(role(0, F.lit(0), F.lit(0)))).otherwise(F.concat(grid(lambda j: role(2, j, mine)), grid(lambda j: role(1, mine, j))))
+    dealt = F.filter(dealt, lambda x: F.col("query") | (x["role"] != 1))
+    flat = rows.select("token", "node", "n", "component", "path", "query", F.inline(dealt))
+    flat = flat.withColumn("role", F.when((F.col("role") == 0) & ~F.col("query"), 2).otherwise(F.col("role")))
+    flat = flat.select("token", "a", "b", "role", "node", "n", "component", "path")
+    dealt_rows = flat.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
+    return dealt_rows.mapInArrow(run, "pivot binary, node binary, n long, pn long")
+
+
+def trie_links(pivot: np.ndarray, members: list[tuple[bytes, np.ndarray]], percent: int = PERCENT) -> list[bytes]:
     """The members linked with the pivot. All sets are in the global order.
 
     Members are walked in the order of their sets, as a depth-first walk of their trie would: `depth` of the path and the
@@ -290,7 +455,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     light = durable(sets.select("node", "bits").dropDuplicates(["node"]))
     both = pairs.join(light, "node").join(light.select(F.col("node").alias("pivot"), F.col("bits").alias("pivot_bits")), "pivot")
-    return both.select("pivot", "node", "n", "pn", "bits", "pivot_bits").mapInArrow(judge, "pivot long, node long, n long")
+    return both.select("pivot", "node", "n", "pn", "bits", "pivot_bits").mapInArrow(judge, "pivot binary, node binary, n long")
 
 
 def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
@@ -300,18 +465,16 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, _ROWS):
-                rows = []
-                for _, values in _sets(batch.column(2).slice(k, _ROWS), width):
-                    if len(values):
-                        rows.append((_key(values), _ordered(values, *frequent.value)[0].tobytes(), parity(values)))
-                kinds = (pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, kinds)], ["node", "tokens", "bits"])
+            rows = []
+            for _, values in _sets(batch.column(3), width):
+                if len(values):
+                    rows.append((_key(values), _ordered(values, *frequent.value)[0].tobytes(), parity(values)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [[]] * 3)], ["node", "tokens", "bits"])
 
     wanted = small(durable(wanted))
     with batches_of(docs.sparkSession, _BATCH):
-        sets = written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(ordered, "node long, tokens binary, bits binary"), "sets", "none")
-    pairs = durable(_possible(pairs, sets, percent))
+        sets = written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(ordered, "node binary, tokens binary, bits binary"), "sets", "none")
+        pairs = durable(_possible(pairs, sets, percent))
     size = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _TRIE_SETS, F.sum("n") / _TRIE_TOKENS)).alias("parts"))
     dealt = durable(pairs.join(size, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
     heads = dealt.select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct()
@@ -321,11 +484,11 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivot, members = None, None, {}
 
-        def flush() -> list[tuple[int, int]]:
+        def flush() -> list[tuple[bytes, bytes]]:
             return [(now[0], node) for node in trie_links(pivot, list(members.items()), percent)] if pivot is not None and members else []
 
         for batch in batches:
-            links = []
+            links: list[tuple[bytes, bytes]] = []
             for group, part, role, node, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if (group, part) != now:
                     links += flush()
@@ -335,108 +498,78 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, wid
                     pivot = values
                 else:
                     members[node] = values
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else [[], []])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*links) if links else [[], []])], ["a", "b"])
         links = flush()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else [[], []])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*links) if links else [[], []])], ["a", "b"])
 
     sorted_rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
-    with batches_of(docs.sparkSession, _BATCH // 4):
-        links = written(sorted_rows.mapInArrow(walk, "a long, b long"), "links")
+    with batches_of(docs.sparkSession, _BATCH):
+        links = written(sorted_rows.mapInArrow(walk, "a binary, b binary"), "links")
     discard(sets)
     release(docs.sparkSession)
     return links
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that share a shingle, are of different components and pass the bound: pivot, node, n and pn.
-
-    Rows are token, component, node, n and pos. A shingle's nodes are compared in blocks of arrays, all with those that
-    are not of its largest component, and only pairs that pass are made.
-    """
-    names = ["pivot", "node", "n", "pn"]
-
-    def passing(component, node, n, pos) -> Iterator[pa.RecordBatch]:
-        _, kind, count = np.unique(component, return_inverse=True, return_counts=True)
-        few = np.flatnonzero(kind != count.argmax())
-        inside = np.zeros(len(kind), dtype=bool)
-        inside[few] = True
-        rest, block = n - pos, max(1, 1_000_000 // len(kind))
-        for k in range(0, len(few), block):
-            a = few[k : k + block, None]
-            ok = (100 + percent) * np.minimum(rest[a], rest) >= percent * (n[a] + n)
-            ok &= (kind[a] != kind) & (~inside | (node[a] < node))
-            x, y = np.nonzero(ok)
-            x = few[k : k + block][x]
-            low = np.where(n[x] <= n[y], x, y)
-            high = x + y - low
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[low], node[high], n[high], n[low])], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-        for batch in batches:
-            token, *columns = (c.to_numpy() for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    if token[a] != now and held:
-                        yield from passing(*(np.concatenate(c) for c in zip(*held)))
-                        held = []
-                    now = token[a]
-                    held.append(tuple(c[a:b] for c in columns))
-        if held:
-            yield from passing(*(np.concatenate(c) for c in zip(*held)))
-
-    ordered = rows.select("token", "component", "node", "n", "pos").repartition("token").sortWithinPartitions("token")
-    return ordered.mapInArrow(run, "pivot long, node long, n long, pn long")
-
-
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (equal for equal sets) of every row."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles and node of every row, and the component of its node: null for an empty set."""
     spark = docs.sparkSession
     table = _described(docs, width)
     frequent = spark.sparkContext.broadcast(_frequent(table, FREQUENT))
     total = table.agg(F.sum((100 - percent) * F.col("n") / 100 + 1)).first()[0] or 0
     tokens = _shared_tokens(docs, frequent, max(12, int(total / _BUCKET_TOKENS)), width, percent)
-    # 2. Every node against the smallest set that shares a shingle with it.
-    pivots = durable(tokens.groupBy("token").agg(F.min(F.struct("n", "node", "pos")).alias("p"), F.count(F.lit(1)).alias("many")).select("token", F.col("p.n").alias("pn"), F.col("p.node").alias("pivot"), F.col("p.pos").alias("ppos"), "many"))
-    # Where a shingle is the first that two sets share, no more than the shorter rest from it on is common. A pair that
-    # this rules out at one shingle is met at its first one, if it can link at all.
-    rest = f"{100 + percent} * least(n - pos, pn - ppos) >= {percent} * (n + pn)"
-    near = F.expr(f"node <> pivot AND 100 * pn >= {percent} * n AND {rest}")
-    stars = durable(tokens.join(pivots, "token").where(near).select("pivot", "node", "n", "pn").distinct())
+    roots = durable(_roots(tokens))
+    rows = _paths(tokens, roots, percent)
+    discard(tokens)
+    # First pass: every node against the centre of its trie.
+    first = rows.join(roots.select("token", "pivot", "many"), "token").withColumn("component", F.col("node"))
+    first = first.withColumn("query", F.col("node") == F.col("pivot"))
+    with batches_of(spark, _BATCH):
+        stars = durable(_candidates(first, percent).distinct())
     links = _verified(docs, table, stars, frequent, width, percent)
     found = durable(components(links))
-    # 3. Nodes of different components that share a shingle with neither of them its pivot.
-    mine = tokens.join(pivots.where("many > 2"), "token").where("node <> pivot").select("token", "node", "n", "pos")
-    known = found.select("node", "component")
-    mine = mine.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    groups = mine.groupBy("token", "component").agg(F.lit(1).alias("_"))
-    mixed_tokens = groups.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    mine = durable(mine.join(mixed_tokens, "token", "left_semi"))
-    pairs = _across(mine, percent).distinct()
-    done = stars.select("pivot", "node").unionByName(stars.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")))
-    pairs = durable(pairs.join(done, ["pivot", "node"], "left_anti"))
+    # Second pass: nodes outside the largest component of their trie.
+    mine = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kinds = mine.groupBy("token", "component").agg(F.count(F.lit(1)).alias("many"))
+    main = kinds.groupBy("token").agg(F.max(F.struct("many", "component"))["component"].alias("main"), F.sum("many").alias("many"), F.count(F.lit(1)).alias("kinds"))
+    mine = mine.join(durable(main.where("kinds > 1").drop("kinds")), "token").withColumn("query", F.col("component") != F.col("main"))
+    with batches_of(spark, _BATCH):
+        pairs = durable(_candidates(mine, percent).distinct().join(stars, ["pivot", "node"], "left_anti"))
     if not pairs.isEmpty():
         links = links.unionByName(_verified(docs, table, pairs, frequent, width, percent))
         found = durable(components(links))
-    rows = table.where("node IS NOT NULL").select("doc_id", "node", F.col("n").alias("n_shingles"))
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left")
-    nodes = durable(nodes.withColumn("component", F.coalesce("component", "node")))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = durable(nodes.join(least, "component").select(F.col("node").alias("_node"), "component_id"))
-    rows = rows.join(named, (F.col("n_shingles") > 0) & (F.col("node") == F.col("_node")), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    discard(rows)
+    each = table.where("node IS NOT NULL").select("doc_id", "mark", "node", F.col("n").alias("n_shingles"))
+    named = small(found.select(F.col("node").alias("_node"), "component"))
+    each = each.join(named, (F.col("n_shingles") > 0) & (F.col("node") == F.col("_node")), "left")
+    return each.select("doc_id", "mark", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and node (equal for equal sets) of every row."""
+    rows = durable(_grouped(docs, width, percent))
+    # A document that is alone in its component needs no join: only components of several rows are looked up.
+    least = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    least = small(durable(least.where("rows > 1").select(F.col("component").alias("_component"), "least")))
+    rows = rows.join(least, F.col("component") == F.col("_component"), "left")
+    component = F.when(F.col("_component").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), "node")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents with one of each component, the one with the smallest doc_id, and all that are linked with nothing.
+    """The documents with one row of each component, and all rows that are linked with nothing.
 
-    Rows are told apart by doc_id here: repeated doc_ids are one document, and null ones are kept.
+    The row with the smallest doc_id stays, then the one with the smallest hash of its text; of rows that agree in both
+    any one. Rows are told apart by both, so that a row of another text keeps its place beside a row of the same doc_id
+    that goes. Rows with a null doc_id stay, all of them.
     """
-    gone = near_duplicates(docs, width, percent).where("doc_id <> component_id").select("doc_id")
-    return without(docs, durable(gone.distinct()))
+    rows = durable(_grouped(docs, width, percent).where("component IS NOT NULL AND doc_id IS NOT NULL"))
+    order = F.struct("doc_id", "mark")
+    groups = rows.groupBy("component").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    groups = small(durable(groups.where("rows > 1").drop("rows")))
+    several = rows.join(groups, "component").withColumn("goes", order != F.col("stays"))
+    several = durable(several.groupBy("doc_id", "mark", "goes").agg(F.count(F.lit(1)).alias("rows")))
+    docs, name = marked(docs)
+    return one_each(docs, name, durable(several.where("goes").select("doc_id", "mark")), durable(several.where("NOT goes AND rows > 1").select("doc_id", "mark")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

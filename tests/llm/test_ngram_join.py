@@ -84,3 +84,59 @@ def test_keep_one_and_empty_table(spark):
     docs = spark.createDataFrame([(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "z"), (None, "a b c d e f g"), (5, None)], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in J.keep_one(docs).collect()) == ["1", "2", "5", "None"]
     assert J.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_goes_by_rows(spark):
+    same, other = "a b c d e f g", "quite another text of some words"
+    rows = [(3, same), (7, same), (7, other), (7, other), (9, other + " more"), (9, None), (None, same), (11, "alone here"), (11, "alone here")]
+    docs = spark.createDataFrame([(*r, k, {"k": k}) for k, r in enumerate(rows)], "doc_id long, text string, _gone int, _MARK map<string, int>")
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert got == sorted([("3", same), ("7", other), ("9", other + " more"), ("9", "None"), ("None", same), ("11", "alone here")])
+
+
+def candidates(rows, percent=80):
+    """All pairs of one trie that the walk leaves, from (n, group, tokens, places)."""
+    n, group = np.asarray([r[0] for r in rows]), np.asarray([r[1] for r in rows])
+    side = (n, group, [r[2] for r in rows], [r[3] for r in rows])
+    return {(min(a, b), max(a, b)) for a, found in J.walk(side, side, percent) for b in found.tolist()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_walk_meets_every_linked_pair_and_few_others(seed):
+    rng = np.random.default_rng(seed)
+    root, rows, sets = 5, [], []
+    for family in range(12):
+        base = rng.choice(np.arange(6, 5000), rng.integers(3, 60), replace=False)
+        for _ in range(6):
+            keep = base[rng.random(len(base)) > rng.random() * 0.25]
+            own = np.sort(rng.choice(5, rng.integers(0, 5), replace=False))
+            sets.append(np.concatenate([own, [root], np.sort(keep)]))
+    seen = {}
+    for s in sets:
+        for x in s[: len(s) - J.required(len(s)) + 1].tolist():
+            seen[x] = seen.get(x, 0) + 1
+    for k, s in enumerate(sets):
+        head = len(s) - J.required(len(s)) + 1
+        if root not in s[:head]:
+            continue
+        at = [j for j in range(head) if s[j] >= root and seen[s[j]] > 1][:16]
+        rows.append((len(s), k, s[at].astype(np.uint64), np.asarray(at), k))
+    linked = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (lambda a, b: not (a & b & set(range(5))) and 100 * len(a & b) >= 80 * len(a | b))(set(sets[rows[i][4]].tolist()), set(sets[rows[j][4]].tolist()))}
+    found = candidates([r[:4] for r in rows])
+    assert linked <= found and len(found) <= len(rows) * (len(rows) - 1) // 4
+
+
+def test_tries_dealt_to_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(J, "_TRIE_NODES", 3)
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.near_duplicates(docs).collect()) == brute(rows)
+
+
+def test_very_long_text_and_word(spark):
+    words = " ".join(f"w{k % 977}x{k % 1013}" for k in range(150_000))
+    rows = [(1, words), (2, words + " end"), (3, "x" * 2_000_000), (4, "y" + "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted((r.doc_id, r.component_id) for r in J.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
