@@ -4,11 +4,15 @@ A byte-level BPE of this family starts a new piece at every space that stands be
 so a text may be cut there and the parts encoded one by one. Parts repeat, so each worker keeps the packed ids of the
 parts it has seen, in a dictionary of bounded size. Parts that are new go to the faster of the two libraries that read
 this vocabulary (ranks instead of a merge list); the tests hold its ids against the other's.
+
+The string of a special token in a text is ordinary text, or, with `special`, becomes its id, as the tokenizer file has
+it by default.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 from functools import lru_cache
@@ -29,10 +33,19 @@ def rank_file(path: str) -> str:
     return path.removesuffix(".json") + ".tiktoken"
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The strings and ids of a tokenizer file's added tokens, the longest first: they are found before the pattern cuts."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError(f"{path} has added tokens that depend on what is around them")
+    return {t["content"]: t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))}
+
+
 class Encoder:
-    """Packed little-endian unsigned 32-bit ids of whole texts, without special tokens."""
+    """Packed little-endian unsigned 32-bit ids of whole texts; none are added at the ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -40,6 +53,8 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._encode, self._piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
+        self._special = special_tokens(path) if special else {}
+        self._cut = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
         self._seen: dict[str, bytes] = {}
         self._rest: dict[str, bytes] = {}
 
@@ -76,6 +91,12 @@ class Encoder:
         return ids + more
 
     def ids(self, text: str) -> bytes:
+        if self._cut is not None and any(s in text for s in self._special):
+            # Odd parts are special tokens.
+            return b"".join(_PACK[1](self._special[x]) if k % 2 else self._plain(x) for k, x in enumerate(self._cut.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = self._parts(text)
@@ -90,9 +111,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """The worker's encoder for a file; kept between batches and tasks."""
-    return Encoder(path)
+    return Encoder(path, special)
 
 
 def default_path() -> str:

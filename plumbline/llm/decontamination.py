@@ -1,14 +1,15 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 Texts and items are sequences of words (runs of letters, digits and non-ASCII characters, A to Z in lower case). A
-document is contaminated by an item of n words if a window of its words is within k = floor(n * EDITS) word edits; such
-a window has n - k to n + k words. find_leaks() takes windows of exactly n words unless it is called with wide.
+document is contaminated by an item of n words if a window of its words is within k = floor(n * EDITS) word edits, or
+is the item itself where n is under LEAST_WORDS: k is 0 then. Such a window has n - k to n + k words. find_leaks() takes windows of exactly n words unless it is called with wide.
 
 * The random walk embedding of Chakraborty, Goldenberg and Koucky reads a sequence with steps of 0 or 1 that a hash of
   the step and the symbol decides, for 3n steps. Sequences at small edit distance fall into step again and so are at
   small Hamming distance.
 * Bit sampling: a table takes SAMPLED coordinates of a walk. Windows and items that agree in one of WALKS * TABLES
-  tables are candidates. The numbers are set for a recall of 0.99 at the largest distance; the tests measure it.
+  tables are candidates. A window that equals the item agrees in all. The tests hold recall over all distances, up to
+  the largest, to 0.95.
 * Candidates are verified by the bit-parallel edit distance over words, so no clean window is reported. Wide windows are
   sought in the candidate and k words on either side of it, with free ends.
 
@@ -16,9 +17,9 @@ Windows that cannot be within the distance are passed over before, without loss:
 words shares at least n - q + 1 - k * q of the item's q-word runs. Only where a document has that many of one item's
 runs within the longest window are windows of the item's size embedded, one at each word.
 
-The items are the query set. They go to all executors in blocks of BLOCK_ITEMS, each a pass over the documents, which is
-a map: nothing is shuffled. Defined results: null and empty texts match nothing; items of under LEAST_WORDS words are not
-searched for; a document with fewer words than an item is one window; of windows at the same distance the first is
+The items are the query set. They go to all executors in blocks of BLOCK_ITEMS and BLOCK_CHARS at most, each a pass over
+the documents, which is a map: nothing is shuffled. Defined results: null and empty texts match nothing, nor do items
+without a word; an item of a few words matches wherever these stand together; a document with fewer words than an item is one window; of windows at the same distance the first is
 reported, and of wide ones with the same start the shortest; repeated rows and items are reported each; empty tables give no rows. Other columns are ignored.
 """
 
@@ -32,17 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import columns
-from .flat import flat_bytes, mixed, shingles, words
+from .flat import flat_bytes, mixed, shingles, slices, words
 
-EDITS, LEAST_WORDS, BLOCK_ITEMS = 0.2, 8, 50_000
+EDITS, LEAST_WORDS, BLOCK_ITEMS, BLOCK_CHARS = 0.2, 8, 50_000, 20_000_000
 WALKS, TABLES, SAMPLED = 8, 4, 2
 
 #: Bytes between words: all ASCII but letters and digits.
 BREAKS = np.ones(256, dtype=bool)
 BREAKS[128:] = BREAKS[48:58] = BREAKS[65:91] = BREAKS[97:123] = False
 
-#: Rows read, and windows compared, at a time.
-_ROWS, _WINDOWS = 500, 20_000
+#: Windows compared at a time.
+_WINDOWS = 20_000
 
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -129,7 +130,7 @@ def signatures(sequences: np.ndarray, length: np.ndarray, size: int, seed: int =
 
 
 def allowed(n: int, edits: float) -> int:
-    return int(n * edits)
+    return int(n * edits) if n >= LEAST_WORDS else 0
 
 
 @dataclass
@@ -213,8 +214,7 @@ class Index:
         """Row, item, first word, words and distance of each match of a column of texts."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         held: dict[int, list[tuple]] = {}
-        for k in range(0, len(column), _ROWS):
-            data, starts = flat_bytes(column.slice(k, _ROWS))
+        for k, data, starts in slices(column):
             word, first, _ = words(data, starts, BREAKS)
             todo: dict[int, set[tuple[int, int]]] = {}
             for r, i, at in self.windows(word, first):
@@ -263,21 +263,22 @@ class Index:
                     best[r, i] = (d, int(start[w]), int(length[w]))
 
 
-def index_of(items: list[tuple[int, str]], edits: float = EDITS, least_words: int = LEAST_WORDS, wide: bool = False) -> Index:
+def index_of(items: list[tuple[int, str]], edits: float = EDITS, wide: bool = False) -> Index:
     data, starts = flat_bytes(pa.array([t for _, t in items], pa.string()))
     word, first, _ = words(data, starts, BREAKS)
-    some = [k for k in range(len(items)) if first[k + 1] - first[k] >= least_words]
+    some = [k for k in range(len(items)) if first[k + 1] > first[k]]
     return Index([items[k][0] for k in some], [word[first[k] : first[k + 1]] for k in some], edits, wide)
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
     """The items, block by block: one block at a time is on the driver."""
-    block = []
+    block, chars = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         block.append((r.item_id, r.text))
-        if len(block) == block_items:
+        chars += len(r.text or "")
+        if len(block) == block_items or chars >= BLOCK_CHARS:
             yield block
-            block = []
+            block, chars = [], 0
     if block:
         yield block
 

@@ -5,6 +5,9 @@ running sum. The totals of the parts, one number per partition, give each part i
 Pass 2 adds the offset and cuts the one long sequence into windows of a fixed length. It is a map over the written
 table: nothing is shuffled, and a window that crosses partitions has a boundary record on either side.
 
+Ids are those of the tokenizer file, to which none are added: the string of one of its special tokens in a text becomes
+that token's id, as it does by default, or is ordinary text with `special` False.
+
 Defined results: null text is empty and gives the closing id alone; repeated and null doc_ids are documents of their
 own; an empty table gives no rows; only the last sequence may be shorter than the window. A document longer than a
 window gets a piece per window. Columns other than doc_id and text are ignored.
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import default_path, encoder
-from .common import columns, written
+from .common import batches_of, columns, written
 
 WINDOW, END_ID = 1024, 0
 
@@ -32,7 +35,7 @@ _PIECES = (
 )
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, special: bool = True) -> DataFrame:
     """A written table of the documents' ids, each with the number of ids before it in its partition.
 
     Ids are kept in 16 bits where the vocabulary allows it.
@@ -42,7 +45,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        part, before, enc = TaskContext.get().partitionId(), 0, encoder(path, special)
         tail = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             starts, sizes, ids = [], [], []
@@ -59,7 +62,8 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
                 ["part", "start_in_part", "n", "doc_id", "ids"],
             )
 
-    return written(columns(docs, "doc_id", "text").mapInArrow(run, _TOKENS), "tokens")
+    with batches_of(docs.sparkSession, 2000):
+        return written(columns(docs, "doc_id", "text").mapInArrow(run, _TOKENS), "tokens")
 
 
 def unpacked(ids: bytes) -> np.ndarray:
@@ -77,9 +81,9 @@ def part_offsets(tokens: DataFrame) -> dict[int, int]:
     return offsets
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, with_ids: bool = True, special: bool = True) -> DataFrame:
     """A row per piece of a document in a sequence; opens and closes mark the first and last piece of its document."""
-    tokens = tokenized(docs, tokenizer)
+    tokens = tokenized(docs, tokenizer, special=special)
     offsets = part_offsets(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

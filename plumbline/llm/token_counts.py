@@ -6,6 +6,10 @@ else. Ties follow the tokenizer: matches compete at their end, in the order of t
 score replaces an earlier one; a character without a piece of its own costs the lowest score less 10 and, with byte
 fallback, counts as its UTF-8 bytes. Scores are summed in double precision.
 
+The default vocabulary is the file of a BPE model, whose scores are the negative ranks of its merges; it is used here as
+a unigram vocabulary, so counts are not those of that BPE model. Pieces that stand for single bytes are never matched in
+a text: the text <0x0A> is six characters.
+
 Text is taken as it is, with U+2581 before it and in place of each space. No piece holds that sign behind another
 character (this is checked), so the best path has a cut before each run of it and words may be counted one by one; the
 counts of the words seen are kept, in a dictionary of bounded size.

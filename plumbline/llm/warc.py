@@ -5,7 +5,8 @@ of at least `least` bytes are stored once: the record with the smallest page_id
 revisit records that name it. Reading: a task walks through an archive with buffers of a fixed size and emits rows
 (record, chunk number), each with the digest of the payload so far, so no record is ever held whole, however large.
 
-Archives lie in the shared folder, reached through its URI. Each attempt of a task writes archives of its own names and
+Archives lie in the shared folder, reached through its URI: by pyarrow, in the tasks, so the store must be one that
+pyarrow knows too. Each attempt of a task writes archives of its own names and
 only those of the attempt that succeeded are in the list, so a lost executor leaves nothing but unlisted files.
 
 Defined results: null html is an empty payload; payloads under `least` bytes are always responses; repeated rows with
@@ -26,7 +27,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, scratch_path, written
+from .common import batches_of, durable, scratch_path, written
 
 LEAST_BYTES = 100
 CHUNK_BYTES = 1 << 20
@@ -132,7 +133,8 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))], ["archive", "records", "bytes"])
 
     listed = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, _LIST)
-    return written(listed, "archives")
+    with batches_of(rows.sparkSession, 2000):
+        return written(listed, "archives")
 
 
 class _Reader:
@@ -256,7 +258,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = scratch_path(spark, "warc")
     archives = write_archives(with_targets(pages), folder)
-    return record_table(read_archives(archives, folder, payloads=False))
+    return record_table(read_archives(archives, folder))
 
 
 SQL = """

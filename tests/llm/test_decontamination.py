@@ -132,3 +132,22 @@ def test_edge_cases(spark):
     kept = D.keep_clean(frame, items)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2"] and kept.columns == frame.columns
     assert D.find_leaks(frame, items.limit(0)).count() == 0 == D.find_leaks(frame.limit(0), items).count()
+
+
+def test_short_items_are_sought_word_for_word(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "one two three four five six seven"), (4, " ,; "), (5, "é f g")]
+    docs = [(1, "x Alpha, y"), (2, "beta, GAMMA"), (3, "beta x gamma"), (4, "one two three four five six seven"), (5, "one two three four five six eight"), (6, "alphabet"), (7, "d é f g alpha"), (8, " ,; ")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1, 1, 2), (2, 2, 0, 2), (4, 3, 0, 7), (7, 1, 4, 5), (7, 5, 1, 4)}
+    for wide in (False, True):
+        assert {(r.doc_id, r.item_id, r.word_start, r.word_end) for r in D.find_leaks(frame, bench, wide=wide).collect()} == want
+    assert {r.doc_id for r in D.keep_clean(frame, bench).collect()} == {3, 5, 6, 8}
+
+
+def test_blocks_are_bounded_by_text(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_CHARS", 30)
+    items, docs = made(9)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(D._blocks(bench, 1000))) == len(items)
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame, bench).collect()}
+    assert got <= set(brute(items, docs)) and len(got) >= 0.9 * len(brute(items, docs))

@@ -31,7 +31,25 @@ def test_ids_equal_the_tokenizer(reference):
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == reference(t), t[:80]
 
 
-def test_packing_is_a_lossless_cut(spark, reference):
+@pytest.fixture(scope="module")
+def contract():
+    """The tokenizer as its file has it: special tokens in a text are found, and none are added."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe_ids.default_path())
+    return lambda x: t.encode(x, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_a_text(contract):
+    enc = bpe_ids.Encoder(bpe_ids.default_path(), special=True)
+    some = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", " <|endoftext|", "<|endoftext|> <|", "don't<|endoftext|>'t"]
+    for t in some + texts():
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == contract(t), t[:80]
+    assert contract(some[1])[1:-1] != bpe_ids.Encoder(bpe_ids.default_path()).ids(some[1])
+
+
+def test_packing_is_a_lossless_cut(spark, contract):
+    reference = contract
     rows = [(k, t) for k, t in enumerate(texts(40))] + [(None, "null id"), (3, "again"), (3, "again"), (500, None)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int").repartition(5)
     for window in (16, 1024):
@@ -67,6 +85,20 @@ def test_counts_equal_a_unigram_tokenizer(spark):
     assert [got[k] for k in range(len(some))] == [len(hf.encode(t).ids) for t in some]
 
 
+def test_byte_pieces_are_not_found_in_texts(spark):
+    """The text <0x0A> is six characters: the pieces that stand for bytes are for characters without a piece only."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models, normalizers
+
+    model = sentencepiece.SentencePieceProcessor(model_file=T.default_path())
+    plain = [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size()) if not model.is_byte(k)]
+    hf = Tokenizer(models.Unigram(plain, unk_id=0))
+    hf.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    some = ["<0x0A>", "a <0x0A>b <0xFF> <0x41>", "<0x0A"]
+    got = {r.doc_id: r.n_tokens for r in T.count_tokens(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(some))] == [len(hf.encode(t).ids) for t in some]
+
+
 def test_ties_and_unknown_runs():
     rng = random.Random(1)
     from tokenizers import Tokenizer, models
