@@ -12,11 +12,12 @@ count, the others by their hash. Any common order gives the same links; this one
    depth. A query walks the trie: nodes with a common beginning share the overlap found on it, and a subtree is left when
    the overlap so far plus the shorter remaining length cannot reach what its smallest set requires. What is left at the
    ends of paths are the candidate pairs. A pair that can link is met at the first shingle it shares.
-3. In the first pass each trie is walked with one query, the node with the fewest shingles before the root, which is the
-   centre of what shares the root. Links found so join groups of near copies, however large, at a cost in proportion to
-   their rows. In the second pass the queries are all nodes outside the largest component of their trie, and meet the
-   nodes of other components only: no link is lost that would join two components, and no pairs are made within a group
-   that is joined already. Tries of very many nodes are dealt to a grid of tasks, queries by nodes.
+3. In the first pass the nodes of each trie meet one of them only, that with the fewest shingles before the root, which is
+   the centre of what shares the root: the lengths that remain decide. Links found so join groups of near copies, however
+   large, at a cost in proportion to their rows. In the second pass the tries are walked. The queries are all nodes
+   outside the largest component of their trie, and meet the nodes of other components only: no link is lost that would
+   join two components, and no pairs are made within a group that is joined already. Tries of very many nodes are dealt
+   to a grid of tasks, queries by nodes.
 4. Candidates are judged by parity bits of both sets, a 16th to an 8th of their size, which bound their difference from
    below: most unlinked ones end there, without their sets. The others are decided exactly: whole sets go to a task per
    query, as a trie again, walked once with the same bounds.
@@ -45,7 +46,7 @@ FREQUENT, FREQUENT_FROM = 1_000_000, 64
 _LOCAL = 4
 #: Rows in an Arrow batch of texts or sets, at most (4 MB of them), and shingles counted at a time.
 _BATCH, _COUNTED = 2000, 1_000_000
-_BUCKET_TOKENS = 250_000
+_BUCKET_TOKENS, _HELD_BYTES = 250_000, 32_000_000
 #: A candidate trie is so deep, and holds at most so many nodes and queries in one task.
 _DEPTH, _TRIE_NODES = 16, 1024
 #: A trie of whole sets holds at most so many sets, and shingles on average.
@@ -185,10 +186,10 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
                     some = order[edge[k] : edge[k + 1]]
                     if len(some):
                         rows.append((k, token[some].tobytes(), node[some].tobytes(), size[some].tobytes(), place[some].tobytes()))
-            # Frequent shingles are shared for certain: they go on as they are, with no bucket.
+            # Frequent shingles are shared for certain: their rows are dealt by node.
             for values, node, n, rare in late:
-                k = len(values)
-                rows.append((-1, values.tobytes(), node * k, np.full(k, n, dtype=np.int32).tobytes(), np.arange(rare, rare + k, dtype=np.int32).tobytes()))
+                k, bucket = len(values), -1 - int.from_bytes(node[:8], "little") % buckets
+                rows.append((bucket, values.tobytes(), node * k, np.full(k, n, dtype=np.int32).tobytes(), np.arange(rare, rare + k, dtype=np.int32).tobytes()))
             kinds = (pa.int32(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["bucket", "tokens", "nodes", "sizes", "places"])
 
@@ -201,55 +202,58 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
         token, node, size, place = (np.frombuffer(b"".join(c), dtype=t) for c, t in zip(rows, ("<u8", "<u8", "<i4", "<i4")))
         return token, node.reshape(-1, 2), size, place
 
-    def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from out(*unpack([c.to_pylist() for c in batch.columns]))
+    def distinct(held: list) -> tuple[np.ndarray, ...]:
+        """The rows, sorted by shingle and node, each once."""
+        columns = unpack(list(zip(*held)))
+        order = np.lexsort((columns[1][:, 0], columns[1][:, 1], columns[0]))
+        token, node, size, place = (c[order] for c in columns)
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]).any(axis=1)])
+        return token[fresh], node[fresh], size[fresh], place[fresh]
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; one bucket is held at a time."""
-        bucket, held = None, []
+        """Rows come sorted by bucket; one bucket is held at a time, and copies in it are dropped as they gather."""
+        bucket, held, size, least = None, [], 0, _HELD_BYTES
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = unpack(list(zip(*held)))
-            order = np.lexsort((columns[1][:, 0], columns[1][:, 1], columns[0]))
-            token, node, size, place = (c[order] for c in columns)
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1]).any(axis=1)])
-            token, node, size, place = token[fresh], node[fresh], size[fresh], place[fresh]
+            token, *rest = distinct(held)
             with_next = np.concatenate([token[1:] == token[:-1], [False]])
-            several = with_next | np.concatenate([[False], with_next[:-1]])
-            yield from out(token[several], node[several], size[several], place[several])
+            several = with_next | np.concatenate([[False], with_next[:-1]]) | (bucket < 0)
+            yield from out(token[several], *(c[several] for c in rest))
 
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != bucket and held:
                     yield from flush()
-                    held = []
+                    held, size, least = [], 0, _HELD_BYTES
                 bucket = k
                 held.append(row)
+                size += sum(map(len, row))
+                if size >= least:
+                    held = [[c.tobytes() for c in distinct(held)]]
+                    size = sum(map(len, held[0]))
+                    least = _HELD_BYTES + 2 * size
         if held:
             yield from flush()
 
     spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     with batches_of(spark, _BATCH):
-        made = written(_identified(docs).mapInArrow(prefixes, packed), "prefixes", "none")
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
-        rare = made.where("bucket >= 0").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, schema)
-        late = made.where("bucket < 0").select("tokens", "nodes", "sizes", "places").mapInArrow(frequent_rows, schema).distinct()
-        tokens = written(rare.unionByName(late), "tokens")
-    discard(made)
+        made = _identified(docs).mapInArrow(prefixes, packed)
+        tokens = written(made.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, schema), "tokens")
     release(spark)
     return tokens
 
 
 def _roots(tokens: DataFrame) -> DataFrame:
-    """The roots of tries: token, pivot (its node with the fewest shingles before it), and what bounds its pairs.
+    """The roots of tries: token, pivot (the node with the fewest shingles before it, with pn and ppos, its size and the
+    root's place) and the size of the least node.
 
     Of shingles that the same nodes have, the first in the global order is also the first in each node.
     """
     nodes = [F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), F.col("node"))).alias("two"), F.count(F.lit(1)).alias("many")]
     each = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.min(F.struct("node", "pos")).alias("first"), F.min("n").alias("least"), *nodes)
     same = each.where("many > 1").groupBy("one", "two", "many").agg(F.min_by(F.struct("token", "p", "least"), F.col("first.pos")).alias("root"))
-    return same.select("root.token", F.col("root.p.node").alias("pivot"), F.col("root.least").alias("least"), "many")
+    return same.select("root.token", F.col("root.p.node").alias("pivot"), F.col("root.p.n").alias("pn"), F.col("root.p.pos").alias("ppos"), F.col("root.least").alias("least"))
 
 
 def _paths(tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -329,29 +333,55 @@ def walk(queries: tuple, members: tuple, percent: int = PERCENT) -> Iterator[tup
         k += 1
 
 
+def _central(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a trie's pivot with the others (pivot, node, with sizes pn and n; the pivot is the smaller one): those for
+    which the shorter rest from the root on is long enough. A pair that this rules out at one shingle is met at the first
+    it shares, if it can link at all."""
+    near = F.expr(f"node <> pivot AND {100 + percent} * least(n - pos, pn - ppos) >= {percent} * (n + pn)")
+    both = rows.join(roots.drop("least"), "token").where(near).select(F.struct("n", "node").alias("x"), F.struct(F.col("pn").alias("n"), F.col("pivot").alias("node")).alias("y"))
+    both = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return both.select(F.col("x.node").alias("pivot"), F.col("y.node").alias("node"), F.col("y.n").alias("n"), F.col("x.n").alias("pn")).distinct()
+
+
+def _hopeful(n: np.ndarray, group: np.ndarray, rest: np.ndarray, asks: np.ndarray, holds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The queries and members of a trie that have a partner at all for which the shorter rest is long enough."""
+    some, any_of = np.zeros(len(asks), dtype=bool), np.zeros(len(holds), dtype=bool)
+    step = max(1, 1_000_000 // len(holds))
+    for k in range(0, len(asks), step):
+        a, b = asks[k : k + step, None], holds[None]
+        ok = ((100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (n[a] + n[b])) & (group[a] != group[b])
+        some[k : k + step] = ok.any(axis=1)
+        any_of |= ok.any(axis=0)
+    return asks[some], holds[any_of]
+
+
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes (pivot, node, with sizes pn and n) that the tries leave. Rows are those of _paths with `many`, the
-    rows of their trie, `query`, and `component`; nodes of one component are not paired. Pairs of two queries come twice
-    or more: a pair is met in each trie that holds both."""
+    """Pairs of nodes (pivot, node, with sizes pn and n; the pivot is the smaller one) that the tries leave. Rows are
+    those of _paths with `many`, the rows of their trie, `query`, and `component`; nodes of one component are not paired.
+    A pair may be met in each trie that holds both."""
     names = ["pivot", "node", "n", "pn"]
 
     def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         role, node, n, component, path, place = zip(*held)
         role, n = np.asarray(role), np.asarray(n)
         group = np.unique(np.asarray(component, dtype=object), return_inverse=True)[1]
-        asks, holds = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
+        asks, holds = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)
+        if len(asks) and len(holds):
+            asks, holds = _hopeful(n, group, n - np.asarray([p[0] for p in place]), asks, holds, percent)
         if not len(asks) or not len(holds):
             return
         some = lambda at: (n[at], group[at], [path[k] for k in at], [place[k] for k in at])
         first, second = [], []
         for member, found in walk(some(asks), some(holds), percent):
             a, b = holds[member], asks[found]
+            if role[a] != 2:
+                b = b[[node[a] < node[k] for k in b]]  # two queries meet twice
             first.append(np.full(len(b), a))
             second.append(b)
         if not first:
             return
         a, b = np.concatenate(first), np.concatenate(second)
-        low = np.asarray([(n[x], node[x]) <= (n[y], node[y]) for x, y in zip(a, b)])
+        low = np.asarray([(n[x], node[x]) <= (n[y], node[y]) for x, y in zip(a, b)], dtype=bool)
         a, b = np.where(low, a, b), np.where(low, b, a)
         for k in range(0, len(a), 10_000):
             x, y = a[k : k + 10_000], b[k : k + 10_000]
@@ -377,13 +407,14 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
 
     parts = F.ceil(F.col("many") / _TRIE_NODES)
     mine = F.pmod(F.xxhash64("node"), parts)
-    # In a grid of parts, queries are dealt by rows and meet all columns, members the other way round.
+    # In a grid of parts, queries are dealt by rows and meet all columns, members the other way round. Roles: 0 query and
+    # member, 1 query, 2 member alone, 3 member that is a query elsewhere in its row of the grid.
     role = lambda x, a, b: F.struct(F.lit(x).alias("role"), a.cast("long").alias("a"), b.cast("long").alias("b"))
     grid = lambda f: F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), f)
     dealt = F.when(parts <= 1, F.array(role(0, F.lit(0), F.lit(0)))).otherwise(F.concat(grid(lambda j: role(2, j, mine)), grid(lambda j: role(1, mine, j))))
     dealt = F.filter(dealt, lambda x: F.col("query") | (x["role"] != 1))
     flat = rows.select("token", "node", "n", "component", "path", "query", F.inline(dealt))
-    flat = flat.withColumn("role", F.when((F.col("role") == 0) & ~F.col("query"), 2).otherwise(F.col("role")))
+    flat = flat.withColumn("role", F.when((F.col("role") == 0) & ~F.col("query"), 2).when((F.col("role") == 2) & F.col("query"), 3).otherwise(F.col("role")))
     flat = flat.select("token", "a", "b", "role", "node", "n", "component", "path")
     dealt_rows = flat.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
     return dealt_rows.mapInArrow(run, "pivot binary, node binary, n long, pn long")
@@ -443,7 +474,22 @@ def _differ(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _of_nodes(docs: DataFrame, table: DataFrame, nodes: DataFrame, make, width: int) -> DataFrame:
+    """A written table of node and value, what `make` makes of its set, for the nodes that are asked for (and maybe others
+    whose documents share an id with theirs)."""
+    wanted = table.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node").select("id").distinct()
+    wanted = small(durable(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_key(values), make(values)) for _, values in _sets(batch.column(3), width) if len(values)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [[]] * 2)], ["node", "value"])
+
+    with batches_of(docs.sparkSession, _BATCH):
+        return written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(run, "node binary, value binary"), "sets", "none")
+
+
+def _possible(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose parity bits leave room for a link: most unlinked pairs end here, without their sets."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,33 +499,27 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(_differ(a, b) <= n + pn - 2 * -(-percent * (n + pn) // (100 + percent)))
             yield pa.RecordBatch.from_arrays(batch.columns[:3], ["pivot", "node", "n"]).filter(pa.array(keep, pa.bool_()))
 
-    light = durable(sets.select("node", "bits").dropDuplicates(["node"]))
-    both = pairs.join(light, "node").join(light.select(F.col("node").alias("pivot"), F.col("bits").alias("pivot_bits")), "pivot")
-    return both.select("pivot", "node", "n", "pn", "bits", "pivot_bits").mapInArrow(judge, "pivot binary, node binary, n long")
+    bits = _of_nodes(docs, table, _ends(pairs), parity, width)
+    light = durable(bits.dropDuplicates(["node"]))
+    discard(bits)
+    both = pairs.join(light.withColumnRenamed("value", "bits"), "node").join(light.select(F.col("node").alias("pivot"), F.col("value").alias("pivot_bits")), "pivot")
+    with batches_of(docs.sparkSession, _BATCH):
+        return durable(both.select("pivot", "node", "n", "pn", "bits", "pivot_bits").mapInArrow(judge, "pivot binary, node binary, n long"))
 
 
-def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """The linked ones of pairs (pivot, node, n and the pivot's pn); a written table of a and b."""
-    nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
-    wanted = table.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node").select("id").distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
 
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for _, values in _sets(batch.column(3), width):
-                if len(values):
-                    rows.append((_key(values), _ordered(values, *frequent.value)[0].tobytes(), parity(values)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [[]] * 3)], ["node", "tokens", "bits"])
 
-    wanted = small(durable(wanted))
-    with batches_of(docs.sparkSession, _BATCH):
-        sets = written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(ordered, "node binary, tokens binary, bits binary"), "sets", "none")
-        pairs = durable(_possible(pairs, sets, percent))
+def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+    """The linked ones of pairs (pivot, node, n and the pivot's pn); a written table of a and b."""
+    pairs = _possible(docs, table, pairs, width, percent)
+    sets = _of_nodes(docs, table, _ends(pairs), lambda values: _ordered(values, *frequent.value)[0].tobytes(), width)
     size = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _TRIE_SETS, F.sum("n") / _TRIE_TOKENS)).alias("parts"))
     dealt = durable(pairs.join(size, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
     heads = dealt.select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct()
     places = durable(dealt.select("pivot", "part", F.lit(1).alias("role"), "node").unionByName(heads))
-    rows = sets.select("node", "tokens").join(small(places), "node").select("pivot", "part", "role", "node", "tokens")
+    rows = sets.withColumnRenamed("value", "tokens").join(small(places), "node").select("pivot", "part", "role", "node", "tokens")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivot, members = None, None, {}
@@ -521,10 +561,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = _paths(tokens, roots, percent)
     discard(tokens)
     # First pass: every node against the centre of its trie.
-    first = rows.join(roots.select("token", "pivot", "many"), "token").withColumn("component", F.col("node"))
-    first = first.withColumn("query", F.col("node") == F.col("pivot"))
-    with batches_of(spark, _BATCH):
-        stars = durable(_candidates(first, percent).distinct())
+    stars = durable(_central(rows, roots, percent))
     links = _verified(docs, table, stars, frequent, width, percent)
     found = durable(components(links))
     # Second pass: nodes outside the largest component of their trie.
