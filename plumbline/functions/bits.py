@@ -7,17 +7,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _half() -> Column:
+    return F.expr(f"cast('{1 << 63}' AS decimal(20,0))")
+
+
+def signed(x: Column) -> Column:
+    """An unsigned 64-bit number (DECIMAL) less 2**63: a LONG in the same order."""
+    return (x.cast("decimal(20,0)") - _half()).cast("long")
+
+
+def unsigned(x: Column) -> Column:
+    """The number that signed() made a LONG of."""
+    return (x.cast("decimal(20,0)") + _half()).cast("decimal(20,0)")
+
+
+def wrapped(x: Column) -> Column:
+    """A whole number (DECIMAL) modulo 2**64 as a LONG."""
+    turn = F.expr(f"cast('{1 << 64}' AS decimal(21,0))")
+    x = F.pmod(x.cast("decimal(38,0)"), turn)
+    return F.when(x >= _half(), x - turn).otherwise(x).cast("long")
+
+
+def minus(a: Column, b: Column) -> Column:
+    """a - b modulo 2**64, of LONGs."""
+    return F.coalesce(F.try_subtract(a, b), wrapped(a.cast("decimal(20,0)") - b.cast("decimal(20,0)")))
+
+
 def zigzag(x: Column) -> Column:
-    """0, -1, 1, -2 … to 0, 1, 2, 3 …"""
-    return F.when(x >= 0, 2 * x).otherwise(-2 * x - 1)
+    """0, -1, 1, -2 … to 0, 1, 2, 3 …; codes from 2**63 on are the LONGs with the same bits."""
+    return F.shiftleft(x, 1).bitwiseXOR(F.shiftright(x, 63))
 
 
 def unzigzag(code: Column) -> Column:
-    return F.when(code % 2 == 0, F.shiftright(code, 1)).otherwise(-F.shiftright(code, 1) - 1)
+    return F.shiftrightunsigned(code, 1).bitwiseXOR(-code.bitwiseAND(F.lit(1).cast("long")))
 
 
 def bit_width(x: Column) -> Column:
-    """Bits of a number from 0 up; 0 for 0."""
+    """Bits of an unsigned number, given as the LONG with the same bits; 0 for 0."""
     return F.when(x == 0, 0).otherwise(F.length(F.bin(x))).cast("int")
 
 

@@ -7,6 +7,7 @@ entries against their minimum, or line segments with packed residuals and outlie
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidData
 from ..functions.bits import bit_width, byte_length, pack_bits, unpack_bits
 from ..options import MapOptions
 from ..sources.traces import READ, WRITE
@@ -21,6 +23,8 @@ from ..sources.traces import READ, WRITE
 EMPTY, DIRECT, SEGMENTS, RAW = "empty", "direct", "segments", "raw"
 #: Bytes of a group's head, of a segment and of an outlier's place; bits of a slope's fraction.
 HEAD_BYTES, SEGMENT_BYTES, PLACE_BYTES, FRACTION = 4, 12, 2, 24
+#: In memory: bytes of a group's entry in the array of groups, and of the storage of a payload besides its bytes.
+HEAD_WORD_BYTES, STORAGE_BYTES = 8, 16
 
 SEGMENT = "struct<start:int,len:int,base:bigint,slope:bigint,width:int,packed:binary>"
 GROUP = f"grp long, mode string, n int, offsets binary, base long, width int, packed binary, segs array<{SEGMENT}>, out_at array<int>, out_value array<long>, bytes long"
@@ -150,35 +154,46 @@ def fit_group(values: list[int], epsilon: int, skip: int) -> tuple[list[tuple[in
 
 
 def encode_values(offsets: list[int], values: list[int], options: MapOptions) -> tuple:
-    """Columns of a group, from mode on."""
-    n = len(values)
+    """Columns of a group, from mode on. Values from 2**63 on are kept as the signed numbers with the same bits."""
+    n, most = len(values), (1 << 64 if options.unsigned else 1 << 63) - 1
+    if min(values) < 0 or max(values) > most:
+        raise InvalidData(f"a map encodes values from 0 to {most}, not {min(values)} to {max(values)}")
     packed_offsets = pack_bits(np.asarray(offsets, dtype=np.uint64), 12) if options.group <= 4096 else np.asarray(offsets, dtype="<u4").tobytes()
     base, top = min(values), max(values)
     if n <= options.direct:
         width = (top - base).bit_length()
         packed = pack_bits(np.asarray([v - base for v in values], dtype=np.uint64), width)
-        return DIRECT, n, packed_offsets, base, width, packed, [], [], [], HEAD_BYTES + (base.bit_length() + 7) // 8 + len(packed)
+        return DIRECT, n, packed_offsets, _bits(base), width, packed, [], [], [], HEAD_BYTES + (base.bit_length() + 7) // 8 + len(packed)
     segments, outliers = fit_group(values, options.epsilon, options.skip)
     left_out, rows, size = set(outliers), [], HEAD_BYTES
     for start, end, low, slope in segments:
+        if abs(slope) * (end - start) >= 1 << 63:
+            size = 8 * n + HEAD_BYTES + 1  # too steep for a line of 64 bits: values stay as they are
+            break
         rest = [0 if j in left_out else values[j] - low - ((slope * (j - start)) >> FRACTION) for j in range(start, end)]
         width = max(rest).bit_length()
         packed = pack_bits(np.asarray(rest, dtype=np.uint64), width)
-        rows.append({"start": start, "len": end - start, "base": low, "slope": slope, "width": width, "packed": packed})
+        rows.append({"start": start, "len": end - start, "base": _bits(low), "slope": slope, "width": width, "packed": packed})
         size += SEGMENT_BYTES + len(packed)
     size += (PLACE_BYTES + 8) * len(outliers)
     if size > 8 * n:
         return RAW, n, packed_offsets, 0, 64, pack_bits(np.asarray(values, dtype=np.uint64), 64), [], [], [], HEAD_BYTES + 8 * n
-    return SEGMENTS, n, packed_offsets, base, 0, b"", rows, outliers, [values[j] for j in outliers], size
+    return SEGMENTS, n, packed_offsets, _bits(base), 0, b"", rows, outliers, [_bits(values[j]) for j in outliers], size
+
+
+def _bits(value: int) -> int:
+    """A number modulo 2**64 as a signed one."""
+    return ((value + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
 
 
 def decode_values(mode: str, n: int, base: int, width: int, packed: bytes, segs: list, out_at: list[int], out_value: list[int]) -> np.ndarray:
+    """The values modulo 2**64, as signed numbers."""
     if mode != SEGMENTS:
-        return unpack_bits(packed, width, n).astype(np.int64) + base
+        return unpack_bits(packed, width, n).view(np.int64) + base
     values = np.zeros(n, dtype=np.int64)
     for s in segs:
         line = (np.arange(s["len"], dtype=np.int64) * s["slope"]) >> FRACTION
-        values[s["start"] : s["start"] + s["len"]] = s["base"] + line + unpack_bits(s["packed"], s["width"], s["len"]).astype(np.int64)
+        values[s["start"] : s["start"] + s["len"]] = s["base"] + line + unpack_bits(s["packed"], s["width"], s["len"]).view(np.int64)
     values[out_at] = out_value
     return values
 
@@ -193,17 +208,32 @@ def _arrow(schema: str, spark) -> pa.Schema:
 def encode(state: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
     """A row per group that holds anything: see GROUP. Groups are at most `options.group` entries, so a task holds little."""
     schema = _arrow(GROUP, state.sparkSession)
-    lists = state.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((F.col("lba") - F.col("grp") * options.group).alias("offset"), "pba"))).alias("e"))
+    value = F.col("pba").cast("decimal(20,0)") if options.unsigned else F.col("pba").cast("long")
+    lists = state.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((F.col("lba") - F.col("grp") * options.group).alias("offset"), value.alias("pba")))).alias("e"))
     lists = lists.select("grp", F.transform("e", lambda x: x["offset"]).alias("offsets"), F.transform("e", lambda x: x["pba"]).alias("values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(g, *encode_values(o, v, options)) for g, o, v in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(g, *encode_values(o, [int(x) for x in v], options)) for g, o, v in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema.names)
 
     return lists.mapInArrow(run, GROUP)
 
 
+def _places(offsets: bytes, n: int, options: MapOptions) -> np.ndarray:
+    """The places of a group's entries."""
+    return unpack_bits(offsets, 12, n).astype(np.int64) if options.group <= 4096 else np.frombuffer(offsets, dtype="<u4").astype(np.int64)
+
+
+def _as_values(df: DataFrame, options: MapOptions) -> DataFrame:
+    """pba of a decoded table, from the signed number with the same bits."""
+    if not options.unsigned:
+        return df
+    turn = F.expr(f"cast('{1 << 64}' AS decimal(21,0))")
+    value = F.col("pba").cast("decimal(20,0)")
+    return df.withColumn("pba", F.when(F.col("pba") < 0, value + turn).otherwise(value).cast("decimal(20,0)"))
+
+
 def decode(groups: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
     """lba and pba of every entry of encoded groups."""
 
@@ -211,22 +241,91 @@ def decode(groups: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
         for batch in batches:
             lba, pba = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for grp, mode, n, offsets, base, width, packed, segs, at, value, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                places = unpack_bits(offsets, 12, n).astype(np.int64) if options.group <= 4096 else np.frombuffer(offsets, dtype="<u4").astype(np.int64)
-                lba.append(grp * options.group + places)
+                lba.append(grp * options.group + _places(offsets, n, options))
                 pba.append(decode_values(mode, n, base, width, packed, segs, at, value))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lba)), pa.array(np.concatenate(pba))], ["lba", "pba"])
 
-    return groups.mapInArrow(run, "lba long, pba long")
+    return _as_values(groups.mapInArrow(run, "lba long, pba long"), options)
+
+
+def _field(packed: bytes, k: int, width: int) -> int:
+    """The k-th of packed numbers of `width` bits, from the bytes it lies in."""
+    at = k * width
+    return int.from_bytes(packed[at // 8 : (at + width + 7) // 8], "little") >> (at % 8) & ((1 << width) - 1)
+
+
+def decode_one(k: int, mode: str, base: int, width: int, packed: bytes, segs: list, out_at: list[int], out_value: list[int]) -> int:
+    """The k-th value of an encoded group, modulo 2**64 as a signed number; nothing else is decoded."""
+    if mode != SEGMENTS:
+        return _bits(base + _field(packed, k, width))
+    o = bisect_left(out_at, k)
+    if o < len(out_at) and out_at[o] == k:
+        return out_value[o]
+    s = segs[bisect_right(segs, k, key=lambda s: s["start"]) - 1]
+    place = k - s["start"]
+    return _bits(s["base"] + (place * s["slope"] >> FRACTION) + _field(s["packed"], place, s["width"]))
+
+
+def get(groups: DataFrame, probes: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
+    """Distinct probes (lba) with pba from encoded groups, null where nothing is mapped. A group comes to the probes that
+    ask for it, and of a group only the entries asked for are decoded."""
+    asked = probes.select("lba").where("lba IS NOT NULL").distinct().withColumn("grp", group_of(F.col("lba"), options))
+    asked = asked.groupBy("grp").agg(F.collect_list("lba").alias("asked"))
+    names = [x.split()[0] for x in GROUP.replace(SEGMENT, "s").split(", ")][:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lba, pba = [], []
+            for wanted, grp, mode, n, offsets, base, width, packed, segs, at, value in zip(*(c.to_pylist() for c in batch.columns)):
+                places = np.zeros(0, dtype=np.int64) if mode is None else _places(offsets, n, options)
+                for address in wanted:
+                    k = int(np.searchsorted(places, address - grp * options.group))
+                    there = k < len(places) and places[k] == address - grp * options.group
+                    lba.append(address)
+                    pba.append(decode_one(k, mode, base, width, packed, segs, at, value) if there else None)
+            yield pa.RecordBatch.from_arrays([pa.array(lba, pa.int64()), pa.array(pba, pa.int64())], ["lba", "pba"])
+
+    both = asked.join(groups, "grp", "left").select("asked", *names)
+    return _as_values(both.mapInArrow(run, "lba long, pba long"), options)
 
 
 # -- statistics of encoded groups -----------------------------------------------------------------------------------------
 
 
-def group_stats(groups: DataFrame) -> DataFrame:
-    """Per mode: groups, entries, logical_bytes and physical_bytes."""
-    return groups.groupBy("mode").agg(
+def group_stats(groups: DataFrame, capacity: int | None = None, options: MapOptions = MapOptions()) -> DataFrame:
+    """Per mode: groups, entries, logical_bytes and physical_bytes. With a capacity, the groups below it that hold nothing
+    are counted too, as empty ones."""
+    stats = groups.groupBy("mode").agg(
         F.count(F.lit(1)).alias("groups"), F.sum("n").cast("long").alias("entries"), (8 * F.sum("n")).cast("long").alias("logical_bytes"), F.sum("bytes").alias("physical_bytes")
     )
+    if capacity is None:
+        return stats
+    none = F.lit(-(-capacity // options.group)).cast("long") - F.count(F.lit(1))
+    zero = F.lit(0).cast("long")
+    empty = groups.agg(none.alias("groups")).where("groups > 0").select(F.lit(EMPTY).alias("mode"), "groups", zero.alias("entries"), zero.alias("logical_bytes"), zero.alias("physical_bytes"))
+    return stats.unionByName(empty)
+
+
+def report(groups: DataFrame, capacity: int, options: MapOptions = MapOptions()) -> DataFrame:
+    """One row: entries, groups below the capacity, segments, outliers, logical and physical bytes, the compression factor,
+    the bytes of the map in memory and those of a hash map with the same entries."""
+    total = -(-capacity // options.group)
+    g = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("entries"), F.lit(total).cast("long").alias("groups"),
+        F.coalesce(F.sum(F.size("segs")), F.lit(0)).cast("long").alias("segments"), F.coalesce(F.sum(F.size("out_at")), F.lit(0)).cast("long").alias("outliers"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("physical_bytes"), F.coalesce(F.sum(F.col("bytes") + STORAGE_BYTES), F.lit(0)).cast("long").alias("_stored"),
+    )
+    return g.select(
+        "entries", "groups", "segments", "outliers", (8 * F.col("entries")).alias("logical_bytes"), "physical_bytes",
+        F.round(8.0 * F.col("entries") / F.greatest("physical_bytes", F.lit(1)), 6).alias("compression_factor"),
+        # An array of heads for all groups, and the payloads.
+        (F.lit(HEAD_WORD_BYTES * total).cast("long") + F.col("_stored")).alias("memory_bytes"), hash_map_bytes(F.greatest("entries", F.lit(1))).alias("hash_map_bytes"),
+    )
+
+
+def write_report(reported: DataFrame, path: str) -> None:
+    """A report as line-wise JSON: a row or a few."""
+    reported.coalesce(1).write.mode("overwrite").json(path)
 
 
 def segments(groups: DataFrame) -> DataFrame:
@@ -234,6 +333,20 @@ def segments(groups: DataFrame) -> DataFrame:
     return groups.select("grp", F.explode("segs").alias("s")).select("grp", "s.start", "s.len", "s.slope", "s.width")
 
 
+def segment_codes(groups: DataFrame) -> DataFrame:
+    """grp, start, at and code: the packed number of every value of every segment, outliers' places with 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, segs in zip(*(c.to_pylist() for c in batch.columns)):
+                for s in segs:
+                    n = s["len"]
+                    code = unpack_bits(s["packed"], s["width"], n).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, grp)), pa.array(np.full(n, s["start"], dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(code)], ["grp", "start", "at", "code"])
+
+    return groups.where("size(segs) > 0").select("grp", "segs").mapInArrow(run, "grp long, start int, at int, code long")
+
+
 def segment_report(groups: DataFrame, immediate_bits: int = 42) -> DataFrame:
     """One row over all segments: how many, which would fit into their own head (flat and short), which are runs of
     step one or zero without residuals, and the bytes of outliers."""
@@ -247,7 +360,7 @@ def segment_report(groups: DataFrame, immediate_bits: int = 42) -> DataFrame:
     return s.crossJoin(o)
 
 
-def memory(groups: DataFrame, pad: int = 16) -> DataFrame:
+def memory(groups: DataFrame, pad: int = STORAGE_BYTES) -> DataFrame:
     """One row, bytes: payloads with their padding."""
     return groups.agg(F.coalesce(F.sum(F.col("bytes") + pad), F.lit(0)).cast("long").alias("bytes"))
 

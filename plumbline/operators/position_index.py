@@ -2,9 +2,12 @@
 
 `build` fits the segments in one pass over range partitions of the keys; a partition's edge is one more segment break,
 so the error bound holds for any partitioning. Keys are taken relative to their segment's first key, in integers, before
-any floating point, so large keys lose nothing. All look-ups are equi-joins. Predictions and lower bounds use the index:
-keys and segments meet in the bins of a look-up table, windows and data in blocks of positions. Exact look-ups, misses
-and hit counts do not: they join the probes with the keys, and no segment is fitted for them.
+any floating point, so large keys lose nothing. Keys are signed 64-bit numbers, or unsigned ones in a DECIMAL column:
+these are kept less 2**63, in the same order, and probes are then taken so too.
+
+Predictions and lower bounds use the index: distinct keys and segments are sorted together, by ranges, and the last
+segment is carried on, so skewed keys make no group; windows and data meet in blocks of positions. Exact look-ups, misses
+and hit counts do not use it: they join the probes with the keys, and no segment is fitted for them.
 """
 
 from __future__ import annotations
@@ -14,17 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
+from ..functions.bits import byte_key, signed
 from ..options import IndexOptions
-from ..plans.ordering import positions
+from ..plans.ordering import as_of, positions
 
 #: Bins of the look-up table: four per segment, within these limits.
 LEAST_BINS, MOST_BINS = 1024, 1 << 20
 SEGMENT_BYTES, BIN_BYTES = 48, 4
-#: Segments that may be broadcast, 48 bytes each.
-BROADCAST_SEGMENTS = 200_000
 
 SEGMENT = "min_key long, max_key long, slope double, start_idx long, end_idx long"
 _CHUNK = 4096
@@ -41,7 +44,8 @@ def fit_segments(keys: np.ndarray, first_pos: int, epsilon: int) -> list[tuple[i
         low, high, b = -np.inf, np.inf, a + 1
         while b < n:
             stop = min(n, b + _CHUNK)
-            dk = (keys[b:stop] - keys[a]).astype(np.float64)
+            # Keys ascend, so a difference that does not fit a signed number wraps to the right unsigned one.
+            dk = (keys[b:stop] - keys[a]).view(np.uint64).astype(np.float64)
             di = np.arange(b - a, stop - a, dtype=np.float64)
             same = dk == 0
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -61,13 +65,30 @@ def fit_segments(keys: np.ndarray, first_pos: int, epsilon: int) -> list[tuple[i
     return out
 
 
+def _distance(a: Column, b: Column) -> Column:
+    """a - b as a floating-point number, exact before it is rounded."""
+    wide = (a.cast("decimal(20,0)") - b.cast("decimal(20,0)")).cast("double")
+    return F.coalesce(F.try_subtract(a, b).cast("double"), wide)
+
+
 @dataclass
 class PositionIndex:
-    """data: key and pos. segments: see SEGMENT, with seg_id. The index does not change its data."""
+    """data: key and pos. segments: see SEGMENT, with seg_id. The index does not change its data. Of unsigned keys, data
+    and segments have the signed form."""
 
     data: DataFrame
     segments: DataFrame
     options: IndexOptions
+    unsigned: bool = False
+
+    def _asked(self, probes: DataFrame, look) -> DataFrame:
+        """What `look` makes of the probes, with keys in the form of the data and given back as they came."""
+        if not self.unsigned:
+            return look(probes)
+        inner = probes.withColumnRenamed("key", "_given").withColumn("key", signed(F.col("_given")))
+        out = look(inner)
+        more = [c for c in out.columns if c not in inner.columns]
+        return out.drop("key").withColumnRenamed("_given", "key").select(*probes.columns, *more)
 
     # -- description -------------------------------------------------------------------------------------------------
 
@@ -81,10 +102,11 @@ class PositionIndex:
     def lookup_table(self) -> DataFrame:
         """bin and seg_id: for every bin of equal width in keys, the segments that reach into it."""
         width, low = self._bins()
-        last = F.lead("min_key").over(Window.orderBy("min_key"))
-        ends = self.segments.withColumn("upto", F.coalesce(last, F.col("max_key")))
-        spread = F.sequence(F.expr(f"(min_key - {low}L) div {width}L"), F.expr(f"(upto - {low}L) div {width}L"))
-        return ends.select("seg_id", F.explode(spread).alias("bin"))
+        # A segment's successor begins at the position where it ends.
+        after = self.segments.select(F.col("start_idx").alias("end_idx"), F.col("min_key").alias("_next"))
+        ends = self.segments.join(after, "end_idx", "left").withColumn("upto", F.coalesce("_next", "max_key"))
+        bin_of = lambda c: F.expr(f"cast((cast({c} AS decimal(38,0)) - {low}) div {width} AS long)")
+        return ends.select("seg_id", F.explode(F.sequence(bin_of("min_key"), bin_of("upto"))).alias("bin"))
 
     def _bins(self) -> tuple[int, int]:
         r = self.segments.agg(F.count(F.lit(1)), F.min("min_key"), F.max("max_key")).first()
@@ -97,68 +119,68 @@ class PositionIndex:
 
     def find_segment(self, probes: DataFrame) -> DataFrame:
         """Probes (with a column key) with the last segment that begins at or below the key, or the first segment."""
-        width, low = self._bins()
-        bounds = self.segments.agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi")).first()
-        if bounds.lo is None:
+        return self._asked(probes, self._find)
+
+    def _find(self, probes: DataFrame) -> DataFrame:
+        found = as_of(probes.select("key").where("key IS NOT NULL").distinct(), self.segments, "key", "min_key", "start_idx", "_seg")
+        first = self.segments.orderBy("start_idx").first()
+        if first is not None:
             kinds = dict(self.segments.dtypes)
-            return probes.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in self.segments.columns])
-        inside = F.least(F.greatest(F.col("key"), F.lit(bounds.lo)), F.lit(bounds.hi))
-        # A probe's segment is the last that begins no later: within its bin, that is the one whose successor begins later.
-        upto = F.lead("min_key").over(Window.orderBy("min_key"))
-        spans = self.segments.select("*", upto.alias("_upto")).join(self.lookup_table(), "seg_id")
-        if self.segments.count() <= BROADCAST_SEGMENTS:
-            spans = F.broadcast(spans)
-        probes = probes.withColumn("_in", inside).withColumn("bin", F.expr(f"(_in - {low}L) div {width}L"))
-        hit = (F.col("min_key") <= F.col("_in")) & (F.col("_upto").isNull() | (F.col("_upto") > F.col("_in")))
-        return probes.join(spans.where("_upto IS NULL OR _upto > min_key"), "bin").where(hit).drop("bin", "_in", "_upto")
+            first = F.struct(*[F.lit(first[c]).cast(kinds[c]).alias(c) for c in self.segments.columns])
+            found = found.withColumn("_seg", F.coalesce("_seg", first))
+        return probes.join(found, "key", "left").select(*probes.columns, *[F.col(f"_seg.{c}").alias(c) for c in self.segments.columns])
+
+    def _line(self) -> dict[str, Column]:
+        """pred, and lo and hi, the window around it, of rows that have a key and its segment."""
+        line = F.col("start_idx") + F.floor(F.least(F.col("slope") * _distance(F.col("key"), F.col("min_key")) + 0.5, F.lit(2.0**62)))
+        pred = F.greatest(F.col("start_idx"), F.least(F.col("end_idx") - 1, line.cast("long")))
+        e = self.options.epsilon
+        return {"pred": pred, "lo": F.greatest(pred - e, F.col("start_idx")), "hi": F.least(pred + e + 1, F.col("end_idx"))}
 
     def predict(self, probes: DataFrame) -> DataFrame:
         """Probes with pred, the predicted position, and the window [lo, hi) around it; null over no data."""
-        e = self.options.epsilon
-        found = self.find_segment(probes)
-        line = F.col("start_idx") + F.floor(F.col("slope") * (F.col("key") - F.col("min_key")) + 0.5)
-        pred = F.greatest(F.col("start_idx"), F.least(F.col("end_idx") - 1, line.cast("long")))
-        found = found.withColumn("pred", pred)
-        lo, hi = F.greatest(F.col("pred") - e, F.col("start_idx")), F.least(F.col("pred") + e + 1, F.col("end_idx"))
-        return found.withColumns({"lo": lo, "hi": hi}).select(*probes.columns, "seg_id", "pred", "lo", "hi")
+        return self._asked(probes, lambda p: self._find(p).withColumns(self._line()).select(*p.columns, "seg_id", "pred", "lo", "hi"))
 
     # -- look-up -----------------------------------------------------------------------------------------------------
 
     def lookup(self, probes: DataFrame) -> DataFrame:
         """Probes with pos, the first position of their key, or null where it is absent. A row per probe."""
         first = self.data.groupBy("key").agg(F.min("pos").alias("pos"))
-        return probes.join(first, "key", "left")
+        return self._asked(probes, lambda p: p.join(first, "key", "left").select(*p.columns, "pos"))
 
     def misses(self, probes: DataFrame) -> DataFrame:
-        return probes.join(self.data, "key", "left_anti")
+        return self._asked(probes, lambda p: p.join(self.data, "key", "left_anti"))
 
     def count_hits(self, probes: DataFrame) -> DataFrame:
         """One row, hits: the probes that are found, repeated ones counted each."""
-        return probes.join(self.data, "key", "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+        return self._asked(probes, lambda p: p.join(self.data, "key", "left_semi")).agg(F.count(F.lit(1)).alias("hits"))
 
     def lower_bound(self, probes: DataFrame) -> DataFrame:
-        """Probes with lower, the number of keys below: the position where the key is or would be.
+        """Probes with lower, the number of keys below: the position where the key is or would be; null for a null key."""
+        return self._asked(probes, lambda p: p.join(self._lower(p.select("key").where("key IS NOT NULL").distinct()), "key", "left").select(*p.columns, "lower"))
+
+    def lower_bound_bytes(self, probes: DataFrame, column: str) -> DataFrame:
+        """lower_bound() of keys that are the first 8 bytes of a column, as an unsigned number."""
+        names = [c for c in probes.columns if c != "key"]
+        return self.lower_bound(probes.select(*names, byte_key(F.col(column)).alias("key"))).drop("key")
+
+    def _lower(self, keys: DataFrame) -> DataFrame:
+        """key and lower of distinct keys.
 
         The segment is the last that begins below the key, so a run of equal keys is met at its start even where it
         fills several segments.
         """
         e = 2 * self.options.epsilon + 2
-        numbered = probes.withColumns({"_id": F.monotonically_increasing_id(), "_key": F.col("key")})
-        found = self.find_segment(numbered.withColumn("key", F.expr("try_subtract(key, 1L)"))).withColumn("key", F.col("_key"))
-        line = F.col("start_idx") + F.floor(F.col("slope") * (F.col("key") - F.col("min_key")) + 0.5)
-        pred = F.greatest(F.col("start_idx"), F.least(F.col("end_idx") - 1, line.cast("long")))
-        near = found.withColumn("pred", pred).withColumns({
-            "lo": F.greatest(F.col("pred") - self.options.epsilon, F.col("start_idx")),
-            "hi": F.least(F.col("pred") + self.options.epsilon + 1, F.col("end_idx")),
-        }).withColumn("past", F.col("key") > F.col("max_key"))
+        below = keys.withColumn("_key", F.col("key")).withColumn("key", F.coalesce(F.try_subtract("key", F.lit(1).cast("long")), "key"))
+        near = self._find(below).withColumn("key", F.col("_key")).withColumns(self._line()).withColumn("past", F.col("key") > F.col("max_key"))
         spread = F.sequence(F.expr(f"lo div {e}L"), F.expr(f"greatest(hi - 1, lo) div {e}L"))
-        blocks = near.where("NOT past").select("_id", "key", "lo", "hi", F.explode(spread).alias("block"))
+        blocks = near.where("NOT past").select("key", "lo", "hi", F.explode(spread).alias("block"))
         data = self.data.select(F.expr(f"pos div {e}L").alias("block"), "pos", F.col("key").alias("_k"))
         inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")) & (F.col("_k") < F.col("key"))
-        below = blocks.join(data, "block").groupBy("_id").agg(F.count_if(inside).alias("_n"))
+        counted = blocks.join(data, "block").groupBy("key").agg(F.count_if(inside).alias("_n"))
         # Only keys at or below the very first have a segment that does not begin below them.
         lower = F.when(F.col("key") <= F.col("min_key"), F.lit(0)).when(F.col("past"), F.col("end_idx")).otherwise(F.col("lo") + F.coalesce("_n", F.lit(0)))
-        return near.join(below, "_id", "left").select(*probes.columns, F.coalesce(lower, F.lit(0)).alias("lower"))
+        return near.join(counted, "key", "left").select("key", F.coalesce(lower, F.lit(0)).alias("lower"))
 
     def segment_of(self, indices: DataFrame) -> DataFrame:
         """Rows of pos with the seg_id whose positions hold it; none outside the data. Positions meet in equal blocks."""
@@ -174,7 +196,7 @@ class PositionIndex:
         its prediction from the positions it has."""
         own = self.data.groupBy("key").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
         error = F.greatest(F.lit(0), F.col("first") - F.col("pred"), F.col("pred") - F.col("last"))
-        seen = self.predict(own).withColumn("error", error)
+        seen = self._find(own).withColumns(self._line()).withColumn("error", error)
         return seen.agg(
             F.count(F.lit(1)).alias("keys"), F.count_if(F.col("error") > self.options.epsilon).alias("violations"),
             F.coalesce(F.max("error"), F.lit(0)).alias("max_error"), F.coalesce(F.avg("error"), F.lit(0.0)).alias("avg_error"),
@@ -186,15 +208,25 @@ class PositionIndex:
         self.data.write.mode("overwrite").parquet(f"{path}/data")
 
     @classmethod
-    def load(cls, spark, path: str, options: IndexOptions) -> PositionIndex:
-        return cls(spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/segments-{options.epsilon}"), options)
+    def load(cls, spark, path: str, options: IndexOptions, unsigned: bool = False) -> PositionIndex:
+        return cls(spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/segments-{options.epsilon}"), options, unsigned)
 
 
 def build(df: DataFrame, key: str = "key", options: IndexOptions | None = None) -> PositionIndex:
-    """Index the non-null keys of a column of whole numbers. Equal keys take consecutive positions."""
-    options = options or IndexOptions()
-    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"))
-    data = positions(keys, ["key"])
+    """Index the non-null keys of a column of whole numbers, unsigned ones if it is a DECIMAL column. Equal keys take
+    consecutive positions."""
+    return fitted(positioned(df, key), options or IndexOptions(), isinstance(df.schema[key].dataType, DecimalType))
+
+
+def positioned(df: DataFrame, key: str = "key") -> DataFrame:
+    """key, in its signed form, and pos of the non-null keys: the data of an index, to be fitted more than once."""
+    unsigned = isinstance(df.schema[key].dataType, DecimalType)
+    keys = df.where(F.col(key).isNotNull()).select((signed(F.col(key)) if unsigned else F.col(key).cast("long")).alias("key"))
+    return positions(keys, ["key"])
+
+
+def fitted(data: DataFrame, options: IndexOptions, unsigned: bool = False) -> PositionIndex:
+    """The index over data that has positions."""
     epsilon = options.epsilon
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,4 +248,4 @@ def build(df: DataFrame, key: str = "key", options: IndexOptions | None = None)
     dealt = data.coalesce(1).sortWithinPartitions("pos") if options.exact else data.repartitionByRange("pos").sortWithinPartitions("pos")
     segments = dealt.mapInArrow(fit, SEGMENT)
     segments = segments.withColumn("seg_id", F.col("start_idx"))
-    return PositionIndex(data, segments.persist(), options)
+    return PositionIndex(data, segments.persist(), options, unsigned)

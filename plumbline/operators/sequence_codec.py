@@ -1,9 +1,10 @@
 """A lossless block codec for integer sequences, with decoding by position, by range and in reverse.
 
 Rows are (pos, value), pos from 0. A block is fitted with the line through its first and last value, relative to the
-block, in fixed point; what is left is zig-zag coded. The width is the cheapest under n * width + exceptions * 64 *
-penalty, the smallest of equals; wider codes are exceptions, listed with their places. All of it is column expressions
-and two aggregations by block; a kernel runs only to pack and unpack the bits.
+block, in fixed point; what is left, modulo 2**64, is zig-zag coded, so any LONG may follow any other. The width is the
+cheapest under n * width + exceptions * 64 * penalty, the smallest of equals; wider codes are exceptions, listed with
+their places. Lines, residuals and widths are there as column expressions, to look into. encode() does the same with
+one shuffle: a block's values come together and are fitted, coded and packed in arrays of whole batches of blocks.
 """
 
 from __future__ import annotations
@@ -17,21 +18,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidData
-from ..functions.bits import bit_width, pack_bits, unpack_bits, zigzag
+from ..functions.bits import bit_width, minus, pack_bits, unpack_bits, zigzag
 from ..options import SequenceOptions
 
 #: Bits of the slope's fraction.
 FRACTION = 16
+#: The rise per value from which a slope is the largest there is, and that slope.
+_TOP = (1 << 63) - 1
+_STEEP = 1 << (63 - FRACTION)
 BLOCK = "block_id long, n int, first long, slope long, width int, ex_at array<int>, ex_code array<long>, packed binary"
 
 
 def block_lines(seq: DataFrame, options: SequenceOptions = SequenceOptions()) -> DataFrame:
-    """block_id, n, first and slope (fixed point, 0 where values fall) of every block."""
+    """block_id, n, first and slope (fixed point, 0 where values fall, at most the largest LONG) of every block."""
     block = F.expr(f"pos div {options.block}L")
     ends = seq.groupBy(block.alias("block_id")).agg(
         F.count(F.lit(1)).cast("int").alias("n"), F.min_by("value", "pos").alias("first"), F.max_by("value", "pos").alias("last")
     )
-    rise = F.expr(f"shiftleft(greatest(last - first, 0L), {FRACTION}) div greatest(n - 1, 1)")
+    ends = ends.withColumns({"_span": F.expr("greatest(cast(last AS decimal(20,0)) - cast(first AS decimal(20,0)), 0)"), "_m": F.expr("greatest(n - 1, 1)")})
+    # Whole steps and the rest apart: neither leaves the numbers' range.
+    rise = F.expr(f"if(_span >= {_STEEP} * _m, {_TOP}, (_span div _m) * {1 << FRACTION} + (_span % _m) * {1 << FRACTION} div _m)")
     return ends.select("block_id", "n", "first", rise.cast("long").alias("slope"))
 
 
@@ -40,11 +46,13 @@ def residuals(seq: DataFrame, options: SequenceOptions = SequenceOptions(), line
     lines = block_lines(seq, options) if lines is None else lines
     placed = seq.select("pos", "value", F.expr(f"pos div {options.block}L").alias("block_id"), F.expr(f"pos % {options.block}L").cast("int").alias("at"))
     df = placed.join(lines, "block_id")
-    return df.select("block_id", "at", "pos", "n", "first", "slope", zigzag(F.col("value") - predicted()).alias("code"))
+    return df.select("block_id", "at", "pos", "n", "first", "slope", zigzag(minus(F.col("value"), predicted())).alias("code"))
 
 
 def predicted() -> Column:
-    return F.col("first") + F.shiftright(F.col("at").cast("long") * F.col("slope"), FRACTION)
+    """The line's value at a place; no more than the block's last value."""
+    rise = F.expr(f"if(slope <= {1 << 62} div n, shiftright(cast(at AS long) * slope, {FRACTION}), (cast(at AS decimal(18,0)) * slope) div {1 << FRACTION})")
+    return F.col("first") + rise.cast("long")
 
 
 def width_choice(codes: DataFrame, options: SequenceOptions = SequenceOptions()) -> DataFrame:
@@ -58,25 +66,66 @@ def width_choice(codes: DataFrame, options: SequenceOptions = SequenceOptions())
     return blocks.select("block_id", best["width"].alias("width"), best["cost"].alias("cost"))
 
 
+_POWERS = np.asarray([1 << k for k in range(64)], dtype=np.uint64)
+
+
+def _risen(at: np.ndarray, slope: int) -> np.ndarray:
+    """What a line of fixed-point slope has risen at places."""
+    if slope <= (1 << 62) // max(1, len(at)):
+        return (at * slope) >> FRACTION
+    return np.asarray([(k * slope) >> FRACTION for k in at.tolist()], dtype=np.int64)
+
+
+def _slope(first: int, last: int, n: int) -> int:
+    return min(_TOP, (max(0, last - first) << FRACTION) // max(1, n - 1))
+
+
+def _coded(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the values of blocks that end at `ends` of a flat array, and the first value and slope of each."""
+    begin = np.concatenate([[0], ends[:-1]])
+    n = ends - begin
+    first, last = values[begin], values[ends - 1]
+    slope = np.asarray([_slope(a, b, k) for a, b, k in zip(first.tolist(), last.tolist(), n.tolist())], dtype=np.int64)
+    at = np.arange(len(values)) - np.repeat(begin, n)
+    rise = at * np.repeat(np.where(slope <= (1 << 62) // n, slope, 0), n) >> FRACTION
+    for k in np.flatnonzero(slope > (1 << 62) // n):
+        rise[begin[k] : ends[k]] = _risen(np.arange(n[k]), int(slope[k]))
+    # Unsigned arithmetic is modulo 2**64.
+    rest = (values.view(np.uint64) - np.repeat(first, n).view(np.uint64) - rise.view(np.uint64)).view(np.int64)
+    return ((rest << 1) ^ (rest >> 63)).view(np.uint64), first, slope
+
+
 def encode(seq: DataFrame, options: SequenceOptions = SequenceOptions()) -> DataFrame:
     """The blocks of a sequence: see BLOCK. Exceptions' places are packed as 0."""
-    codes = residuals(seq, options)
-    codes = codes.join(width_choice(codes, options).select("block_id", "width"), "block_id")
-    grouped = codes.groupBy("block_id").agg(
-        F.first("n").alias("n"), F.first("first").alias("first"), F.first("slope").alias("slope"), F.first("width").alias("width"),
-        F.array_sort(F.collect_list(F.struct("at", "code"))).alias("c"),
-    )
-    wide = F.filter("c", lambda x: bit_width(x["code"]) > F.col("width"))
-    plain = F.transform("c", lambda x: F.when(bit_width(x["code"]) > F.col("width"), F.lit(0).cast("long")).otherwise(x["code"]))
-    blocks = grouped.select("block_id", "n", "first", "slope", "width", F.transform(wide, lambda x: x["at"]).alias("ex_at"), F.transform(wide, lambda x: x["code"]).alias("ex_code"), plain.alias("plain"))
+    placed = F.struct(F.expr(f"pos % {options.block}L").alias("at"), F.col("value").cast("long").alias("value"))
+    blocks = seq.groupBy(F.expr(f"pos div {options.block}L").alias("block_id")).agg(F.array_sort(F.collect_list(placed)).alias("c"))
+    names = [x.split()[0] for x in BLOCK.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            width = batch.column(4).to_pylist()
-            packed = [pack_bits(v.values.to_numpy(), w) for v, w in zip(batch.column(7), width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(packed, pa.binary())], [x.split()[0] for x in BLOCK.split(", ")])
-
-    return blocks.mapInArrow(pack, BLOCK)
+            if not batch.num_rows:
+                continue
+            c = batch.column(1)
+            edges = c.offsets.to_numpy().astype(np.int64)
+            values, ends = c.values.field(0).to_numpy()[edges[0] : edges[-1]], edges[1:] - edges[0]
+            code, first, slope = _coded(values, ends)
+            n = np.diff(ends, prepend=0)
+            wide = np.searchsorted(_POWERS, code, "right")
+            # By block, codes wider than each width: a histogram, summed from above.
+            count = np.bincount(np.repeat(np.arange(len(n)), n) * 65 + wide, minlength=65 * len(n)).reshape(-1, 65)
+            wider = count[:, ::-1].cumsum(axis=1)[:, ::-1] - count
+            width = (n[:, None] * np.arange(65) + 64 * options.penalty * wider).argmin(axis=1)
+            out = wide > np.repeat(width, n)
+            plain = np.where(out, np.uint64(0), code)
+            rows = []
+            for a, b, w in zip((ends - n).tolist(), ends.tolist(), width.tolist()):
+                place = np.flatnonzero(out[a:b])
+                rows.append((place, code[a:b][place].view(np.int64), pack_bits(plain[a:b], w)))
+            place, codes, packed = zip(*rows)
+            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(first), pa.array(slope), pa.array(width, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place, pa.list_(pa.int32())), pa.array(codes, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names)
+
+    return blocks.select("block_id", F.transform("c", lambda x: F.struct(x["value"].alias("value"))).alias("c")).mapInArrow(pack, BLOCK)
 
 
 def decode(blocks: DataFrame, options: SequenceOptions = SequenceOptions()) -> DataFrame:
@@ -86,18 +135,23 @@ def decode(blocks: DataFrame, options: SequenceOptions = SequenceOptions()) -> D
         for batch in batches:
             out_pos, out = [], []
             for block, n, first, slope, width, at, code, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                codes = unpack_bits(packed, width, n).astype(np.int64)
+                codes = unpack_bits(packed, width, n).view(np.int64)
                 if at:
                     codes[at] = code
-                delta = (codes.view(np.uint64) >> np.uint64(1)).astype(np.int64) ^ -(codes & 1)
-                out.append(first + ((np.arange(n, dtype=np.int64) * slope) >> FRACTION) + delta)
-                out_pos.append(block * options.block + np.arange(n, dtype=np.int64))
+                place = np.arange(n, dtype=np.int64)
+                out.append(first + _risen(place, slope) + _undone(codes))
+                out_pos.append(block * options.block + place)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (out_pos, out)], ["pos", "value"])
 
     names = [x.split()[0] for x in BLOCK.split(", ")]
     return blocks.select(*names).mapInArrow(unpack, "pos long, value long")
 
 
+def _undone(codes: np.ndarray) -> np.ndarray:
+    """The numbers that zig-zag codes stand for."""
+    return (codes.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(codes & 1)
+
+
 def scan(blocks: DataFrame, start: int, stop: int, options: SequenceOptions = SequenceOptions()) -> DataFrame:
     """pos and value of positions from start up to stop, both cut to the sequence. Other blocks are not read."""
     start = max(0, start)
@@ -183,13 +237,12 @@ def load(data: bytes, block: int = 128) -> list[int]:
         size = min(block, n - k * block)
         if offset + size * width > len(bits):
             raise InvalidData("the dump's words end early")
-        code = unpack_bits(np.packbits(bits[offset : offset + size * width], bitorder="little").tobytes(), width, size).astype(np.int64)
+        code = unpack_bits(np.packbits(bits[offset : offset + size * width], bitorder="little").tobytes(), width, size).view(np.int64)
         places = np.flatnonzero(bitmap[k * block : k * block + size])
         if exception + len(places) > len(codes):
             raise InvalidData("the dump's exceptions end early")
         code[places] = codes[exception : exception + len(places)]
-        delta = (code.view(np.uint64) >> np.uint64(1)).astype(np.int64) ^ -(code & 1)
-        out += (first + ((np.arange(size, dtype=np.int64) * slope) >> FRACTION) + delta).tolist()
+        out += (first + _risen(np.arange(size, dtype=np.int64), slope) + _undone(code)).tolist()
     return out
 
 

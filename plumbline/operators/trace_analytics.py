@@ -62,14 +62,14 @@ def histogram(df: DataFrame, column: str, step: int = 1) -> DataFrame:
     return df.groupBy((F.floor(F.col(column) / step) * step).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def patched_width(codes: DataFrame) -> DataFrame:
-    """Per block_id: width and bits of the cheapest width when each wider code costs EXCEPTION_BITS, and plain_bits at
+def patched_width(codes: DataFrame, by: tuple[str, ...] = ("block_id",)) -> DataFrame:
+    """Per block, that is by block_id or other columns: width and bits of the cheapest width when each wider code costs EXCEPTION_BITS, and plain_bits at
     the full width. The smallest of equally cheap widths is taken."""
-    per = codes.groupBy("block_id", bit_width(F.col("code")).alias("w")).agg(F.count(F.lit(1)).alias("k"))
-    blocks = per.groupBy("block_id").agg(F.sum("k").alias("n"), F.max("w").alias("full"), F.map_from_entries(F.collect_list(F.struct("w", "k"))).alias("h"))
+    per = codes.groupBy(*by, bit_width(F.col("code")).alias("w")).agg(F.count(F.lit(1)).alias("k"))
+    blocks = per.groupBy(*by).agg(F.sum("k").alias("n"), F.max("w").alias("full"), F.map_from_entries(F.collect_list(F.struct("w", "k"))).alias("h"))
     cost = F.expr(f"transform(sequence(0, full), w -> struct(n * w + {EXCEPTION_BITS}L * aggregate(map_entries(h), 0L, (a, e) -> a + if(e.key > w, e.value, 0L)) AS bits, w AS width))")
     best = F.array_min(cost)
-    return blocks.select("block_id", best["width"].alias("width"), best["bits"].alias("bits"), (F.col("n") * F.col("full")).alias("plain_bits"))
+    return blocks.select(*by, best["width"].alias("width"), best["bits"].alias("bits"), (F.col("n") * F.col("full")).alias("plain_bits"))
 
 
 def greedy_segments(lba: list[int], pba: list[int], epsilon: int) -> int:
@@ -77,7 +77,8 @@ def greedy_segments(lba: list[int], pba: list[int], epsilon: int) -> int:
     n, at, count = len(lba), 0, 0
     while at < n:
         dl = lba[at + 1] - lba[at] if at + 1 < n else 0
-        slope = int(((pba[at + 1] - pba[at]) << FRACTION) / dl) if dl > 0 else 0
+        rise = (pba[at + 1] - pba[at]) << FRACTION if dl > 0 else 0
+        slope = (abs(rise) // dl) * (1 if rise >= 0 else -1) if dl > 0 else 0  # whole numbers, truncated
         k = at + 1
         while k < n and abs(pba[k] - pba[at] - ((slope * (lba[k] - lba[at])) >> FRACTION)) <= 2 * epsilon:
             k += 1

@@ -34,10 +34,12 @@ class SequenceOptions:
 @dataclass(frozen=True)
 class MapOptions:
     """group: addresses in a group. epsilon: tolerance of the line fit. direct: groups of so many entries or fewer are
-    stored without segments. capacity: addresses from it on do not exist, None for no limit."""
+    stored without segments. capacity: addresses from it on do not exist, None for no limit. unsigned: encoded values
+    are unsigned 64-bit numbers, DECIMAL columns, instead of LONGs from 0 up."""
 
     group: int = 4096
     epsilon: int = 512
     direct: int = 8
     skip: int = 4
     capacity: int | None = None
+    unsigned: bool = False

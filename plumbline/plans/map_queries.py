@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import address_map as M
 from ..operators import trace_analytics as A
 from ..options import MapOptions
-from ..session import table
+from ..session import shared_dir, table
 from ..sources import traces as T
+from .ordering import positions
 
 SMALL = MapOptions(group=16)
 
@@ -129,6 +130,75 @@ def group_segments(spark, sf_dir):
     return M.segment_report(M.encode(live(spark, sf_dir)))
 
 
+def map_get(spark, sf_dir):
+    """Point look-ups in the encoded groups."""
+    return M.get(M.encode(live(spark, sf_dir)), _probes(spark, sf_dir))
+
+
+def map_get_small(spark, sf_dir):
+    return M.get(M.encode(live(spark, sf_dir, SMALL), SMALL), _probes(spark, sf_dir), SMALL)
+
+
+def group_roundtrip_u64(spark, sf_dir):
+    """Unsigned values far apart: 2**64 - 1 less a multiple of the squares."""
+    wide = MapOptions(group=64, unsigned=True)
+    state = live(spark, sf_dir, wide).withColumn("pba", F.expr(f"cast('{(1 << 64) - 1}' AS decimal(20,0)) - pba * pba * 1000003"))
+    return M.decode(M.encode(state, wide), wide).select("lba", F.col("pba").cast("string").alias("pba"))
+
+
+def sorted_map(spark, sf_dir):
+    """The map in the order of its addresses, with each entry's place."""
+    return positions(live(spark, sf_dir).select("lba", "pba"), ["lba"], "place")
+
+
+def _top(spark, sf_dir) -> int:
+    return A.capacity(log(spark, sf_dir)).first()[0] or 0
+
+
+def map_group_stats(spark, sf_dir):
+    """Kinds and bytes of all groups below the capacity, empty ones too."""
+    return M.group_stats(M.encode(live(spark, sf_dir, SMALL), SMALL), _top(spark, sf_dir), SMALL)
+
+
+def _timeline(spark, sf_dir):
+    """An encoded map that lines fit: event numbers to seconds."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    state = table(spark, sf_dir, "events").select(F.col("event_id").alias("lba"), seconds.alias("pba"))
+    return M.encode(state.withColumn("grp", M.group_of(F.col("lba"))))
+
+
+def map_timeline(spark, sf_dir):
+    return M.decode(_timeline(spark, sf_dir))
+
+
+def map_report(spark, sf_dir):
+    top = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    return M.report(_timeline(spark, sf_dir), top + 1)
+
+
+def map_segment_quantiles(spark, sf_dir):
+    """Lengths of the map's segments."""
+    return A.length_quantiles(M.segments(_timeline(spark, sf_dir)))
+
+
+def map_segment_widths(spark, sf_dir):
+    return A.histogram(M.segments(_timeline(spark, sf_dir)), "width")
+
+
+def map_segment_lengths(spark, sf_dir):
+    return A.histogram(M.segments(_timeline(spark, sf_dir)), "len", 10)
+
+
+def map_segment_patches(spark, sf_dir):
+    """Per segment of the map, the cheapest width with patched exceptions."""
+    return A.patched_width(M.segment_codes(_timeline(spark, sf_dir)), ("grp", "start"))
+
+
+def best_patch(spark, sf_dir):
+    """The setting of the patch sweep that saves most."""
+    return A.best_setting(A.patch_sweep(live(spark, sf_dir)))
+
+
 def map_memory(spark, sf_dir):
     return M.memory(M.encode(live(spark, sf_dir)))
 
@@ -172,19 +242,18 @@ def op_pivot(spark, sf_dir):
 
 
 def stream_equals_batch(spark, sf_dir):
-    """The log as a stream, merged per micro-batch into a table in the shared folder; its final state."""
-    import tempfile
+    """The log as a stream of four files, by hash and so out of order, each a micro-batch that is merged into a table in
+    the shared folder; its final state."""
     import uuid
 
     from ..streaming.map_stream import MergedTable, merge_stream
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")).rstrip("/")
-    folder = f"{base}/map-stream-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events")
-    # A stream's source is a folder or a glob; the table may be either a file or a folder.
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
+    folder = f"{shared_dir(spark)}/map-stream-{uuid.uuid4().hex}"
+    every = log(spark, sf_dir)
+    every.repartition(4, "seq").write.parquet(f"{folder}/log")
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     merged = MergedTable(spark, f"{folder}/table")
-    merge_stream(T.from_events(stream), merged, f"{folder}/checkpoint").awaitTermination()
+    merge_stream(stream, merged, f"{folder}/checkpoint").awaitTermination()
     return merged.state()
 
 
@@ -192,7 +261,8 @@ QUERIES = {f.__name__: f for f in (
     lww_map, point_get, point_get_miss, delete_semantics, incremental_merge, read_your_writes, trace_assign_pba, trace_limit, count_keys, distinct_writes,
     write_count, write_heatmap, op_mix, capacity, group_density, group_mode, direct_encode, dense_rank_in_group, group_roundtrip, group_roundtrip_small,
     group_stats, group_segments, map_memory, segment_len_quantiles, bitwidth_hist, seglen_hist, logical_bytes, epsilon_sweep, patch_sweep, regress_delta,
-    op_pivot, stream_equals_batch,
+    op_pivot, stream_equals_batch, map_get, map_get_small, group_roundtrip_u64, sorted_map, map_group_stats, map_report, map_segment_quantiles,
+    map_segment_widths, map_segment_lengths, map_segment_patches, best_patch, map_timeline,
 )}
 
 _RUNS = f"""WITH {_LIVE}, r AS (SELECT *, lba - row_number() OVER (PARTITION BY grp ORDER BY lba) AS island FROM live),
@@ -240,5 +310,10 @@ SQL = {
         SELECT event_type, day, n, round(100.0 * (n - before) / before, 6) AS delta_percent FROM k""",
     "op_pivot": f"""WITH {_LOG}, p AS (SELECT lba // 1000 AS range, nullif(count(*) FILTER (op = 0), 0) AS reads, nullif(count(*) FILTER (op = 1), 0) AS writes,
         nullif(count(*) FILTER (op = 2), 0) AS deletes FROM trace GROUP BY 1) SELECT range, reads, writes, deletes, round(deletes / reads, 6) AS ratio FROM p""",
+    "map_get": f"WITH {_LIVE} SELECT p.lba, live.pba FROM (SELECT DISTINCT lba FROM trace WHERE op = 0) p LEFT JOIN live ON p.lba = live.lba",
+    "map_get_small": f"WITH {_LIVE} SELECT p.lba, live.pba FROM (SELECT DISTINCT lba FROM trace WHERE op = 0) p LEFT JOIN live ON p.lba = live.lba",
+    "group_roundtrip_u64": f"WITH {_LIVE} SELECT lba, CAST(18446744073709551615::HUGEINT - pba::HUGEINT * pba * 1000003 AS VARCHAR) AS pba FROM live",
+    "map_timeline": "SELECT event_id AS lba, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS pba FROM events",
+    "sorted_map": f"WITH {_LIVE} SELECT lba, pba, row_number() OVER (ORDER BY lba) - 1 AS place FROM live",
     "stream_equals_batch": f"WITH {_LIVE} SELECT lba, pba, grp FROM live",
 }

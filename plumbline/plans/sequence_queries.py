@@ -56,10 +56,10 @@ def pc_roundtrip_offsets(spark, sf_dir):
 
 
 def pc_get(spark, sf_dir):
-    """Every 97th position, and positions beyond the end."""
+    """Every position, and some beyond the end."""
     seq = offsets(spark, sf_dir)
     n = seq.count()
-    return C.get(C.encode(seq), spark.range(0, n + 300, 97).select(F.col("id").alias("pos")))
+    return C.get(C.encode(seq), spark.range(0, n + 300).select(F.col("id").alias("pos")))
 
 
 def pc_range(spark, sf_dir):
@@ -115,7 +115,7 @@ def ef_size(spark, sf_dir):
 
 
 def ef_select(spark, sf_dir):
-    wanted = spark.range(0, 5000, 7).select(F.col("id").alias("idx"))
+    wanted = spark.range(0, 5000).select(F.col("id").alias("idx"))
     groups = _sets(spark, sf_dir).select("grp").distinct()
     return E.select(_sets(spark, sf_dir), groups.crossJoin(F.broadcast(wanted)))
 
@@ -159,7 +159,7 @@ SQL = {
         FROM wide JOIN choice ON wide.block_id = choice.block_id WHERE w > width""",
     "pc_roundtrip": f"WITH {_PRICES} SELECT pos, value FROM seq",
     "pc_roundtrip_offsets": f"WITH {_OFFSETS} SELECT pos, value FROM seq",
-    "pc_get": f"WITH {_OFFSETS} SELECT p.pos, value FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents) + 300, 97)) AS pos) p LEFT JOIN seq ON p.pos = seq.pos",
+    "pc_get": f"WITH {_OFFSETS} SELECT p.pos, value FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents) + 300)) AS pos) p LEFT JOIN seq ON p.pos = seq.pos",
     "pc_range": f"WITH {_PRICES} SELECT pos, value FROM seq WHERE pos >= 1000 AND pos < 1500",
     "pc_reverse": f"WITH {_OFFSETS} SELECT pos, value FROM seq ORDER BY pos DESC",
     "pc_stats": f"""WITH {_BLOCKS} SELECT width, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ex) AS BIGINT) AS exceptions,
@@ -180,7 +180,7 @@ SQL = {
     "ef_size": f"""WITH {_SETS}, g AS (SELECT grp, count(*) AS n FROM sets GROUP BY grp),
         l AS (SELECT grp, n, CASE WHEN 4096 > n THEN CAST(floor(log2(4096 // n)) AS BIGINT) ELSE 0 END AS low FROM g)
         SELECT grp, n, 3 + (n + (4096 >> CAST(low AS INTEGER)) + 1 + 7) // 8 + (n * low + 7) // 8 + 4 * ((n + 63) // 64) AS bytes FROM l""",
-    "ef_select": f"""WITH {_SETS}, g AS (SELECT DISTINCT grp FROM sets), w AS (SELECT grp, i.idx FROM g CROSS JOIN (SELECT unnest(range(0, 5000, 7)) AS idx) i)
+    "ef_select": f"""WITH {_SETS}, g AS (SELECT DISTINCT grp FROM sets), w AS (SELECT grp, i.idx FROM g CROSS JOIN (SELECT unnest(range(0, 5000)) AS idx) i)
         SELECT w.grp, w.idx, value FROM w LEFT JOIN sets ON w.grp = sets.grp AND w.idx = sets.idx""",
     "ef_predecessor": f"""WITH {_SETS}, t AS (SELECT DISTINCT lba // 4096 AS grp, lba % 4096 AS target FROM trace WHERE op = 0)
         SELECT t.grp, t.target, max(sets.idx) AS idx, max(sets.value) AS value FROM t LEFT JOIN sets ON t.grp = sets.grp AND sets.value <= t.target GROUP BY t.grp, t.target""",

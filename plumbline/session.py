@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,23 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8, memory: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a data folder; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder
+    of its own; a cluster has none that all of it shares, and is refused."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="plumbline-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder. Spark drops the files once nothing refers to them."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
