@@ -2,12 +2,13 @@
 
 A document is its set of 5-word shingles, each a 64-bit hash (a pair of sets would need equal hashes of different
 shingles to be judged wrongly). Documents with equal sets are one node, known by a 128-bit hash of the set, so groups of
-copies cost one node however large they are. Shingles have one global order: those found frequent come last, by rising
-count, the others by their hash. Any common order gives the same links; this one keeps frequent passages out of prefixes.
+copies cost one node however large they are. Shingles have one global order: by rising frequency, then by their hash.
+Frequencies are logarithms of counts in a sketch of fixed size, one counter for many shingles, that adds up the nodes of
+all documents. Any common order gives the same links; this one keeps what is frequent out of prefixes.
 
 1. Sets of size n link at J >= 80/100 only if they share a shingle among the first n - ceil(0.8 n) + 1 in order. A map
    over the texts sends these prefixes, packed by ranges of shingles, to tasks that keep the shingles of two or more
-   nodes; frequent shingles need no such task. Shingles with the same nodes stand for the same pairs: the first stays.
+   nodes; very frequent shingles need no such task. Shingles with the same nodes stand for the same pairs: the first stays.
 2. Such a shingle is the root of a trie. It holds each node's ordered shared shingles from the root on, to a bounded
    depth. A query walks the trie: nodes with a common beginning share the overlap found on it, and a subtree is left when
    the overlap so far plus the shorter remaining length cannot reach what its smallest set requires. What is left at the
@@ -41,11 +42,12 @@ from .flat import mixed, shingles, slices, words
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
-#: Frequent shingles on the driver and in each task, at most: 16 bytes each. The limit rises until they are no more.
-FREQUENT, FREQUENT_FROM = 1_000_000, 64
-_LOCAL = 4
-#: Rows in an Arrow batch of texts or sets, at most (4 MB of them), and shingles counted at a time.
-_BATCH, _COUNTED = 2000, 1_000_000
+#: Counters of the sketch, and the slices it is added up in. Logarithms have _STEPS steps for each doubling.
+_COUNTERS, _SLICES, _STEPS = 1 << 20, 64, 4
+#: A counter of so many, and eight times the mean, is that of very frequent shingles: their rows are dealt by node.
+FREQUENT_FROM = 1024
+#: Rows in an Arrow batch of texts or sets, at most (4 MB of them), and shingles or nodes that are held to be counted.
+_BATCH, _COUNTED = 2000, 200_000
 _BUCKET_TOKENS, _HELD_BYTES = 250_000, 32_000_000
 #: A candidate trie is so deep, and holds at most so many nodes and queries in one task.
 _DEPTH, _TRIE_NODES = 16, 1024
@@ -87,42 +89,42 @@ def _halves(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, 2)
 
 
-def _described(docs: DataFrame, width: int) -> DataFrame:
-    """A written table: id, doc_id, mark, node and n per document, and rows of shingles found in several of some texts."""
+def _counter(values: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (mixed(values ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(44)).astype(np.int64)
+
 
-    names = ["id", "doc_id", "mark", "node", "n", "often", "counts"]
-    kinds = [pa.int64()] * 3 + [pa.binary(), pa.int64()] + [pa.list_(pa.int64())] * 2
+def _described(docs: DataFrame, width: int) -> DataFrame:
+    """A written table: id, doc_id, mark, node and n per document, and rows of slices of each task's sketch."""
 
-    def often(held: list[np.ndarray]) -> pa.RecordBatch:
-        value = np.concatenate([*held, np.zeros(0, np.uint64)])
-        held.clear()
-        value.sort()
-        # The first of equal values is frequent here if the one _LOCAL - 1 places on is equal too.
-        ahead = value[_LOCAL - 1 :]
-        token = np.unique(ahead[ahead == value[: len(ahead)]])
-        count = np.searchsorted(value, token, "right") - np.searchsorted(value, token, "left")
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, None, token.astype(np.int64), count), kinds)], names)
+    names = ["id", "doc_id", "mark", "node", "n", "slice", "counts"]
+    kinds = [pa.int64()] * 3 + [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, total = [], set(), 0
+        sketch, held, known, total = np.zeros(_COUNTERS, dtype="<u4"), [], set(), 0
         for batch in batches:
             node, size = [], []
             for _, values in _sets(batch.column(3), width):
                 node.append(_key(values))
                 size.append(len(values))
-                if node[-1] not in known:
+                if node[-1] not in known:  # copies count once, as far as they are near
                     known.add(node[-1])
-                    held.append(values)
+                    held.append(_counter(values))
                     total += len(values)
                 if total >= _COUNTED:
-                    yield often(held)
-                    known, total = set(), 0
-            none = pa.nulls(batch.num_rows, kinds[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), none, none], names)
-        yield often(held)
+                    sketch += np.bincount(np.concatenate(held), minlength=_COUNTERS).astype("<u4")
+                    held, total = [], 0
+                if len(known) >= _COUNTED:
+                    known = set()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.binary()), pa.array(size, pa.int64()), *(pa.nulls(batch.num_rows, t) for t in kinds[5:])], names)
+        if held:
+            sketch += np.bincount(np.concatenate(held), minlength=_COUNTERS).astype("<u4")
+        parts = sketch.reshape(_SLICES, -1)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in kinds[:5]), pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names)
 
     with batches_of(docs.sparkSession, _BATCH):
-        schema = "id long, doc_id long, mark long, node binary, n long, often array<long>, counts array<long>"
+        schema = "id long, doc_id long, mark long, node binary, n long, slice int, counts binary"
         return written(_identified(docs).mapInArrow(run, schema), "shingles")
 
 
@@ -131,54 +133,59 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("id"), "doc_id", mark().alias("mark"), "text")
 
 
-def _frequent(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and their counts."""
-    counts = table.where("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "counts")).alias("z"))
-    counts = durable(counts.groupBy(F.col("z.often").alias("token")).agg(F.sum("z.counts").alias("n")).where(f"n >= {FREQUENT_FROM}"))
-    least = FREQUENT_FROM
-    while counts.where(f"n >= {least}").count() > limit:
-        least *= 2
-    rows = counts.where(f"n >= {least}").toArrow()
-    token, n = (rows.column(k).to_numpy() for k in (0, 1))
-    order = np.argsort(token.astype(np.int64).view(np.uint64), kind="stable")
-    return token.astype(np.int64).view(np.uint64)[order], n[order]
+def _order(table: DataFrame) -> tuple[np.ndarray, int]:
+    """The place of each counter's shingles in the global order, a byte each, and the first place of very frequent ones."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = sums.setdefault(k, np.zeros(_COUNTERS // _SLICES, dtype="<u8"))
+                mine += np.frombuffer(counts, dtype="<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+
+    counts = np.zeros((_SLICES, _COUNTERS // _SLICES), dtype=np.uint64)
+    with batches_of(table.sparkSession, 64):
+        parts = table.where("slice IS NOT NULL").select("slice", "counts").repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary")
+        for r in parts.collect():  # the sketch, whatever the size of the corpus
+            counts[r.slice] = np.frombuffer(r.counts, dtype="<u8")
+    place = lambda x: np.floor(_STEPS * np.log2(np.maximum(x, 1))).astype(np.uint8)
+    often = max(float(FREQUENT_FROM), 8.0 * float(counts.mean()))
+    return place(counts.ravel()), int(np.ceil(_STEPS * np.log2(often)))
 
 
-def _ordered(values: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """A sorted set in the global order, and how many of it are not frequent."""
-    if not len(frequent):
-        return values, len(values)
-    place = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-    often = frequent[place] == values
-    late = values[often]
-    return np.concatenate([values[~often], late[np.lexsort((late, counts[place[often]]))]]), int((~often).sum())
+def _ordered(values: np.ndarray, places: np.ndarray, often: int) -> tuple[np.ndarray, int]:
+    """A sorted set in the global order, and how many of it are not very frequent."""
+    place = places[_counter(values)]
+    order = np.argsort(place, kind="stable")
+    return values[order], int((place < often).sum())
 
 
-def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent: int) -> DataFrame:
+def _shared_tokens(docs: DataFrame, places, buckets: int, width: int, percent: int) -> DataFrame:
     """A written table of token, node, n and pos, the place in the node's order: prefix shingles that several nodes have."""
     packed = "bucket int, tokens binary, nodes binary, sizes binary, places binary"
     schema = "token long, node binary, n long, pos long"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, nodes, sizes, places, late, known = [], [], [], [], [], set()
+            tokens, nodes, sizes, at, late, known = [], [], [], [], [], set()
             for _, values in _sets(batch.column(3), width):
                 n = len(values)
                 node = _key(values)
                 if not n or node in known:
                     continue
                 known.add(node)
-                values, rare = _ordered(values, *frequent.value)
+                values, rare = _ordered(values, *places.value)
                 head = n - required(n, percent) + 1
                 tokens.append(values[: min(head, rare)])
                 nodes.append(np.tile(np.frombuffer(node, dtype="<u8"), (len(tokens[-1]), 1)))
                 sizes.append(np.full(len(tokens[-1]), n, dtype=np.int32))
-                places.append(np.arange(len(tokens[-1]), dtype=np.int32))
+                at.append(np.arange(len(tokens[-1]), dtype=np.int32))
                 if head > rare:
                     late.append((values[rare:head], node, n, rare))
             rows = []
             if tokens:
-                token, node, size, place = (np.concatenate(x) for x in (tokens, nodes, sizes, places))
+                token, node, size, place = (np.concatenate(x) for x in (tokens, nodes, sizes, at))
                 bucket = (token >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -186,7 +193,7 @@ def _shared_tokens(docs: DataFrame, frequent, buckets: int, width: int, percent:
                     some = order[edge[k] : edge[k + 1]]
                     if len(some):
                         rows.append((k, token[some].tobytes(), node[some].tobytes(), size[some].tobytes(), place[some].tobytes()))
-            # Frequent shingles are shared for certain: their rows are dealt by node.
+            # Very frequent shingles are as good as certain to be shared: their rows are dealt by node.
             for values, node, n, rare in late:
                 k, bucket = len(values), -1 - int.from_bytes(node[:8], "little") % buckets
                 rows.append((bucket, values.tobytes(), node * k, np.full(k, n, dtype=np.int32).tobytes(), np.arange(rare, rare + k, dtype=np.int32).tobytes()))
@@ -511,10 +518,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
 
 
-def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, places, width: int, percent: int) -> DataFrame:
     """The linked ones of pairs (pivot, node, n and the pivot's pn); a written table of a and b."""
     pairs = _possible(docs, table, pairs, width, percent)
-    sets = _of_nodes(docs, table, _ends(pairs), lambda values: _ordered(values, *frequent.value)[0].tobytes(), width)
+    sets = _of_nodes(docs, table, _ends(pairs), lambda values: _ordered(values, *places.value)[0].tobytes(), width)
     size = pairs.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / _TRIE_SETS, F.sum("n") / _TRIE_TOKENS)).alias("parts"))
     dealt = durable(pairs.join(size, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
     heads = dealt.select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct()
@@ -554,15 +561,15 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, mark, n_shingles and node of every row, and the component of its node: null for an empty set."""
     spark = docs.sparkSession
     table = _described(docs, width)
-    frequent = spark.sparkContext.broadcast(_frequent(table, FREQUENT))
+    places = spark.sparkContext.broadcast(_order(table))
     total = table.agg(F.sum((100 - percent) * F.col("n") / 100 + 1)).first()[0] or 0
-    tokens = _shared_tokens(docs, frequent, max(12, int(total / _BUCKET_TOKENS)), width, percent)
+    tokens = _shared_tokens(docs, places, max(12, int(total / _BUCKET_TOKENS)), width, percent)
     roots = durable(_roots(tokens))
     rows = _paths(tokens, roots, percent)
     discard(tokens)
     # First pass: every node against the centre of its trie.
     stars = durable(_central(rows, roots, percent))
-    links = _verified(docs, table, stars, frequent, width, percent)
+    links = _verified(docs, table, stars, places, width, percent)
     found = durable(components(links))
     # Second pass: nodes outside the largest component of their trie.
     mine = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -572,7 +579,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     with batches_of(spark, _BATCH):
         pairs = durable(_candidates(mine, percent).distinct().join(stars, ["pivot", "node"], "left_anti"))
     if not pairs.isEmpty():
-        links = links.unionByName(_verified(docs, table, pairs, frequent, width, percent))
+        links = links.unionByName(_verified(docs, table, pairs, places, width, percent))
         found = durable(components(links))
     discard(rows)
     each = table.where("node IS NOT NULL").select("doc_id", "mark", "node", F.col("n").alias("n_shingles"))
