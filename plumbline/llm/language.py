@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import batches_of, columns, durable, mark
 from .flat import flat_bytes
 
 #: The bound of the training sample: documents of each language, and languages.
@@ -39,7 +39,9 @@ REJECTED = 0.0005
 #: Documents of each language beyond the sample that calibrate the rejection, and the limits for few of them.
 CALIBRATED, LEAST_CALIBRATED, UNUSUAL = 1000, 50, -6.0
 NGRAMS, BUCKET_BITS, DIMENSIONS = (2, 3, 4), 15, 8
-_PIECE = 1 << 19
+_PIECE = 1 << 17
+_EMBED_RATE, _DECAY = 10, 1e-4  # of embeddings against weights; of weights, so that they do not grow without end
+_ASIDE = 5  # one in so many of the sample calibrates, by its place in a random order
 _PARTS = 3  # rows of the sample for each document: the whole text and two stretches
 
 _SPACED = np.full(256, 32, dtype=np.uint8)
@@ -143,13 +145,33 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _chosen(docs: DataFrame, after: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents that are not held out, and the doc_ids of some of each language by places in a random order."""
-    named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    mark = F.xxhash64(F.col("doc_id"), F.lit(20))
-    order = Window.partitionBy("lang").orderBy(mark, "doc_id")
-    chosen = named.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where((F.col("place") > after) & (F.col("place") <= last))
-    return named, chosen.orderBy("place", "lang").limit((last - after) * MOST_LANGUAGES).select("doc_id")
+def _learned(docs: DataFrame) -> DataFrame:
+    """The documents that may be learned from."""
+    return docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+
+
+def _chosen(docs: DataFrame, last: int) -> DataFrame:
+    """doc_id, lang, mark (a hash of the text) and place of the first documents of each language in a random order.
+
+    Languages are counted first, and a document whose hash is beyond the share that the places need is left out before
+    the rest are ordered: however many documents a language has, a few thousand rows of it are shuffled.
+    """
+    named = _learned(docs).select("doc_id", "lang", mark().alias("mark"))
+    named = named.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit(20)))
+    counts = durable(named.groupBy("lang").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("many"), "lang").limit(MOST_LANGUAGES))
+    # Three times the places and more: fewer than the places are left over about never, and then all rows are ordered.
+    share = F.least(F.lit(1.0), (3.0 * last + 300) / F.col("many"))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "mark")
+
+    def drawn(limit) -> DataFrame:
+        some = named.join(F.broadcast(counts), "lang").where((F.col("draw") / 2.0**64 + 0.5) <= limit)
+        once = some.groupBy("doc_id").agg(F.min(F.struct("lang", "mark", "draw", "many")).alias("x")).select("doc_id", "x.*")
+        return durable(once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= last))
+
+    found = drawn(share)
+    short = found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.first("many").alias("many")).where((F.col("n") < last) & (F.col("many") > 3 * last + 300))
+    # Repeated rows of few documents can leave too few as well.
+    return (found if short.isEmpty() else drawn(F.lit(2.0))).select("doc_id", "lang", "mark", "place")
 
 
 def _parts(doc: int, text: str) -> tuple[str, str, str]:
@@ -158,16 +180,22 @@ def _parts(doc: int, text: str) -> tuple[str, str, str]:
     return text, " ".join(every[at : at + 30]), " ".join(every[at : at + 8])
 
 
-def _sample(docs: DataFrame, per_language: int) -> DataFrame:
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, lang and text of the chosen documents, a row each."""
+    named = _learned(docs).select("doc_id", "text").withColumn("mark", mark())
+    found = named.join(F.broadcast(chosen), ["doc_id", "mark"])
+    return found.groupBy("doc_id", "mark", "lang").agg(F.first("text").alias("text"), F.first("place").alias("place"))
+
+
+def _sample(docs: DataFrame, chosen: DataFrame, per_language: int) -> DataFrame:
     """Bucket counts of the sampled documents, and of stretches of 30 and 8 words of each: short texts are to be known too."""
-    named, chosen = _chosen(docs, 0, per_language)
-    rows = named.join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "lang", "text")
+    rows = _texts(docs, chosen.where(F.col("place") <= per_language)).select("doc_id", "lang", "place", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for part in _parts(doc, text):
+            for doc, lang, place, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, part in enumerate(_parts(doc, text)):
                     data, _ = _folded(pa.array([part]))
                     count = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
                     for n in NGRAMS:
@@ -175,25 +203,24 @@ def _sample(docs: DataFrame, per_language: int) -> DataFrame:
                             count += np.bincount(_buckets(data[a : a + _PIECE + n - 1], n), minlength=len(count))
                     bucket = np.flatnonzero(count)
                     weight = (count[bucket] / max(1, count.sum())).astype("<f4")
-                    out.append((doc, lang, len(text.split()), bucket.astype("<u4").tobytes(), weight.tobytes()))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], ["doc_id", "lang", "n", "bucket", "weight"])
+                    out.append((doc, lang, place, k, bucket.astype("<u4").tobytes(), weight.tobytes()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, kinds)], ["doc_id", "lang", "place", "part", "bucket", "weight"])
 
-    return rows.mapInArrow(run, "doc_id long, lang string, n long, bucket binary, weight binary")
+    return rows.mapInArrow(run, "doc_id long, lang string, place long, part long, bucket binary, weight binary")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, seed: int = 5) -> Model:
     """Fit on the documents that are not held out. A fifth of the sample is kept for calibration."""
-    got = sorted(_sample(docs, per_language).collect(), key=lambda r: (r.doc_id, -len(r.bucket)))
+    chosen = _chosen(docs, per_language + CALIBRATED)
+    got = sorted(_sample(docs, chosen, per_language).collect(), key=lambda r: (r.doc_id, r.part))
     languages = sorted({r.lang for r in got})
     if not languages:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), dtype=np.int32), np.zeros(0), 1.0, 0.0)
     known = {lang: k for k, lang in enumerate(languages)}
     x = [(np.frombuffer(r.bucket, "<u4").astype(np.int64), np.frombuffer(r.weight, "<f4").astype(np.float64)) for r in got]
     y = np.asarray([known[r.lang] for r in got])
-    aside = np.asarray([(k // _PARTS) % 5 == 4 for k in range(len(got))])
-    if len(set(y[~aside])) < len(languages):
-        aside[:] = False
+    aside = np.asarray([r.place % _ASIDE == 0 for r in got])
     fit = np.flatnonzero(~aside)
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS))
@@ -212,8 +239,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, se
             slope /= len(some)
             back = slope @ weight.T
             # A bucket's share of a text is small, so its embedding moves at a higher rate.
-            np.subtract.at(embed, bucket, 100 * rate * value[:, None] * back[owner])
-            weight -= rate * mean.T @ slope
+            np.subtract.at(embed, bucket, _EMBED_RATE * rate * value[:, None] * back[owner])
+            weight -= rate * (mean.T @ slope + _DECAY * weight)
             bias -= 0.1 * rate * slope.sum(axis=0)
     table = np.clip(np.rint(embed @ weight * 65536), -(2**31), 2**31 - 1).astype(np.int32)
     check = np.flatnonzero(aside) if aside.any() else fit
@@ -230,13 +257,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, se
     # A millionth for buckets that the language's sample does not have.
     usual = np.rint(np.log(seen / np.maximum(seen.sum(axis=0), 1e-9) + 1e-6) * 65536).astype(np.int32)
     model = Model(languages, table, bias, temperature, 1.0 / len(languages), usual)
-    return _calibrated(docs, model, per_language, [got[k].doc_id for k in check if k % _PARTS == 0] if aside.any() else [])
+    return _calibrated(docs, model, chosen.where((F.col("place") > per_language) | (F.col("place") % _ASIDE == 0)))
 
 
-def _calibrated(docs: DataFrame, model: Model, per_language: int, known: list[int]) -> Model:
-    """The limits of rejection from documents the model was not fitted on: `known`, and some that were not sampled."""
-    named, chosen = _chosen(docs, per_language, per_language + CALIBRATED)
-    chosen = chosen.union(docs.sparkSession.createDataFrame([(k,) for k in known], "doc_id long"))
+def _calibrated(docs: DataFrame, model: Model, chosen: DataFrame) -> Model:
+    """The limits of rejection from documents the model was not fitted on: those set aside and some not sampled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +271,7 @@ def _calibrated(docs: DataFrame, model: Model, per_language: int, known: list[in
                 part = np.tile(np.arange(_PARTS), len(doc))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (part, p.max(axis=1), best.astype(np.int64), usual, count)], ["part", "p", "best", "usual", "n"])
 
-    texts = named.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    texts = _texts(docs, chosen).where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text")
     # At most three rows of numbers a document reach the driver.
     rows = texts.mapInArrow(run, "part long, p double, best long, usual double, n long").toPandas()
     part, p, best, usual, count = (rows[c].to_numpy() for c in ("part", "p", "best", "usual", "n"))

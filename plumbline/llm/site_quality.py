@@ -5,7 +5,8 @@ gives each document a probability of being good. It is fitted in numpy on a boun
 by a hash of doc_id. The probabilities are then summed by path and by host. Rates of hosts are drawn to the global rate
 and rates of paths to their host's, each with a strength estimated from the data by the method of moments over all
 groups: the noisier a rate is against the spread between groups, the more it is shrunk. A document's score adds the
-log-odds of its path, itself left out, against the global rate, times `site_weight`, to its own log-odds.
+log-odds of its path, against the global rate, times `site_weight`, to its own log-odds. The document itself is left out
+of the sums of its path and of its host. Host and path may be any columns; site() reads them off a URL.
 
 Sums are partial sums before the shuffle, so a host with a third of all rows is one row per task. Group tables are
 broadcast below a counted size and joined by a shuffle beyond it.
@@ -120,6 +121,14 @@ def evidence(docs: DataFrame, model: Classifier, host: Column, path: Column) ->
     return written(rows.mapInArrow(run, "doc_id long, host string, path string, p_doc double"), "evidence")
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """Host and path of a URL: the host in lower case without www, user and port, and the host with the first part of the
+    path. Null where the text is no absolute URL of http."""
+    whole = r"^(?i:https?)://(?:[^/?#@]*@)?(?i:www\.)?([^/?#:@]+)(?::\d*)?(?:/([^/?#]*))?"
+    host = F.lower(F.nullif(F.regexp_extract(url, whole, 1), F.lit("")))
+    return host, F.concat_ws("/", host, F.regexp_extract(url, whole, 2))
+
+
 def _strength(groups: DataFrame, center: Column) -> tuple[float, int]:
     """Prior observations of groups with n, sum, squares around their centers; and how many groups there are."""
     rate = F.col("sum") / F.col("n")
@@ -140,28 +149,34 @@ def _sums(df: DataFrame, *by: str) -> DataFrame:
 
 
 def posteriors(table: DataFrame) -> tuple[DataFrame, float]:
-    """host, path, sums, p_host, the path's prior strength; and the global rate."""
+    """host, path, the sums of the path and of the host, p_host, the prior strengths of both; and the global rate."""
     paths = written(_sums(table, "host", "path"), "paths")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "sum", "squares")])
     total = hosts.agg(F.sum("sum"), F.sum("n")).first()
     mean = float(total[0] / total[1]) if total[1] else 0.5
     host_strength, n_hosts = _strength(hosts, F.lit(mean))
     p_host = (F.col("sum") + host_strength * mean) / (F.col("n") + host_strength)
-    hosts = hosts.select(F.col("host").alias("_host"), p_host.alias("p_host"))
+    hosts = hosts.select(F.col("host").alias("_host"), p_host.alias("p_host"), F.col("n").alias("host_n"), F.col("sum").alias("host_sum"))
     if n_hosts <= BROADCAST_ROWS:
         hosts = F.broadcast(hosts)
     both = paths.join(hosts, paths["host"].eqNullSafe(F.col("_host"))).drop("_host")
     path_strength, n_paths = _strength(both, F.col("p_host"))
-    both = both.withColumn("strength", F.lit(path_strength))
+    both = both.withColumns({"strength": F.lit(path_strength), "host_strength": F.lit(host_strength)})
     return (F.broadcast(both) if n_paths <= BROADCAST_ROWS else both), mean
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, site_weight: float = SITE_WEIGHT, keep_from: float = KEEP_FROM) -> DataFrame:
-    """doc_id, p_doc, p_host, p_path (without the document itself), score and keep of every row."""
-    table = evidence(docs, train(docs, labels), host, path)
+    """doc_id, p_doc, p_host and p_path (both without the document itself), score and keep of every row."""
+    return scored(evidence(docs, train(docs, labels), host, path), site_weight, keep_from)
+
+
+def scored(table: DataFrame, site_weight: float = SITE_WEIGHT, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The columns of score() from rows of doc_id, host, path and p_doc."""
     groups, mean = posteriors(table)
     groups = groups.withColumnsRenamed({"host": "_host", "path": "_path"})
     df = table.join(groups, table["host"].eqNullSafe(F.col("_host")) & table["path"].eqNullSafe(F.col("_path")))
+    p_host = (F.col("host_sum") - F.col("p_doc") + F.col("host_strength") * mean) / (F.col("host_n") - 1 + F.col("host_strength"))
+    df = df.withColumn("p_host", p_host)
     p_path = (F.col("sum") - F.col("p_doc") + F.col("strength") * F.col("p_host")) / (F.col("n") - 1 + F.col("strength"))
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
     df = df.withColumn("p_path", p_path)

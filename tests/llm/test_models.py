@@ -92,3 +92,108 @@ def test_sparse_sites_are_shrunk(spark):
     none = Q.score(docs, labels.limit(0), F.col("host"), F.col("host")).collect()
     assert {round(r.p_doc, 6) for r in none} == {0.5}
     assert Q.score(docs.limit(0), labels, F.col("host"), F.col("host")).count() == 0
+
+
+def brute_scores(rows, weight=Q.SITE_WEIGHT):
+    """Posteriors and scores from (doc_id, host, path, p), written out with lists."""
+    import math
+
+    mean = sum(r[3] for r in rows) / len(rows)
+
+    def grouped(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(r[3])
+        return out
+
+    def strength(groups, center):
+        n = sum(map(len, groups.values()))
+        within = sum(sum((p - sum(g) / len(g)) ** 2 for p in g) for g in groups.values())
+        between = sum(len(g) * (sum(g) / len(g) - center(k)) ** 2 for k, g in groups.items())
+        noise = max(1e-6, within / max(1, n - len(groups)))
+        spread = (between - (len(groups) - 1) * noise) / max(1.0, n - sum(len(g) ** 2 for g in groups.values()) / n)
+        return min(1e6, max(1.0, noise / max(spread, 1e-9)))
+
+    hosts, paths = grouped(lambda r: r[1]), grouped(lambda r: (r[1], r[2]))
+    a = strength(hosts, lambda k: mean)
+    b = strength(paths, lambda k: (sum(hosts[k[0]]) + a * mean) / (len(hosts[k[0]]) + a))
+    odds = lambda p: math.log(max(p, 1e-9) / max(1 - p, 1e-9))
+    out = []
+    for d, host, path, p in rows:
+        g, h = hosts[host], paths[host, path]
+        p_host = (sum(g) - p + a * mean) / (len(g) - 1 + a)
+        p_path = (sum(h) - p + b * p_host) / (len(h) - 1 + b)
+        score = 1 / (1 + math.exp(-(odds(p) + weight * (odds(p_path) - odds(mean)))))
+        out.append((d, p_host, p_path, score))
+    return out
+
+
+def test_posteriors_equal_brute_force(spark):
+    rng = random.Random(8)
+    rate = {}
+    rows = []
+    for k in range(400):
+        host = rng.choice([None, "a", "b", "c", "d", f"lone{k}"])
+        path = rng.choice([None, "x", "y"])
+        base = rate.setdefault((host, path), rng.random())
+        rows.append((k, host, path, min(1.0, max(0.0, rng.gauss(base, 0.2)))))
+    rows += [(7, "a", "x", 1.0), (7, "a", "x", 1.0)]
+    got = Q.scored(spark.createDataFrame(rows, "doc_id long, host string, path string, p_doc double").repartition(3)).collect()
+    key = lambda x: (x[0], x[3])
+    for mine, want in zip(sorted([(r.doc_id, r.p_host, r.p_path, r.score) for r in got], key=key), sorted(brute_scores(rows), key=key)):
+        assert mine[0] == want[0] and all(abs(x - y) < 1e-6 for x, y in zip(mine[1:], want[1:])), (mine, want)
+
+
+def test_hosts_and_paths_of_pages(spark):
+    urls = ["https://blog.x.example/en/78?utm=1", "HTTP://User@WWW.X.example:8080/en", "http://x.example", "https://x.example/?q=/a", "mailto:a@b", None, ""]
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "url string").select(*Q.site(F.col("url"))).collect()]
+    assert [g[0] for g in got] == ["blog.x.example", "x.example", "x.example", "x.example", None, None, None]
+    assert [g[1] for g in got[:4]] == ["blog.x.example/en", "x.example/en", "x.example/", "x.example/"]
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), "url")
+    model = Q.train(*(spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels")))
+    rated = Q.scored(Q.evidence(pages, model, *Q.site(F.col("url"))))
+    assert rated.count() == pages.count() and rated.where("p_host BETWEEN 0 AND 1 AND score BETWEEN 0 AND 1").count() == pages.count()
+
+
+def test_language_scores_equal_a_plain_version(spark):
+    """Scores, languages and both limits of rejection, n-gram by n-gram, on texts of one piece."""
+    import math
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = L.train(docs, 60, 3)
+    assert 0.05 < model.temperature < 5000 and model.threshold >= 1 / len(model.languages)
+    some = [(r.doc_id, r.text) for r in docs.where("length(text) < 3000").limit(40).collect()] + [(9001, "Ab"), (9002, "x1y"), (9003, "..."), (9004, "étude ÉTUDE")]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    for doc, text in some:
+        if not any(c.isalpha() for c in text):
+            assert (got[doc].lang_pred, got[doc].score, got[doc].rejected) == ("und", 0.0, True)
+            continue
+        data = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in f" {text.lower()} ".encode())
+        total, often, n = [0] * len(model.languages), [0] * len(model.languages), 0
+        for size in L.NGRAMS:
+            for at in range(len(data) - size + 1):
+                h = size
+                for c in data[at : at + size]:
+                    h = ((h * 0x01000193) & 0xFFFFFFFF) ^ c
+                bucket = ((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - L.BUCKET_BITS)
+                n += 1
+                for j in range(len(total)):
+                    total[j] += int(model.table[bucket, j])
+                    often[j] += int(model.usual[bucket, j])
+        x = [(t / 65536 / n + b) / model.temperature for t, b in zip(total, model.bias)]
+        p = [math.exp(v - max(x)) for v in x]
+        p = [v / sum(p) for v in p]
+        best = p.index(max(p))
+        strange = (often[best] / 65536 / n - model.center[best]) / math.sqrt(model.variance[0] + model.variance[1] / n)
+        assert got[doc].lang_pred == model.languages[best] and abs(got[doc].score - p[best]) < 1e-9
+        assert got[doc].rejected == (p[best] < model.threshold or strange < model.unusual)
+
+
+def test_sample_is_the_first_of_a_random_order(spark, monkeypatch):
+    rows = [(k, f"text {k}", "a" if k % 50 else "b") for k in range(3000)] + [(5, "text 5", "a"), (6, "other", "a"), (None, "x", "a"), (9999, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    first = {(r.doc_id, r.lang, r.place) for r in L._chosen(docs, 40).collect()}
+    assert sorted(p for _, lang, p in first if lang == "a") == list(range(1, 41)) == sorted(p for _, lang, p in first if lang == "b")
+    again = {(r.doc_id, r.lang, r.place) for r in L._chosen(docs.repartition(2), 40).collect()}
+    everything = {(r.doc_id, r.lang, r.place) for r in L._chosen(docs, 5000).collect()}
+    assert again == first <= everything and len(everything) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(3000))
