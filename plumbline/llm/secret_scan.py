@@ -8,8 +8,10 @@ characters that an encoding of random bytes would use. It also counts the charac
   valid p-value, and long tokens can reach lower ones. Within length classes the Benjamini-Hochberg rule, over a
   histogram of all candidates of the corpus, sets the limit for a false-discovery rate.
 * battery: a discovered token must also look random in the encoding inferred for it: chi-squared uniformity of its
-  alphabet, a runs test about the median and lag-one serial correlation, each two-sided, with Bonferroni correction.
-  Rulers, alphabets and repeated blocks, which are unlike text but not random, fail here.
+  alphabet, a runs test about the median and lag-one serial correlation, each two-sided. Their least p-value, times
+  three, is the token's p-value under true randomness. Here too the Benjamini-Hochberg rule sets the limit by length
+  class, over all discovered tokens of the corpus: of those taken for structured, a share of BATTERY_RATE at most is
+  random. Rulers, alphabets and repeated blocks, which are unlike text but not random, fail here.
 
 Spans of fixed formats stay whatever the tests say; a token that overlaps one is not listed again. Offsets are code
 points, end exclusive; the span of an assignment is its whole match.
@@ -37,7 +39,7 @@ from .flat import flat_bytes, points, runs
 #: Kinds in the order of ties.
 ASSIGN, ACCESS, HEX, OPAQUE = KINDS = ("assign", "access", "hex", "opaque")
 LEAST = {ASSIGN: 12, ACCESS: 18, HEX: 16, OPAQUE: 20}
-DISCOVERY_RATE, BATTERY_LEVEL = 0.01, 0.01
+DISCOVERY_RATE, BATTERY_RATE = 0.01, 0.01
 
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -173,8 +175,14 @@ def battery(token: str) -> dict[str, float]:
     return {"uniform": uniform, "runs": run_p, "serial": _normal((r + 1 / n) * math.sqrt(n))}
 
 
+def battery_log_p(token: str) -> float:
+    """Natural logarithm of the battery's p-value; 0 at most."""
+    return math.log(max(1e-300, min(1.0, 3 * min(battery(token).values()))))
+
+
 def looks_random(token: str) -> bool:
-    return min(1.0, 3 * min(battery(token).values())) >= BATTERY_LEVEL
+    """Whether a token passes the battery by itself; scan() compares it with the others of its length class."""
+    return battery_log_p(token) >= math.log(BATTERY_RATE)
 
 
 def length_class(n: int) -> int:
@@ -204,19 +212,26 @@ def scan(docs: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     table = listed(docs)
     model = text_model(table)
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def histogram(batches: Iterator[pa.RecordBatch], p_value, keep) -> Iterator[pa.RecordBatch]:
         count: dict[tuple[int, int], int] = {}
         for batch in batches:
             for tokens in batch.column(0).to_pylist():
-                for t in tokens:
-                    key = (length_class(len(t["token"])), _bin(log_p(t["token"], model)))
-                    count[key] = count.get(key, 0) + 1
+                for t in (x["token"] for x in tokens):
+                    if keep(t):
+                        key = (length_class(len(t)), _bin(p_value(t)))
+                        count[key] = count.get(key, 0) + 1
         rows = [(*k, n) for k, n in count.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int32(), pa.int64()))], ["kind", "bin", "n"])
 
-    found = table.where("size(tokens) > 0").select("tokens").mapInArrow(histogram, "kind int, bin int, n long")
-    # At most classes x bins rows reach the driver.
-    least = limits({(r.kind, r.bin): r.n for r in found.groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()}, rate)
+    def counted(p_value, keep) -> dict[tuple[int, int], int]:
+        """Tokens by length class and bin of their p-value: at most classes x bins rows reach the driver."""
+        found = table.where("size(tokens) > 0").select("tokens").mapInArrow(lambda b: histogram(b, p_value, keep), "kind int, bin int, n long")
+        return {(r.kind, r.bin): r.n for r in found.groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()}
+
+    ordinary = lambda t: log_p(t, model)
+    least = limits(counted(ordinary, lambda t: True), rate)
+    discovered = lambda t: _bin(log_p(t, model)) >= least.get(length_class(len(t)), _MOST_BIN + 1)
+    structured = limits(counted(battery_log_p, discovered), BATTERY_RATE)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +243,7 @@ def scan(docs: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
                     a, b = t["start"], t["start"] + len(t["token"])
                     if any(x < b and a < y for _, x, y in spans):
                         continue
-                    if _bin(log_p(t["token"], model)) >= least.get(length_class(b - a), _MOST_BIN + 1) and looks_random(t["token"]):
+                    if discovered(t["token"]) and _bin(battery_log_p(t["token"])) < structured.get(length_class(b - a), _MOST_BIN + 1):
                         spans.append((OPAQUE, a, b))
                 every.append([{"kind": k, "start": a, "stop": b} for k, a, b in in_order(spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, span)], ["doc_id", "base", "spans"])

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from plumbline.llm import secret_scan as S
 
 A = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -68,5 +70,46 @@ def test_tokens_of_each_alphabet_are_found_in_text(spark):
         assert sum("opaque" in got[k] for k in range(j, 50, 5)) >= 8, name
 
 
+def test_added_spans_equal_a_brute_force_version(spark):
+    """Both Benjamini-Hochberg limits from the sorted p-values of all tokens, instead of histograms."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["the", "tion", "er", "ing", "an", "ou"]) for _ in range(rng.randrange(1, 9)))
+    rows = []
+    for k in range(150):
+        w = [word() for _ in range(60)]
+        name = rng.choice(list(S.ENCODINGS)[1:])
+        if k % 3 == 0:
+            w.insert(rng.randrange(60), "".join(rng.choice(S.ENCODINGS[name]) for _ in range(rng.choice([20, 24, 31, 40, 64, 130]))))
+        if k % 5 == 0:
+            w.insert(rng.randrange(60), rng.choice(["-=" * 20, S.ENCODINGS["base64"][:52], "ab12" * 9, "=_" * 40, "Q9" * 16]))
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.spans for r in S.digest(S.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    count = np.where(S._IS_TOKEN, 1.0, 0.0)
+    for _, t in rows:
+        for c in t.encode():
+            count[c] += S._IS_TOKEN[c]
+    model = np.log(count, where=count > 0, out=np.full(256, -np.inf)) - np.log(count.sum())
+    tokens = [(k, m.start(), m.end(), m[0]) for k, t in rows for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t)]
+
+    def rejected(some, p_value):
+        """Those that the rule takes at rate 0.01, by length class; p-values are rounded up to quarters of powers of ten."""
+        out = set()
+        for kind in {S.length_class(len(t[3])) for t in some}:
+            mine = [(10.0 ** -(int(-p_value(t[3]) / np.log(10) * 4) / 4), t) for t in some if S.length_class(len(t[3])) == kind]
+            fits = [p for p, _ in mine if p * len(mine) / sum(q <= p for q, _ in mine) <= 0.01]
+            out |= {t for p, t in mine if fits and p <= max(fits)}
+        return out
+
+    found = rejected(tokens, lambda t: S.log_p(t, model))
+    added = found - rejected(found, S.battery_log_p)
+    want = {}
+    for k, a, b, t in added:
+        if not any(x < b and a < y for _, x, y in brute(rows[k][1])):
+            want.setdefault(k, []).append(("opaque", a, b))
+    assert sum(map(len, want.values())) >= 25
+    for k, t in rows:
+        assert got[k] == S.joined(S.in_order(brute(t) + want.get(k, []))), k
+
+
 def test_empty_table(spark):
     assert S.digest(S.scan(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
