@@ -107,13 +107,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in `gone`."""
-    name = unused(docs, "_gone")
-    gone = small(gone.select(F.col("doc_id").alias(name)))
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
-
-
 def marked(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a 64-bit hash of the text in a column of its own, and its name. With the doc_id it tells rows
     apart whatever order a source is read in; rows that agree in both are copies of one row."""

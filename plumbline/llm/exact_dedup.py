@@ -7,11 +7,12 @@ blocks and the same last name; no hash decides it.
 
 A block's bytes cross the network once, to be numbered, and are combined on the map side before, so that a block that
 a third of all rows share costs one row per map task. Occurrences carry two 64-bit fingerprints of their block instead.
-They only route: where two different blocks share both, the occurrences of that fingerprint are joined by the bytes.
+They only route: where two different blocks share both, occurrences carry their bytes and are joined by these.
 
 Defined results: null text counts as empty; empty texts are equal to each other; a null or repeated doc_id is a row of
-its own, and keep_id is then the smallest doc_id among the longest rows, nulls last; of repeated rows with the same
-doc_id that would both stay, one stays. Columns other than doc_id and text are ignored.
+its own, and keep_id is then the smallest doc_id among the longest rows, nulls last; of repeated rows that agree in doc_id
+and length, the one with the smallest hash of its original text stays, and of copies of one row any one. Columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, without
+from .common import SPACE, durable, mark, marked, one_each
 
 BLOCK_BYTES = 4096
 
@@ -29,6 +30,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id"),
         F.length(raw).cast("long").alias("points"),
+        mark().alias("mark"),
         F.regexp_replace(raw, f"{SPACE}+", "").cast("binary").alias("bytes"),
     )
 
@@ -67,27 +69,28 @@ def _next_level(level: DataFrame) -> DataFrame:
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per input row: row, doc_id, points (code points of the text), text_sha256, blocks and name.
+    """A row per input row: row, doc_id, points and mark (code points and hash of the text), text_sha256, blocks and name.
 
     Rows are equal texts if and only if blocks and name are equal.
     """
     texts = _texts(docs).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "points", F.sha2("bytes", 256).alias("text_sha256"), "bytes"
+        F.monotonically_increasing_id().alias("row"), "doc_id", "points", "mark", F.sha2("bytes", 256).alias("text_sha256"), "bytes"
     )
-    kept = durable(
-        _cut(texts, block_bytes).select(
-            "row", (F.col("last") + 1).alias("blocks"), "at", *_marks(),
-            *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "points", "text_sha256")],
-        )
-    )
+
+    def occurrences(*more: str) -> DataFrame:
+        # The row numbers are made in this one pass, and the checkpoint keeps them whatever is computed again later.
+        once = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "points", "mark", "text_sha256")]
+        return durable(_cut(texts, block_bytes).select("row", (F.col("last") + 1).alias("blocks"), "at", *_marks(), *once, *more))
+
+    kept = occurrences()
     # Ambiguous fingerprints are all but impossible; they are looked for all the same and told apart by the bytes.
     named = durable(_name_blocks(docs, block_bytes).drop("block"))
-    twice = named.groupBy("f", "g").count().where("count > 1")
-    if twice.isEmpty():
-        level = kept.join(named, ["f", "g"]).select("row", "blocks", "at", "name")
+    if named.groupBy("f", "g").count().where("count > 1").isEmpty():
+        level = kept.join(named, ["f", "g"])
     else:
-        level = _by_bytes(docs, kept, block_bytes)
-    level = durable(level)
+        kept = occurrences("block")
+        level = kept.join(durable(_name_blocks(docs, block_bytes).select("block", "name")), "block")
+    level = durable(level.select("row", "blocks", "at", "name"))
     done = [level.where("blocks = 1").select("row", "name")]
     most = kept.where("at = 0").agg(F.max("blocks")).first()[0] or 1
     alive, width = level.where("blocks > 1"), 1
@@ -100,15 +103,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     names = done[0]
     for more in done[1:]:
         names = names.unionByName(more)
-    return kept.where("at = 0").select("row", "doc_id", "points", "text_sha256", "blocks").join(names, "row")
-
-
-def _by_bytes(docs: DataFrame, kept: DataFrame, size: int) -> DataFrame:
-    """Level 0 when fingerprints are ambiguous: name every occurrence by its bytes."""
-    named = durable(_name_blocks(docs, size))
-    rows = _cut(_texts(docs).select(F.monotonically_increasing_id().alias("row"), "bytes"), size)
-    occurrences = rows.select("row", (F.col("last") + 1).alias("blocks"), "at", "block")
-    return occurrences.join(named.select("block", "name"), "block").select("row", "blocks", "at", "name")
+    return kept.where("at = 0").select("row", "doc_id", "points", "mark", "text_sha256", "blocks").join(names, "row")
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -117,33 +112,28 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     Of equal texts the row with the most code points in its original text stays, then the one with the smallest doc_id.
     """
     rows = durable(identities(docs, block_bytes))
-    order = F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    order = F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"), F.col("row"))
     groups = rows.groupBy("blocks", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.min_by(F.struct("row", "doc_id"), order).alias("stays")
     )
     # Written first, so that both sides of the join are plain exchanges and a hot group can be split at run time.
     return rows.join(durable(groups), ["blocks", "name"]).select(
         "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"),
-        "text_sha256", F.col("row"),
+        "text_sha256", "mark",
     )
 
 
 def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with one row of each group of equal texts, in the columns of the input."""
-    rows = durable(exact_duplicates(docs, block_bytes))
-    if rows.groupBy("doc_id").count().where("count > 1").isEmpty() and rows.where("doc_id IS NULL").isEmpty():
-        return without(docs, rows.where("NOT kept"))
-    # Repeated or null doc_ids: the row that stays is told by its text too, and one of the rows that agree is taken.
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE}+", ""), 256)
-    order = F.struct(-F.length(F.coalesce(F.col("text"), F.lit(""))), F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    best = docs.withColumn("_sha", sha).groupBy("doc_id", "_sha").agg(F.min(order).alias("_row"))
-    kept = rows.where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_text"))
-    agree = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_text"))
-    return best.join(kept, agree, "left_semi").select("_row.col2.*")
+    rows = exact_duplicates(docs, block_bytes).where("group_size > 1")
+    # By doc_id and original text, how many rows there are and whether one of them stays.
+    several = durable(rows.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    docs, name = marked(docs)
+    return one_each(docs, name, several.where("NOT kept").select("doc_id", "mark"), several.where("kept AND rows > 1").select("doc_id", "mark"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark")
 
 
 SQL = r"""
