@@ -11,7 +11,8 @@ Their proposals are scored by gradient-boosted trees over format features (digit
 digit, brackets) and context features (neighbouring characters, words before). The trees are fitted on labelled example
 sentences that are made here, LABELLED of them and a tenth more of look-alikes of addresses, and read through the same generators; a third of them calibrates the
 score to a probability and sets, for each kind, the lowest threshold with the wanted precision. The trees run as
-CASE expressions. A proposal that overlaps a base span or an earlier proposal is not listed.
+CASE expressions. Of the selected proposals that overlap no base span, taken by start and the longer first, each that
+does not overlap the last one taken is listed.
 
 Defined results: null text is empty; rows without a span have counts of 0, the digest of the empty string and empty
 spans; repeated rows and null doc_ids are rows of their own; an empty table gives no rows. Offsets are code points, end
@@ -239,16 +240,21 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     # By start: base spans that begin earlier and end later than a proposal's start, or begin before its end, overlap it.
     order = Window.partitionBy("row").orderBy("start", F.desc("stop"), "gen")
     past, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({
         "_past": F.max(F.when(F.col("base"), F.col("stop"))).over(past),
         "_next": F.min(F.when(F.col("base"), F.col("start"))).over(ahead),
-        "_same": F.max(F.when(F.col("added"), F.col("stop"))).over(earlier),
     })
     free = (F.coalesce("_past", F.lit(-1)) <= F.col("start")) & (F.coalesce("_next", F.col("stop")) >= F.col("stop"))
-    free = free & (F.coalesce("_same", F.lit(-1)) <= F.col("start"))
-    span = F.when(F.col("base") | (F.col("added") & free), F.struct("kind", "start", "stop", "base", "p"))
-    return df.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
+    span = F.struct("kind", "start", "stop", "base", "p")
+    more = F.when(F.col("added") & free, F.struct("start", (-F.col("stop")).alias("length"), "gen", span.alias("span")))
+    rows = df.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("base"), span)).alias("base"), F.array_sort(F.collect_list(more)).alias("more")
+    )
+    none = F.struct(F.lit(-1).cast("long").alias("stop"), F.slice("base", 1, 0).alias("kept"))
+    taken = F.aggregate(
+        "more", none, lambda a, x: F.when(x["start"] >= a["stop"], F.struct(x["span"]["stop"].alias("stop"), F.array_append(a["kept"], x["span"]).alias("kept"))).otherwise(a)
+    )
+    return rows.select("doc_id", F.array_sort(F.concat("base", taken["kept"])).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -87,6 +87,24 @@ def test_masked_addresses_of_unseen_sentences(spark):
     assert got[-3:] == ["email:6:22", "", "email:6:24"]
 
 
+def test_added_spans_are_chosen_as_in_a_plain_version(spark, rows):
+    """With a model that takes every proposal: those free of base spans, by start and the longer first."""
+    every = P.Model(9.0, (), 1.0, 0.0, (0.5,) * len(P.KINDS))
+    some = [(k, t) for k, t in rows if k and k > 8 and k != 9] + [(5001, "411111111111111 (578) 555-6437 123 456 7890 4111111111111111 2 123-456-7890-4444"), (5002, "12 (578) 555-6437 1234567890123 1 415 555 2671 jo (at) 415 555 2671.com")]
+    got = {r.doc_id: r.spans for r in P.digest(P.find(spark.createDataFrame(some, "doc_id long, text string"), every)).collect()}
+    n = 0
+    for k, text in some:
+        spans = brute(text)
+        more = [(m.start(), -m.end(), j, P.KINDS.index(g.kind)) for j, g in enumerate(P.GENERATORS) if not g.base for m in re.finditer(g.pattern, text)]
+        last = -1
+        for a, b, _, kind in sorted(more):
+            if a >= last and not any(x < -b and a < y for _, x, y in brute(text)):
+                spans.append((kind, a, -b))
+                last, n = -b, n + 1
+        assert got[k] == joined(sorted(spans)), text
+    assert n > 100
+
+
 def test_no_python_runs_on_executors(spark):
     docs = spark.createDataFrame([(1, "a@b.cc")], "doc_id long, text string")
     plan = P.digest(P.find(docs))._jdf.queryExecution().executedPlan().toString()
