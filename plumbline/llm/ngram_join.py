@@ -162,9 +162,13 @@ def _ordered(values: np.ndarray, places: np.ndarray, often: int) -> tuple[np.nda
 
 
 def _shared_tokens(docs: DataFrame, places, buckets: int, width: int, percent: int) -> DataFrame:
-    """A written table of token, node, n and pos, the place in the node's order: prefix shingles that several nodes have."""
+    """A written table of token, node, n and pos, the place in the node's order: prefix shingles that several nodes have.
+
+    One row of each shingle, its pivot's, has what its nodes add up to: many, least, one and two (see _roots). Rows of very
+    frequent shingles are not together and have -1 in many.
+    """
     packed = "bucket int, tokens binary, nodes binary, sizes binary, places binary"
-    schema = "token long, node binary, n long, pos long"
+    schema = "token long, node binary, n long, pos long, many long, least long, one long, two long"
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +204,25 @@ def _shared_tokens(docs: DataFrame, places, buckets: int, width: int, percent: i
             kinds = (pa.int32(), *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["bucket", "tokens", "nodes", "sizes", "places"])
 
-    def out(token, node, size, place) -> Iterator[pa.RecordBatch]:
+    def out(token, node, size, place, sums) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array(token.view(np.int64)), _binaries(node), pa.array(size.astype(np.int64)), pa.array(place.astype(np.int64)), *sums]
+        whole = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
         for k in range(0, len(token), 50_000):
-            part = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(token[part].view(np.int64)), _binaries(node[part]), pa.array(size[part].astype(np.int64)), pa.array(place[part].astype(np.int64))], ["token", "node", "n", "pos"])
+            yield whole.slice(k, 50_000)
+
+    def added_up(token, node, size, place) -> list[pa.Array]:
+        """many, least, one and two in the row of the pivot of each run of rows with one shingle."""
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        head = np.lexsort((node[:, 0], node[:, 1], size, place, token))[begin]
+        marks = [np.bitwise_xor.reduceat(mixed(node[:, k] ^ mixed(node[:, 1 - k])), begin).view(np.int64) for k in (0, 1)]
+        sums = [np.diff(begin, append=len(token)), np.minimum.reduceat(size, begin), *marks]
+        out, none = [], np.ones(len(token), dtype=bool)
+        none[head] = False
+        for x in sums:
+            column = np.zeros(len(token), dtype=np.int64)
+            column[head] = x
+            out.append(pa.array(column, pa.int64(), mask=none))
+        return out
 
     def unpack(rows) -> tuple[np.ndarray, ...]:
         token, node, size, place = (np.frombuffer(b"".join(c), dtype=t) for c, t in zip(rows, ("<u8", "<u8", "<i4", "<i4")))
@@ -223,9 +242,14 @@ def _shared_tokens(docs: DataFrame, places, buckets: int, width: int, percent: i
 
         def flush() -> Iterator[pa.RecordBatch]:
             token, *rest = distinct(held)
+            if bucket < 0:
+                yield from out(token, *rest, [pa.array(np.full(len(token), -1), pa.int64()), *[pa.nulls(len(token), pa.int64())] * 3])
+                return
             with_next = np.concatenate([token[1:] == token[:-1], [False]])
-            several = with_next | np.concatenate([[False], with_next[:-1]]) | (bucket < 0)
-            yield from out(token[several], *(c[several] for c in rest))
+            several = with_next | np.concatenate([[False], with_next[:-1]])
+            rows = [c[several] for c in (token, *rest)]
+            if len(rows[0]):
+                yield from out(*rows, added_up(*rows))
 
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -255,18 +279,21 @@ def _roots(tokens: DataFrame) -> DataFrame:
     """The roots of tries: token, pivot (the node with the fewest shingles before it, with pn and ppos, its size and the
     root's place) and the size of the least node.
 
-    Of shingles that the same nodes have, the first in the global order is also the first in each node.
+    Of shingles that the same nodes have, the first in the global order comes first in each node, and its least place is
+    the least. Nodes are told to be the same by their number and two sums of hashes.
     """
-    nodes = [F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), F.col("node"))).alias("two"), F.count(F.lit(1)).alias("many")]
-    each = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.min(F.struct("node", "pos")).alias("first"), F.min("n").alias("least"), *nodes)
-    same = each.where("many > 1").groupBy("one", "two", "many").agg(F.min_by(F.struct("token", "p", "least"), F.col("first.pos")).alias("root"))
+    marks = [F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), F.col("node"))).alias("two")]
+    often = tokens.where("many = -1").groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p"), F.count(F.lit(1)).alias("many"), F.min("n").alias("least"), *marks)
+    pivot = F.struct("pos", "n", "node").alias("p")
+    each = tokens.where("many > 0").select("token", pivot, "many", "least", "one", "two").unionByName(often.where("many > 1"))
+    same = each.groupBy("one", "two", "many").agg(F.min_by(F.struct("token", "p", "least"), F.col("p.pos")).alias("root"))
     return same.select("root.token", F.col("root.p.node").alias("pivot"), F.col("root.p.n").alias("pn"), F.col("root.p.pos").alias("ppos"), F.col("root.least").alias("least"))
 
 
 def _paths(tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """A written table of the rows of the tries: token (the root), node, n, pos and path, the node's shared shingles from
     the root on with their places. Rows that no partner in their trie can suit, by size and place, are left out."""
-    ahead = tokens.join(roots.select("token", "least"), "token", "left")
+    ahead = tokens.select("token", "node", "n", "pos").join(small(roots.select("token", "least")), "token", "left")
     # With a partner of `least` shingles, no more than the rest from the root on is common.
     ahead = ahead.withColumn("root", F.expr(f"coalesce({100 + percent} * (n - pos) >= {percent} * (n + least), false)"))
     lists = ahead.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "token", "root"))).alias("all"))
