@@ -6,12 +6,21 @@ A log is (seq, op, lba, pba): op 0 reads, 1 writes, 2 deletes; seq is a total or
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidData
 from ..plans.ordering import running_sum
+from ..session import durable
 
 READ, WRITE, DELETE = 0, 1, 2
 #: Fixed values of the binary trace: 16-byte records, address then (op << 60) + physical address, little endian.
@@ -27,10 +36,81 @@ def from_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("seq"), op.cast("int").alias("op"), (F.col("user_id") * 100 + k).alias("lba"), (F.col("event_id") + 1).alias("pba"))
 
 
+def _open(path: str):
+    """A store and a path in it, for a URI as Spark writes it."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else os.path.abspath(path))
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Addresses, operations and physical addresses of whole records."""
+    words = np.frombuffer(data, dtype="<u8").reshape(-1, 2)
+    if len(words) and words[:, 0].max() >= 1 << 63:
+        raise InvalidData("an address of 2**63 or more")
+    low = words[:, 1] & np.uint64((1 << OP_SHIFT) - 1)
+    return words[:, 0].astype(np.int64), (words[:, 1] >> np.uint64(OP_SHIFT)).astype(np.int32), low.astype(np.int64)
+
+
+def read_binary_split(spark: SparkSession, path: str, delete_pba: int = (1 << OP_SHIFT) - 1, records: int = 1 << 22) -> DataFrame:
+    """read_binary() for traces of any size: tasks read stretches of so many records of the files, which pyarrow must be
+    able to reach. Files are taken in the order of their names."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.expr(f"length div {RECORD}").alias("n"))
+    before = F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("before", F.coalesce(before, F.lit(0)).cast("long")).where("n > 0")
+    parts = files.select("path", "n", "before", F.explode(F.expr(f"sequence(0L, n - 1, {records}L)")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n, start, at in zip(*(c.to_pylist() for c in batch.columns)):
+                store, place = _open(name)
+                with store.open_input_file(place) as file:
+                    end = min(n, at + records)
+                    while at < end:
+                        k = min(end - at, 1 << 16)
+                        data = file.read_at(k * RECORD, at * RECORD)
+                        yield pa.RecordBatch.from_arrays([pa.array(start + at + np.arange(k)), *map(pa.array, _decoded(data))], ["seq", "lba", "op", "pba"])
+                        at += k
+
+    rows = parts.repartition(max(1, parts.count())).mapInArrow(run, "seq long, lba long, op int, pba long")
+    gone = (F.col("op") == WRITE) & (F.col("pba") == delete_pba)
+    return rows.select("seq", F.when(gone, DELETE).otherwise(F.col("op")).alias("op"), "lba", F.when(~gone, F.col("pba")).alias("pba"))
+
+
+def write_binary_parts(log: DataFrame, folder: str, parts: int, delete_pba: int = (1 << OP_SHIFT) - 1) -> DataFrame:
+    """A trace as so many files under a folder, in the order of seq by their names, written by the tasks; one row per file:
+    name, records and max_lba. Files that a lost task left are deleted."""
+    is_delete = F.col("op") == DELETE
+    word = F.when(is_delete, F.lit(delete_pba)).otherwise(F.coalesce("pba", F.lit(0)))
+    rows = log.select("seq", "lba", F.when(is_delete, WRITE).otherwise(F.col("op")).alias("op"), word.alias("pba"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, root = _open(folder)
+        store.create_dir(root, recursive=True)
+        name, n, top = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0, -1
+        with store.open_output_stream(f"{root}/{name}") as out:
+            for batch in batches:
+                lba, op, pba = (batch.column(k).to_numpy() for k in (1, 2, 3))
+                out.write(np.stack([lba.astype("<u8"), (op.astype("<u8") << np.uint64(OP_SHIFT)) + pba.astype("<u8")], axis=1).tobytes())
+                n, top = n + len(lba), max(top, int(lba.max(initial=-1)))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([top])], ["name", "records", "max_lba"])
+
+    done = durable(rows.repartitionByRange(parts, "seq").sortWithinPartitions("seq").mapInArrow(run, "name string, records long, max_lba long"))
+    store, root = _open(folder)
+    kept = {r.name for r in done.select("name").collect()}  # a row per file
+    for info in store.get_file_info(FileSelector(root)):
+        if info.base_name.startswith("part-") and info.base_name not in kept:
+            store.delete_file(info.path)
+    return done
+
+
 def read_binary(spark: SparkSession, path: str, delete_pba: int = (1 << OP_SHIFT) - 1) -> DataFrame:
     """Records of a binary trace in file order. A short tail ends the log; a write of `delete_pba` is a delete.
 
-    Words are unsigned: an address of 2**63 or more is refused. A file is one task; larger traces come in several files.
+    Words are unsigned: an address of 2**63 or more is refused. A file is one task, and is read by Spark, from any store;
+    read_binary_split() reads files in parts.
     """
 
     def word(at: int):
