@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidData
@@ -152,8 +152,17 @@ def _undone(codes: np.ndarray) -> np.ndarray:
     return (codes.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(codes & 1)
 
 
+def store(blocks: DataFrame, path: str) -> None:
+    """Blocks as Parquet in ranges of block_id, so that a look-up reads the row groups that hold what it asks for."""
+    blocks.repartitionByRange("block_id").sortWithinPartitions("block_id").write.mode("overwrite").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCK).parquet(path)
+
+
 def scan(blocks: DataFrame, start: int, stop: int, options: SequenceOptions = SequenceOptions()) -> DataFrame:
-    """pos and value of positions from start up to stop, both cut to the sequence. Other blocks are not read."""
+    """pos and value of positions from start up to stop, both cut to the sequence. Of stored() blocks others are not read."""
     start = max(0, start)
     some = blocks.where(F.col("block_id").between(start // options.block, max(start, stop - 1) // options.block))
     return decode(some, options).where((F.col("pos") >= start) & (F.col("pos") < stop))

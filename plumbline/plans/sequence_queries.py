@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.bits import bit_width, byte_key, unzigzag, zigzag
 from ..operators import monotone_set as E
 from ..operators import sequence_codec as C
 from ..operators.trace_analytics import patched_width
-from ..session import table
+from ..session import shared_dir, table
 from . import map_queries
 from .ordering import positions, running_sum
 
@@ -63,7 +65,10 @@ def pc_get(spark, sf_dir):
 
 
 def pc_range(spark, sf_dir):
-    return C.scan(C.encode(prices(spark, sf_dir)), 1000, 1500)
+    """A range of a stored sequence."""
+    path = f"{shared_dir(spark)}/sequence-{uuid.uuid4().hex}"
+    C.store(C.encode(prices(spark, sf_dir)), path)
+    return C.scan(C.stored(spark, path), 1000, 1500)
 
 
 def pc_reverse(spark, sf_dir):

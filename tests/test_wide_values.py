@@ -218,3 +218,12 @@ def test_slopes_of_greedy_segments_are_whole_numbers():
         return count
 
     assert [A.greedy_segments(lba, pba, e) for e in (1, 64, 1 << 40)] == [plain(e) for e in (1, 64, 1 << 40)]
+
+
+def test_a_range_of_stored_blocks_is_pushed_down(spark, tmp_path):
+    seq = spark.range(5000).select(F.col("id").alias("pos"), (F.col("id") * 3).alias("value"))
+    C.store(C.encode(seq), str(tmp_path / "blocks"))
+    part = C.scan(C.stored(spark, str(tmp_path / "blocks")), 1000, 1300)
+    assert sorted((r.pos, r.value) for r in part.collect()) == [(k, 3 * k) for k in range(1000, 1300)]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(block_id,7)" in plan and "LessThanOrEqual(block_id,10)" in plan
