@@ -75,7 +75,7 @@ class Model:
     temperature: float
     threshold: float
     #: Log-frequencies in units like the table's, by language the usual mean, and the variance: constant, by 1 / n-grams.
-    usual: np.ndarray | None = None
+    usual: np.ndarray
     center: np.ndarray | None = None
     variance: tuple[float, float] = (1.0, 0.0)
     unusual: float = -np.inf
@@ -116,23 +116,15 @@ class Model:
 
     def decide(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether a text is rejected."""
-        lang, score = self.predict(column)
         if not self.languages:
-            return lang, score, np.ones(len(column), dtype=bool)
-        gone = np.asarray([x == "und" for x in lang], dtype=bool) | (score < self.threshold)
-        if self.usual is not None and self.unusual > -np.inf:
-            _, best, usual, count = self.judged(column)
-            gone |= self.strangeness(best, usual, count) < self.unusual
-        return lang, score, gone
-
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+            return ["und"] * len(column), np.zeros(len(column)), np.ones(len(column), dtype=bool)
         letters = pc.fill_null(pc.match_substring_regex(column.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-        if not self.languages:
-            return ["und"] * len(column), np.zeros(len(column))
-        p = _softmax(self.logits(column) / self.temperature)
-        best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
+        p, best, usual, count = self.judged(column)
         score = np.where(letters, p[np.arange(len(p)), best], 0.0)
-        return [self.languages[k] if ok else "und" for k, ok in zip(best, letters)], score
+        gone = ~letters | (score < self.threshold)
+        if self.unusual > -np.inf:
+            gone |= self.strangeness(best, usual, count) < self.unusual
+        return [self.languages[k] if ok else "und" for k, ok in zip(best, letters)], score, gone
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -216,7 +208,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, se
     got = sorted(_sample(docs, chosen, per_language).collect(), key=lambda r: (r.doc_id, r.part))
     languages = sorted({r.lang for r in got})
     if not languages:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), dtype=np.int32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), dtype=np.int32), np.zeros(0), 1.0, 0.0, np.zeros((1 << BUCKET_BITS, 0), dtype=np.int32))
     known = {lang: k for k, lang in enumerate(languages)}
     x = [(np.frombuffer(r.bucket, "<u4").astype(np.int64), np.frombuffer(r.weight, "<f4").astype(np.float64)) for r in got]
     y = np.asarray([known[r.lang] for r in got])

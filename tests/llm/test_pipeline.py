@@ -71,3 +71,27 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_clashing_columns_and_long_texts(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["the", "ing", "on", "er"]) for _ in range(rng.randint(1, 3))) for _ in range(200)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    a, b, c, long = text(60), text(50), text(40), text(200_000)
+    near = [*a[:30], "another", *a[31:]]
+    leak = [*text(20), *(item := text(15)), *text(20)]
+    join = " ".join
+    rows = [(1, join(a)), (1, join(a)), (1, join(b)), (2, join(near)), (3, join(long)), (4, join(long) + " more"), (None, join(c)), (5, join(leak)), (5, join(c[:20])), (6, None)]
+    made = [(d, t, "en", "s", len(t or ""), k, f"m{k}", {"k": k}) for k, (d, t) in enumerate(rows)]
+    spark.createDataFrame(made, f"{SCHEMA}, _gone int, _mark string, node map<string, int>").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    kept = sorted((str(r.doc_id), len(r.text)) for r in docs.collect())
+    assert kept == sorted([("1", len(join(a))), ("1", len(join(b))), ("3", len(join(long))), ("None", len(join(c))), ("5", len(join(c[:20])))])
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 4
