@@ -192,11 +192,12 @@ def _shared_tokens(docs: DataFrame, places, buckets: int, width: int, percent: i
                 token, node, size, place = (np.concatenate(x) for x in (tokens, nodes, sizes, at))
                 bucket = (token >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in range(buckets):
-                    some = order[edge[k] : edge[k + 1]]
+                bucket = bucket[order]
+                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+                for a, b in zip(cuts, cuts[1:]):
+                    some = order[a:b]
                     if len(some):
-                        rows.append((k, token[some].tobytes(), node[some].tobytes(), size[some].tobytes(), place[some].tobytes()))
+                        rows.append((int(bucket[a]), token[some].tobytes(), node[some].tobytes(), size[some].tobytes(), place[some].tobytes()))
             # Very frequent shingles are as good as certain to be shared: their rows are dealt by node.
             for values, node, n, rare in late:
                 k, bucket = len(values), -1 - int.from_bytes(node[:8], "little") % buckets
