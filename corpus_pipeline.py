@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontamination, exact_dedup, language, ngram_join, packing
-from plumbline.llm.common import written
+from plumbline.llm.common import bounded_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter and those below the calibrated score go."""
+    """Documents whose language is told; those without a letter and those below a calibrated limit go."""
+    bounded_batches(spark)
     return language.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space."""
+    bounded_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group linked by 5-word shingles at 0.8 or more."""
+    bounded_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage within the edit distance of a benchmark item."""
+    bounded_batches(spark)
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, with_ids=False).drop("ids")
 
 

@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Parts kept per worker before the dictionary starts anew, and the longest part that is kept.
-CACHE_PARTS, CACHE_CHARS = 500_000, 48
+CACHE_PARTS, CACHE_CHARS = 200_000, 48
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A run of Latin letters that an ASCII character other than a letter, or the end, follows: a piece of its own.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,25 @@ def batches_of(spark: SparkSession, rows: int, mega: int = 4) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, mega: int = 4) -> None:
+    """The limits of batches_of() for the rest of the session: for tables of texts that are only described here and
+    computed by whoever writes them. Lower limits that are set already stay."""
+    for name, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mega << 20)):
+        now = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
+        if not 0 < now <= limit:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(limit))
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches a task makes; when they end, what its worker has freed goes back to the system, as workers are used
+    again by tasks of other kinds."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and nothing else, so that extra columns with clashing names cannot get in the way."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import columns
+from .common import columns, trimmed
 from .flat import flat_bytes, mixed, shingles, slices, words
 
 EDITS, LEAST_WORDS, BLOCK_ITEMS, BLOCK_CHARS = 0.2, 8, 50_000, 20_000_000
@@ -298,7 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, bloc
                 rows = [(doc[r], index.ids[i], s, s + m, d) for r, i, s, m, d in index.matches(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], [x.split()[0] for x in _MATCH.split(", ")])
 
-        one = columns(docs, "doc_id", "text").mapInArrow(run, _MATCH)
+        one = columns(docs, "doc_id", "text").mapInArrow(lambda b, run=run: trimmed(run(b)), _MATCH)
         found = one if found is None else found.unionByName(one)
     return docs.sparkSession.createDataFrame([], _MATCH) if found is None else found
 
@@ -314,7 +314,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, bloc
                 leaks = {m[0] for m in index.matches(batch.column(place))}
                 yield batch.filter(pa.array([r not in leaks for r in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lambda b, run=run: trimmed(run(b)), docs.schema)
     return docs
 
 

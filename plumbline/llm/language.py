@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, columns, durable, mark
+from .common import columns, durable, mark, trimmed
 from .flat import flat_bytes
 
 #: The bound of the training sample: documents of each language, and languages.
@@ -293,7 +293,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang, score, gone = model.decide(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return columns(docs, "doc_id", "text").mapInArrow(lambda b: trimmed(run(b)), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -307,7 +307,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 part = batch.slice(a, 1000)
                 yield part.filter(pa.array(~model.decide(part.column(place))[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: trimmed(run(b)), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, durable, mark, marked, one_each, release, small, written
+from .common import batches_of, discard, durable, mark, marked, one_each, release, small, trimmed, written
 from .flat import mixed, shingles, slices, words
 from .graph import components
 
@@ -125,7 +125,7 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
 
     with batches_of(docs.sparkSession, _BATCH):
         schema = "id long, doc_id long, mark long, node binary, n long, slice int, counts binary"
-        return written(_identified(docs).mapInArrow(run, schema), "shingles")
+        return written(_identified(docs).mapInArrow(lambda b: trimmed(run(b)), schema), "shingles")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -270,8 +270,8 @@ def _shared_tokens(docs: DataFrame, places, buckets: int, width: int, percent: i
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     with batches_of(spark, _BATCH):
-        made = _identified(docs).mapInArrow(prefixes, packed)
-        tokens = written(made.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, schema), "tokens")
+        made = _identified(docs).mapInArrow(lambda b: trimmed(prefixes(b)), packed)
+        tokens = written(made.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: trimmed(shared(b)), schema), "tokens")
     release(spark)
     return tokens
 
@@ -452,7 +452,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     flat = flat.withColumn("role", F.when((F.col("role") == 0) & ~F.col("query"), 2).when((F.col("role") == 2) & F.col("query"), 3).otherwise(F.col("role")))
     flat = flat.select("token", "a", "b", "role", "node", "n", "component", "path")
     dealt_rows = flat.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
-    return dealt_rows.mapInArrow(run, "pivot binary, node binary, n long, pn long")
+    return dealt_rows.mapInArrow(lambda b: trimmed(run(b)), "pivot binary, node binary, n long, pn long")
 
 
 def trie_links(pivot: np.ndarray, members: list[tuple[bytes, np.ndarray]], percent: int = PERCENT) -> list[bytes]:
@@ -521,7 +521,7 @@ def _of_nodes(docs: DataFrame, table: DataFrame, nodes: DataFrame, make, width:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [[]] * 2)], ["node", "value"])
 
     with batches_of(docs.sparkSession, _BATCH):
-        return written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(run, "node binary, value binary"), "sets", "none")
+        return written(_identified(docs).join(wanted, "id", "left_semi").mapInArrow(lambda b: trimmed(run(b)), "node binary, value binary"), "sets", "none")
 
 
 def _possible(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -539,7 +539,7 @@ def _possible(docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, p
     discard(bits)
     both = pairs.join(light.withColumnRenamed("value", "bits"), "node").join(light.select(F.col("node").alias("pivot"), F.col("value").alias("pivot_bits")), "pivot")
     with batches_of(docs.sparkSession, _BATCH):
-        return durable(both.select("pivot", "node", "n", "pn", "bits", "pivot_bits").mapInArrow(judge, "pivot binary, node binary, n long"))
+        return durable(both.select("pivot", "node", "n", "pn", "bits", "pivot_bits").mapInArrow(lambda b: trimmed(judge(b)), "pivot binary, node binary, n long"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -579,7 +579,7 @@ def _verified(docs: DataFrame, table: DataFrame, pairs: DataFrame, places, width
 
     sorted_rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
     with batches_of(docs.sparkSession, _BATCH):
-        links = written(sorted_rows.mapInArrow(walk, "a binary, b binary"), "links")
+        links = written(sorted_rows.mapInArrow(lambda b: trimmed(walk(b)), "a binary, b binary"), "links")
     discard(sets)
     release(docs.sparkSession)
     return links

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import default_path, encoder
-from .common import batches_of, columns, written
+from .common import batches_of, columns, trimmed, written
 
 WINDOW, END_ID = 1024, 0
 
@@ -63,7 +63,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             )
 
     with batches_of(docs.sparkSession, 2000):
-        return written(columns(docs, "doc_id", "text").mapInArrow(run, _TOKENS), "tokens")
+        return written(columns(docs, "doc_id", "text").mapInArrow(lambda b: trimmed(run(b)), _TOKENS), "tokens")
 
 
 def unpacked(ids: bytes) -> np.ndarray:
@@ -101,7 +101,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, wi
                 some = list(zip(*rows[k : k + 10_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, kinds)], names)
 
-    return tokens.mapInArrow(run, _PIECES)
+    return tokens.mapInArrow(lambda b: trimmed(run(b)), _PIECES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
