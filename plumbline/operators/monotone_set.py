@@ -7,11 +7,15 @@ as-of join, made as one window over values and targets together, so that no pair
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import NotSorted
+
 #: Values between entries of the skip table, bytes of an entry, bytes of the head.
 SKIP, SKIP_BYTES, HEAD_BYTES = 64, 4, 3
 
@@ -59,6 +63,8 @@ def encode(values: list[int], bound: int = 4096) -> bytes:
     n = len(values)
     if not n:
         return b"\0"
+    if min(values) < 0 or any(a > b for a, b in zip(values, values[1:])):
+        raise NotSorted("a set to be encoded ascends from 0 up")
     low = int(math.log2(bound // n)) if bound > n else 0
     v = np.asarray(values, dtype=np.int64)
     upper = np.zeros(n + (bound >> low) + 1, dtype=np.uint8)
@@ -70,6 +76,31 @@ def encode(values: list[int], bound: int = 4096) -> bytes:
     return bytes([low]) + len(up).to_bytes(2, "little") + up + down + skips
 
 
+def encode_sets(sets: DataFrame, bound: int = 4096) -> DataFrame:
+    """grp, n and data, the Elias-Fano bytes of each group's distinct values; a group has at most `bound` of them."""
+    lists = sets.groupBy("grp").agg(F.array_sort(F.collect_set(F.col("value").cast("long"))).alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array([encode(v, bound) for v in values], pa.binary())], ["grp", "n", "data"])
+
+    return lists.mapInArrow(run, f"grp {sets.schema['grp'].dataType.simpleString()}, n long, data binary")
+
+
+def decode_sets(encoded: DataFrame) -> DataFrame:
+    """grp, idx and value of every value of encoded sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [decode(data, n) for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], ["grp", "values"])
+
+    kind = encoded.schema["grp"].dataType.simpleString()
+    lists = encoded.select("grp", "n", "data").mapInArrow(run, f"grp {kind}, values array<long>")
+    return lists.select("grp", F.posexplode("values").alias("idx", "value")).withColumn("idx", F.col("idx").cast("long"))
+
+
 def decode(data: bytes, n: int) -> list[int]:
     if not n or len(data) < HEAD_BYTES:
         return []

@@ -130,13 +130,23 @@ def ef_predecessor(spark, sf_dir):
     return E.predecessor(_sets(spark, sf_dir), reads)
 
 
+def ef_roundtrip(spark, sf_dir):
+    """The sets as Elias-Fano bytes, and back."""
+    return E.decode_sets(E.encode_sets(_sets(spark, sf_dir)))
+
+
+def ef_bytes(spark, sf_dir):
+    """The bytes that the sets take, by encoding them."""
+    return E.encode_sets(_sets(spark, sf_dir)).select("grp", "n", F.length("data").cast("long").alias("bytes"))
+
+
 def ef_iter(spark, sf_dir):
     return E.iterate(_sets(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     pc_block_line, pc_residuals, pc_width_choice, pc_exceptions, pc_roundtrip, pc_roundtrip_offsets, pc_get, pc_range, pc_reverse, pc_stats, pc_size,
-    pfor_width_search, byte_key_u64, ef_size, ef_select, ef_predecessor, ef_iter,
+    pfor_width_search, byte_key_u64, ef_size, ef_select, ef_predecessor, ef_iter, ef_roundtrip, ef_bytes,
 )} | {"zigzag": zigzag_codes, "bit_width": bit_widths}
 
 _OFFSETS = "seq AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, CAST(sum(coalesce(n_chars, 0)) OVER (ORDER BY doc_id) AS BIGINT) AS value FROM documents)"
@@ -191,3 +201,4 @@ SQL = {
         SELECT t.grp, t.target, max(sets.idx) AS idx, max(sets.value) AS value FROM t LEFT JOIN sets ON t.grp = sets.grp AND sets.value <= t.target GROUP BY t.grp, t.target""",
     "ef_iter": f"WITH {_SETS} SELECT grp, idx, value FROM sets",
 }
+SQL |= {"ef_roundtrip": SQL["ef_iter"], "ef_bytes": SQL["ef_size"]}

@@ -82,3 +82,11 @@ def test_lines_take_one_segment_and_outliers_are_bridged():
     assert len(segments) == 1 and outliers == [50]
     steps = M.encode_values(list(range(2000)), [12345 * k for k in range(2000)], MapOptions())
     assert steps[0] == M.SEGMENTS and M.decode_values(*steps[:2], *steps[3:9])[1917] == 12345 * 1917
+
+
+def test_sets_that_do_not_ascend_are_refused():
+    from plumbline.errors import NotSorted
+
+    for values in ([3, 1], [-1, 4]):
+        with pytest.raises(NotSorted):
+            E.encode(values)
