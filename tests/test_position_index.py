@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import position_index as P
 from plumbline.options import IndexOptions
@@ -50,11 +51,22 @@ def test_lookup_and_lower_bound(spark, name):
     assert index.count_hits(asked(spark, probes + probes)).first().hits == 2 * sum(p in first for p in probes)
 
 
+def test_audit_counts_repeated_keys_each(spark):
+    keys = sorted([*range(0, 900, 3), *[30] * 70, *[33] * 2, 900])
+    index = made(spark, keys, epsilon=4)
+    audit = index.audit().first()
+    assert (audit.keys, audit.violations) == (len(keys), 0)
+    # Lines that are 100 positions off: each row of a key is a violation.
+    moved = P.PositionIndex(index.data.withColumn("pos", F.col("pos") + 100), index.segments, IndexOptions(4)).audit().first()
+    assert (moved.keys, moved.violations) == (len(keys), len(keys)) and moved.max_error >= 96
+
+
 def test_empty(spark):
     index = made(spark, [], epsilon=8)
     assert index.stats().first().asDict() == {"len": 0, "segments": 0, "avg_segment_size": 0.0, "index_bytes": 4, "total_bytes": 4}
     assert index.predict(asked(spark, [1])).first().pred is None
     assert index.lookup(asked(spark, [1])).first().pos is None
+    assert index.audit().first().asDict() == {"keys": 0, "violations": 0, "max_error": 0, "avg_error": 0.0}
 
 
 def test_more_tolerance_needs_no_more_segments(spark):
