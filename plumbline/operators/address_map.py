@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ HEAD_WORD_BYTES, STORAGE_BYTES = 8, 16
 
 SEGMENT = "struct<start:int,len:int,base:bigint,slope:bigint,width:int,packed:binary>"
 GROUP = f"grp long, mode string, n int, offsets binary, base long, width int, packed binary, segs array<{SEGMENT}>, out_at array<int>, out_value array<long>, bytes long"
+_NAMES = [x.split()[0] for x in GROUP.split(", ")]
+_WORD = "struct<" + ",".join(x.replace(" ", ":", 1) for x in GROUP.split(", ")[1:]) + ">"
+#: A group of values of more than 64 bits: the lower 64 bits and what is above them, each encoded as a group's values are.
+WIDE_GROUP = f"grp long, low {_WORD}, high {_WORD}"
 
 
 def group_of(lba: Column, options: MapOptions = MapOptions()) -> Column:
@@ -208,9 +213,7 @@ def _arrow(schema: str, spark) -> pa.Schema:
 def encode(state: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
     """A row per group that holds anything: see GROUP. Groups are at most `options.group` entries, so a task holds little."""
     schema = _arrow(GROUP, state.sparkSession)
-    value = F.col("pba").cast("decimal(20,0)") if options.unsigned else F.col("pba").cast("long")
-    lists = state.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((F.col("lba") - F.col("grp") * options.group).alias("offset"), value.alias("pba")))).alias("e"))
-    lists = lists.select("grp", F.transform("e", lambda x: x["offset"]).alias("offsets"), F.transform("e", lambda x: x["pba"]).alias("values"))
+    lists = _lists(state, "decimal(20,0)" if options.unsigned else "long", options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,6 +223,34 @@ def encode(state: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
     return lists.mapInArrow(run, GROUP)
 
 
+def _lists(state: DataFrame, kind: str, options: MapOptions) -> DataFrame:
+    """grp, offsets and values of every group, by offset."""
+    value = F.col("pba").cast(kind)
+    lists = state.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((F.col("lba") - F.col("grp") * options.group).alias("offset"), value.alias("pba")))).alias("e"))
+    return lists.select("grp", F.transform("e", lambda x: x["offset"]).alias("offsets"), F.transform("e", lambda x: x["pba"]).alias("values"))
+
+
+def encode_wide(state: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
+    """encode() of whole numbers of either sign of up to 38 digits: see WIDE_GROUP. What is above the lower 64 bits is kept
+    plus 2**63."""
+    schema, words = _arrow(WIDE_GROUP, state.sparkSession), replace(options, unsigned=True)
+
+    def word(offsets: list[int], values: list[int]) -> dict:
+        return dict(zip(_NAMES[1:], encode_values(offsets, values, words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, low, high = [], [], []
+            for g, offsets, values in zip(*(c.to_pylist() for c in batch.columns)):
+                values = [int(x) for x in values]
+                grp.append(g)
+                low.append(word(offsets, [x & ((1 << 64) - 1) for x in values]))
+                high.append(word(offsets, [(x >> 64) + (1 << 63) for x in values]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((grp, low, high), schema)], schema.names)
+
+    return _lists(state, "decimal(38,0)", options).mapInArrow(run, WIDE_GROUP)
+
+
 def _places(offsets: bytes, n: int, options: MapOptions) -> np.ndarray:
     """The places of a group's entries."""
     return unpack_bits(offsets, 12, n).astype(np.int64) if options.group <= 4096 else np.frombuffer(offsets, dtype="<u4").astype(np.int64)
@@ -248,6 +279,26 @@ def decode(groups: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
     return _as_values(groups.mapInArrow(run, "lba long, pba long"), options)
 
 
+def decode_wide(groups: DataFrame, options: MapOptions = MapOptions()) -> DataFrame:
+    """lba and pba, DECIMAL(38,0), of every entry of groups from encode_wide()."""
+
+    def values(w: dict) -> np.ndarray:
+        return decode_values(*(w[c] for c in ("mode", "n", "base", "width", "packed", "segs", "out_at", "out_value")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[np.zeros(0, np.int64)] for _ in range(3)]
+            for grp, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                out[0].append(grp * options.group + _places(low["offsets"], low["n"], options))
+                out[1].append(values(low))
+                out[2].append(values(high) ^ np.int64(-1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["lba", "pba", "high"])
+
+    df = _as_values(groups.mapInArrow(run, "lba long, pba long, high long"), replace(options, unsigned=True))
+    whole = F.expr(f"cast(high * cast('{1 << 64}' AS decimal(20,0)) + pba AS decimal(38,0))")
+    return df.select("lba", whole.alias("pba"))
+
+
 def _field(packed: bytes, k: int, width: int) -> int:
     """The k-th of packed numbers of `width` bits, from the bytes it lies in."""
     at = k * width
@@ -271,8 +322,6 @@ def get(groups: DataFrame, probes: DataFrame, options: MapOptions = MapOptions()
     ask for it, and of a group only the entries asked for are decoded."""
     asked = probes.select("lba").where("lba IS NOT NULL").distinct().withColumn("grp", group_of(F.col("lba"), options))
     asked = asked.groupBy("grp").agg(F.collect_list("lba").alias("asked"))
-    names = [x.split()[0] for x in GROUP.replace(SEGMENT, "s").split(", ")][:-1]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lba, pba = [], []
@@ -285,7 +334,7 @@ def get(groups: DataFrame, probes: DataFrame, options: MapOptions = MapOptions()
                     pba.append(decode_one(k, mode, base, width, packed, segs, at, value) if there else None)
             yield pa.RecordBatch.from_arrays([pa.array(lba, pa.int64()), pa.array(pba, pa.int64())], ["lba", "pba"])
 
-    both = asked.join(groups, "grp", "left").select("asked", *names)
+    both = asked.join(groups, "grp", "left").select("asked", *_NAMES[:-1])
     return _as_values(both.mapInArrow(run, "lba long, pba long"), options)
 
 

@@ -140,10 +140,11 @@ def map_get_small(spark, sf_dir):
 
 
 def group_roundtrip_u64(spark, sf_dir):
-    """Unsigned values far apart: 2**64 - 1 less a multiple of the squares."""
-    wide = MapOptions(group=64, unsigned=True)
-    state = live(spark, sf_dir, wide).withColumn("pba", F.expr(f"cast('{(1 << 64) - 1}' AS decimal(20,0)) - pba * pba * 1000003"))
-    return M.decode(M.encode(state, wide), wide).select("lba", F.col("pba").cast("string").alias("pba"))
+    """Values far apart: 2**64 - 1 less a multiple of the squares, in a long log below zero and of more than 64 bits."""
+    options = MapOptions(group=64)
+    square = "cast(pba AS decimal(19,0)) * cast(pba AS decimal(19,0))"
+    state = live(spark, sf_dir, options).withColumn("pba", F.expr(f"cast('{(1 << 64) - 1}' AS decimal(20,0)) - {square} * 1000003"))
+    return M.decode_wide(M.encode_wide(state, options), options).select("lba", F.col("pba").cast("string").alias("pba"))
 
 
 def sorted_map(spark, sf_dir):

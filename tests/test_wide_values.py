@@ -4,9 +4,11 @@ import bisect
 import random
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import catalogue
 from plumbline.operators import address_map as M
 from plumbline.operators import position_index as P
 from plumbline.operators import sequence_codec as C
@@ -163,6 +165,25 @@ def test_values_below_zero_are_refused(spark):
         M.encode(df).collect()
 
 
+@pytest.mark.parametrize("group", [64, 4096])
+def test_maps_of_more_than_64_bits_and_either_sign(spark, group):
+    state = {k: v for name, some in enumerate(states().values()) for k, v in ((k + name * 100_000, v) for k, v in some.items())}
+    state |= {10**6: -1, 10**6 + 1: -(10**37), 10**6 + 2: 10**37, 10**6 + 3: 1 << 64, 10**6 + 4: -(1 << 64), 10**6 + 5: 0}
+    state |= {2 * 10**6 + k: ALL - (6_000_000 + k) ** 2 * 1000003 for k in range(200)}
+    df = spark.createDataFrame([(k, Decimal(v), k // group) for k, v in state.items()], "lba long, pba decimal(38,0), grp long").repartition(3)
+    options = MapOptions(group=group)
+    assert {r.lba: int(r.pba) for r in M.decode_wide(M.encode_wide(df, options), options).collect()} == state
+
+
+def test_the_u64_query_over_a_long_log(spark, tmp_path):
+    rows = [(n, "signup", n % 700, '{"k": 3}') for n in (*range(5), 2_999_999, 4_294_967, 6_000_000, 40_000_000, 10**12)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = [tuple(r) for r in catalogue.queries()["group_roundtrip_u64"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(catalogue.oracle_sql()["group_roundtrip_u64"]).fetchall())
+
+
 def test_reports_over_segments(spark, tmp_path):
     state = states()["lines"]
     options = MapOptions(group=1024, epsilon=64)
