@@ -25,6 +25,7 @@ reported, and of wide ones with the same start the shortest; repeated rows and i
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,6 +45,8 @@ BREAKS[128:] = BREAKS[48:58] = BREAKS[65:91] = BREAKS[97:123] = False
 
 #: Windows compared at a time.
 _WINDOWS = 20_000
+#: Windows whose walks are held at a time.
+_ROWS = 2048
 
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -108,25 +111,43 @@ def masks(item: np.ndarray) -> dict[int, int]:
 
 
 def signatures(sequences: np.ndarray, length: np.ndarray, size: int, seed: int = 3) -> np.ndarray:
-    """LSH keys of rows of symbols (padded to a common width): one column per table. `size` is the item's length."""
+    """LSH keys of rows of symbols (padded to a common width): one column per table. `size` is the item's length. All walks
+    go on together, over _ROWS rows at a time."""
     rows, width = sequences.shape
     rng = np.random.default_rng([seed, size])
-    out = np.zeros((rows, WALKS * TABLES), dtype=np.uint64)
-    every = np.arange(rows)
+    picks: dict[int, list[tuple[int, int]]] = {}
     for walk in range(WALKS):
-        picks: dict[int, list[int]] = {}
         for t in range(TABLES):
             for step in rng.choice(3 * size, min(SAMPLED, 3 * size), replace=False).tolist():
-                picks.setdefault(step, []).append(t)
-        at = np.zeros(rows, dtype=np.int64)
-        keys = np.full((rows, TABLES), np.uint64(size * 64 + walk), dtype=np.uint64)
+                picks.setdefault(step, []).append((walk, t))
+    out = np.repeat(np.arange(WALKS, dtype=np.uint64) + np.uint64(size * 64), TABLES)[:, None] * np.ones(rows, dtype=np.uint64)
+    salt = (np.arange(WALKS, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(seed))[:, None]
+    for k in range(0, rows, _ROWS):
+        some = sequences[k : k + _ROWS]
+        # A column of pads behind the longest row, where walks beyond the end stay.
+        padded = np.full((len(some), width + 1), _PAD, dtype=np.uint64)
+        np.copyto(padded[:, :width], some, where=np.arange(width) < length[k : k + _ROWS, None])
+        flat, stop = padded.ravel(), np.arange(1, len(some) + 1) * (width + 1) - 1
+        at = np.tile(stop - width, (WALKS, 1))
         for step in range(max(picks) + 1):
-            symbol = np.where(at < length, sequences[every, np.minimum(at, width - 1)], _PAD)
-            for t in picks.get(step, ()):
-                keys[:, t] = mixed(keys[:, t] * np.uint64(0x9E3779B97F4A7C15) + symbol + np.uint64(t + 1))
-            at += (mixed(symbol + np.uint64(seed + walk * 1_000_003 + step * 7919)) >> np.uint64(63)).astype(np.int64)
-        out[:, walk * TABLES : (walk + 1) * TABLES] = keys
-    return out
+            symbol = flat.take(at)
+            for walk, t in picks.get(step, ()):
+                key = out[walk * TABLES + t, k : k + _ROWS]
+                key[:] = mixed(key * np.uint64(0x9E3779B97F4A7C15) + symbol[walk] + np.uint64(t + 1))
+            symbol += salt + np.uint64(step * 7919)
+            at += _top_bit(symbol).view(np.int64)
+            np.minimum(at, stop, out=at)
+    return out.T
+
+
+def _top_bit(x: np.ndarray) -> np.ndarray:
+    """The highest bit of mixed(), made in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x >>= np.uint64(63)
+    return x
 
 
 def allowed(n: int, edits: float) -> int:
@@ -247,6 +268,8 @@ class Index:
                     seen = near.setdefault((int(row[w]), i), {})
                     seen[w] = seen.get(w, 0) + 1
         for (r, i), seen in near.items():
+            if self.wide:
+                seen = {w: seen[w] for w in self._possible(i, sorted(seen, key=lambda w: start[w]), start, left, width, grid)}
             # Windows that agree in most tables first: an exact copy agrees in all and ends the search.
             for w in sorted(seen, key=lambda w: (-seen[w], start[w])):
                 known = best.get((r, i))
@@ -263,6 +286,27 @@ class Index:
                     best[r, i] = (d, int(start[w]), int(length[w]))
 
 
+    def _possible(self, i: int, every: list[int], start: np.ndarray, left: np.ndarray, width: np.ndarray, grid: np.ndarray) -> list[int]:
+        """Of wide windows of one row, by start, those in which the item can be. Windows that overlap are gone through as one
+        text: where it holds no close end, no window in it does."""
+        n, most, room, out = len(self.items[i]), allowed(len(self.items[i]), self.edits), (grid.shape[1] - len(self.items[i])) // 2, []
+        at = [int(x) for x in start[every] - left[every]]
+        k = 0
+        while k < len(every):
+            begin, upto, text, first = at[k], at[k], [], k
+            while k < len(every) and at[k] <= upto:
+                w, stop = every[k], at[k] + int(width[every[k]])
+                if stop > upto:
+                    a = room - int(left[w])
+                    text += grid[w, a + upto - at[k] : a + stop - at[k]].tolist()
+                    upto = stop
+                k += 1
+            ends = [begin + j for j, d in enumerate(edit_distances(self.masks[i], n, text, True)) if d <= most]
+            if ends:
+                out += [every[j] for j in range(first, k) if (e := bisect_left(ends, at[j])) < len(ends) and ends[e] < at[j] + width[every[j]]]
+        return out
+
+
 def index_of(items: list[tuple[int, str]], edits: float = EDITS, wide: bool = False) -> Index:
     data, starts = flat_bytes(pa.array([t for _, t in items], pa.string()))
     word, first, _ = words(data, starts, BREAKS)

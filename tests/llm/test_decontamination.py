@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from plumbline.llm import decontamination as D
@@ -151,3 +152,36 @@ def test_blocks_are_bounded_by_text(spark, monkeypatch):
     assert len(list(D._blocks(bench, 1000))) == len(items)
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(frame, bench).collect()}
     assert got <= set(brute(items, docs)) and len(got) >= 0.9 * len(brute(items, docs))
+
+
+def test_walks_agree_with_a_plain_version():
+    rng = np.random.default_rng(5)
+    for rows, width, size in ((1, 1, 1), (40, 9, 9), (D._ROWS + 3, 12, 14)):
+        sequences, length = rng.integers(0, 2**63, (rows, width), dtype=np.uint64), rng.integers(0, width + 1, rows)
+        got, picker = D.signatures(sequences, length, size), np.random.default_rng([3, size])
+        picks = [[picker.choice(3 * size, min(D.SAMPLED, 3 * size), replace=False).tolist() for _ in range(D.TABLES)] for _ in range(D.WALKS)]
+        whole = (1 << 64) - 1
+        for r in sorted({0, rows // 2, rows - 1}):
+            for walk in range(D.WALKS):
+                at, keys = 0, [size * 64 + walk] * D.TABLES
+                for step in range(3 * size):
+                    symbol = int(sequences[r, at]) if at < length[r] else int(D._PAD)
+                    for t in range(D.TABLES):
+                        if step in picks[walk][t]:
+                            keys[t] = int(D.mixed(np.uint64((keys[t] * 0x9E3779B97F4A7C15 + symbol + t + 1) & whole)[None])[0])
+                    at += int(D.mixed(np.uint64((symbol + 3 + walk * 1_000_003 + step * 7919) & whole)[None])[0]) >> 63
+                assert got[r, walk * D.TABLES : (walk + 1) * D.TABLES].tolist() == keys
+
+
+def test_a_near_miss_is_gone_through_once(monkeypatch):
+    item = [f"w{k}" for k in range(40)]
+    miss = [w if k % 5 else f"x{k}" for k, w in enumerate(item)]  # 8 edits are within, so two more are added
+    miss[7:7], miss[22:22] = ["y"], ["z"]
+    texts = [" ".join(miss), " ".join(["a", "b", *item, "c"]), " ".join(miss + ["f"] * 90 + item[:20] + ["g"] + item[20:])]
+    index = D.index_of([(1, " ".join(item))], wide=True)
+    calls, plain = [], D.best_window
+    monkeypatch.setattr(D, "best_window", lambda *a: calls.append(1) or plain(*a))
+    found = index.matches(pa.array(texts))
+    assert [(r, s, m, d) for r, _, s, m, d in found] == [(1, 2, 40, 0), (2, 132, 41, 1)]
+    calls.clear()
+    assert index.matches(pa.array(texts[:1] * 20)) == [] and not calls
