@@ -12,6 +12,7 @@ and hit counts do not use it: they join the probes with the keys, and no segment
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,45 +25,66 @@ from pyspark.sql.types import DecimalType
 from ..functions.bits import byte_key, signed
 from ..options import IndexOptions
 from ..plans.ordering import as_of, positions
+from ..session import shared_dir
 
 #: Bins of the look-up table: four per segment, within these limits.
 LEAST_BINS, MOST_BINS = 1024, 1 << 20
 SEGMENT_BYTES, BIN_BYTES = 48, 4
 
 SEGMENT = "min_key long, max_key long, slope double, start_idx long, end_idx long"
+_COLUMNS = [x.split()[0] for x in SEGMENT.split(", ")]
 _CHUNK = 4096
+#: Keys that one task of an exact fit sorts and goes through.
+EXACT_ROWS = 2_000_000
 
 
-def fit_segments(keys: np.ndarray, first_pos: int, epsilon: int) -> list[tuple[int, int, float, int, int]]:
-    """Greedy shrinking-cone segments of ascending keys at consecutive positions.
+class Greedy:
+    """Shrinking-cone segments of ascending keys at consecutive positions, which may come in parts.
 
     From its first key a segment goes on while one slope keeps all positions within epsilon. Chunks of keys are tested
-    at once: running extremes of the slopes' bounds cross where the cone closes.
+    at once: running extremes of the slopes' bounds cross where the cone closes. What is kept from part to part is the
+    open segment: its first and last key, the cone, and its positions.
     """
-    out, a, n = [], 0, len(keys)
-    while a < n:
-        low, high, b = -np.inf, np.inf, a + 1
+
+    def __init__(self, epsilon: int, begun: tuple[int, int, float, float, int, int] | None = None):
+        self.epsilon, self.begun = epsilon, begun
+
+    def add(self, keys: np.ndarray, first_pos: int) -> list[tuple[int, int, float, int, int]]:
+        """The segments that end before the last of the keys."""
+        out = self.close() if self.begun and self.begun[5] != first_pos else []
+        b, n = 0, len(keys)
         while b < n:
+            if self.begun is None:
+                self.begun = (int(keys[b]), int(keys[b]), -np.inf, np.inf, first_pos + b, first_pos + b + 1)
+                b += 1
+                continue
+            first, _, low, high, start, _ = self.begun
             stop = min(n, b + _CHUNK)
             # Keys ascend, so a difference that does not fit a signed number wraps to the right unsigned one.
-            dk = (keys[b:stop] - keys[a]).view(np.uint64).astype(np.float64)
-            di = np.arange(b - a, stop - a, dtype=np.float64)
+            dk = (keys[b:stop] - np.asarray([first], dtype=np.int64)).view(np.uint64).astype(np.float64)
+            di = np.arange(first_pos + b - start, first_pos + stop - start, dtype=np.float64)
             same = dk == 0
             with np.errstate(divide="ignore", invalid="ignore"):
-                lows = np.maximum.accumulate(np.where(same, -np.inf, (di - epsilon) / dk))
-                highs = np.minimum.accumulate(np.where(same, np.inf, (di + epsilon) / dk))
+                lows = np.maximum.accumulate(np.where(same, -np.inf, (di - self.epsilon) / dk))
+                highs = np.minimum.accumulate(np.where(same, np.inf, (di + self.epsilon) / dk))
             # A run of the first key is held by its start alone: it may be epsilon long.
-            bad = np.flatnonzero((np.maximum(lows, low) > np.minimum(highs, high)) | (same & (di > epsilon)))
+            bad = np.flatnonzero((np.maximum(lows, low) > np.minimum(highs, high)) | (same & (di > self.epsilon)))
             k = int(bad[0]) if len(bad) else stop - b
             if k:
-                low, high = max(low, lows[k - 1]), min(high, highs[k - 1])
+                self.begun = (first, int(keys[b + k - 1]), max(low, float(lows[k - 1])), min(high, float(highs[k - 1])), start, first_pos + b + k)
             b += k
             if len(bad):
-                break
+                out += self.close()
+        return out
+
+    def close(self) -> list[tuple[int, int, float, int, int]]:
+        """The open segment, if there is one."""
+        if self.begun is None:
+            return []
+        first, last, low, high, start, end = self.begun
         slope = (low + high) / 2 if np.isfinite(low) and np.isfinite(high) else (max(low, 0.0) if np.isfinite(low) else 0.0)
-        out.append((int(keys[a]), int(keys[b - 1]), float(slope), first_pos + a, first_pos + b))
-        a = b
-    return out
+        self.begun = None
+        return [(first, last, float(slope), start, end)]
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -228,25 +250,48 @@ def positioned(df: DataFrame, key: str = "key") -> DataFrame:
 
 def fitted(data: DataFrame, options: IndexOptions, unsigned: bool = False) -> PositionIndex:
     """The index over data that has positions."""
-    epsilon = options.epsilon
+    segments = _exact(data, options.epsilon) if options.exact else _pass(data.repartitionByRange("pos").sortWithinPartitions("pos"), options.epsilon)
+    segments = segments.select(*_COLUMNS, F.col("start_idx").alias("seg_id"))
+    return PositionIndex(data, segments.persist(), options, unsigned)
+
+
+def _pass(dealt: DataFrame, epsilon: int, begun: tuple | None = None, last: bool = True) -> DataFrame:
+    """The segments of each partition's keys, by position, and whether they are still open. A partition goes on with the
+    segment that is begun, and leaves its last one open unless it is the last. What is held is a batch of keys."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One partition's keys, ascending; what is held is the numbers, 16 bytes a row.
-        key, pos = [], []
+        greedy = Greedy(epsilon, begun)
         for batch in batches:
-            key.append(batch.column(0).to_numpy())
-            pos.append(batch.column(1).to_numpy())
-        rows = []
-        if key:
-            key, pos = np.concatenate(key), np.concatenate(pos)
+            key, pos = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(pos) != 1) + 1).tolist(), len(pos)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    rows += fit_segments(key[a:b], int(pos[a]), epsilon)
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], [x.split()[0] for x in SEGMENT.split(", ")])
-
-    dealt = data.coalesce(1).sortWithinPartitions("pos") if options.exact else data.repartitionByRange("pos").sortWithinPartitions("pos")
-    segments = dealt.mapInArrow(fit, SEGMENT)
-    segments = segments.withColumn("seg_id", F.col("start_idx"))
-    return PositionIndex(data, segments.persist(), options, unsigned)
+            rows = [r for a, b in zip(cuts, cuts[1:]) if b > a for r in greedy.add(key[a:b], int(pos[a]))]
+            yield made([(*r, None, None, False) for r in rows])
+        if last or greedy.begun is None:
+            yield made([(*r, None, None, False) for r in greedy.close()])
+        else:
+            first, top, low, high, start, end = greedy.begun
+            yield made([(first, top, 0.0, start, end, low, high, True)])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], [*_COLUMNS, "low", "high", "open"])
+
+    return dealt.select("key", "pos").mapInArrow(fit, f"{SEGMENT}, low double, high double, open boolean")
+
+
+def _exact(data: DataFrame, epsilon: int) -> DataFrame:
+    """The segments of one greedy pass over all keys. More than EXACT_ROWS are written by blocks of positions, and a task
+    for each block, one after another, goes on with the segment that the block before left open."""
+    spark, rows = data.sparkSession, data.count()
+    if rows <= EXACT_ROWS:
+        return _pass(data.coalesce(1).sortWithinPartitions("pos"), epsilon)
+    folder, blocks = f"{shared_dir(spark)}/exact-fit-{uuid.uuid4().hex}", -(-rows // EXACT_ROWS)
+    data.select("key", "pos", F.expr(f"pos div {EXACT_ROWS}L").alias("block")).write.partitionBy("block").parquet(f"{folder}/keys")
+    begun = None
+    for block in range(blocks):
+        keys = spark.read.schema("key long, pos long").parquet(f"{folder}/keys/block={block}").coalesce(1).sortWithinPartitions("pos")
+        done = f"{folder}/segments/block={block}"
+        _pass(keys, epsilon, begun, block == blocks - 1).write.parquet(done)
+        r = spark.read.parquet(done).where("open").first()
+        begun = r and (r.min_key, r.max_key, r.low, r.high, r.start_idx, r.end_idx)
+    return spark.read.parquet(f"{folder}/segments").where("NOT open")

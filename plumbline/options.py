@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class IndexOptions:
-    """epsilon: largest error of a predicted position; values below 1 count as 1. exact: one task fits all keys, so that
-    the segments are those of a single greedy pass."""
+    """epsilon: largest error of a predicted position; values below 1 count as 1. exact: the
+    segments are those of a single greedy pass over all keys, block after block."""
 
     epsilon: int = 32
     exact: bool = False

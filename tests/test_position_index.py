@@ -84,3 +84,36 @@ def test_save_and_load(spark, tmp_path):
     index.save(str(tmp_path))
     again = P.PositionIndex.load(spark, str(tmp_path), IndexOptions(4))
     assert again.lookup(asked(spark, [5])).first().pos == 5
+
+
+@pytest.mark.parametrize("rows", [97, 1000, 10**6])
+def test_an_exact_fit_in_blocks_is_that_of_one_pass(spark, monkeypatch, rows):
+    rng = np.random.default_rng(8)
+    keys = np.concatenate([np.arange(700), 700 + np.cumsum(rng.integers(0, 60, 1500)), np.full(200, 10**6), [2**62, 2**63 - 1]])
+    low = np.concatenate([[-(2**63)], keys])
+    monkeypatch.setattr(P, "EXACT_ROWS", rows)
+    for epsilon in (1, 32):
+        got = made(spark, rng.permutation(low), epsilon=epsilon, exact=True).segments.orderBy("start_idx").collect()
+        # A plain version: from each start as far as one slope reaches.
+        want, a = [], 0
+        while a < len(low):
+            lo, hi, b = -np.inf, np.inf, a + 1
+            while b < len(low):
+                dk, di = float(int(low[b]) - int(low[a])), b - a
+                if dk == 0 and di > epsilon:
+                    break
+                x, y = (max(lo, (di - epsilon) / dk), min(hi, (di + epsilon) / dk)) if dk else (lo, hi)
+                if x > y:
+                    break
+                lo, hi, b = x, y, b + 1
+            want.append((int(low[a]), int(low[b - 1]), a, b))
+            a = b
+        assert [(r.min_key, r.max_key, r.start_idx, r.end_idx) for r in got] == want and len(want) > 5
+
+
+def test_an_exact_fit_sorts_blocks_alone(spark, monkeypatch):
+    taken, plain = [], P._pass
+    monkeypatch.setattr(P, "EXACT_ROWS", 100)
+    monkeypatch.setattr(P, "_pass", lambda dealt, *a: taken.append(dealt.count()) or plain(dealt, *a))
+    assert made(spark, range(1050), exact=True).stats().first().segments == 1
+    assert taken == [100] * 10 + [50]
