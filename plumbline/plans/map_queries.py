@@ -242,17 +242,22 @@ def op_pivot(spark, sf_dir):
     return A.pivot_report(n, "range", "kind", "n", ["reads", "writes", "deletes"])
 
 
+#: Rows of a file of the streamed log, about.
+STREAM_ROWS = 500_000
+
+
 def stream_equals_batch(spark, sf_dir):
-    """The log as a stream of four files, by hash and so out of order, each a micro-batch that is merged into a table in
-    the shared folder; its final state."""
+    """The log as a stream in four parts, by hash and so out of order, each a micro-batch of one file or more that is merged
+    into a table in the shared folder; its final state."""
     import uuid
 
     from ..streaming.map_stream import MergedTable, merge_stream
 
     folder = f"{shared_dir(spark)}/map-stream-{uuid.uuid4().hex}"
     every = log(spark, sf_dir)
-    every.repartition(4, "seq").write.parquet(f"{folder}/log")
-    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    files = max(1, -(-every.count() // (4 * STREAM_ROWS)))
+    every.repartition(4 * files, "seq").write.parquet(f"{folder}/log")
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/log")
     merged = MergedTable(spark, f"{folder}/table")
     merge_stream(stream, merged, f"{folder}/checkpoint").awaitTermination()
     return merged.state()

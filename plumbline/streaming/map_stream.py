@@ -17,6 +17,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.address_map import group_of, last_operations
 from ..options import MapOptions
 
+#: New rows of a bucket that a task takes, about.
+PART_ROWS = 1_000_000
+
 STATE = "lba long, seq long, pba long, grp long"
 
 
@@ -64,16 +67,19 @@ class MergedTable:
         known = self._listed(lists[-1]) if lists else {}
         new = last_operations(batch, self.options).withColumn("grp", group_of(F.col("lba"), self.options)).persist()
         try:
-            bucket = F.pmod("grp", F.lit(self.buckets)).cast("int")
-            touched = {r[0] for r in new.select(bucket).distinct().collect()}
+            bucket = F.pmod("grp", F.lit(self.buckets)).cast("int").alias("bucket")
+            touched = {r.bucket: r.n for r in new.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()}
             old = self._read({k: v for k, v in known.items() if k in touched})
-            both = new.select("lba", "seq", "pba", "grp").unionByName(old)
-            last = both.groupBy("lba", "grp").agg(F.max("seq").alias("seq"), F.max_by(F.struct("pba"), "seq").alias("v"))
-            out = last.select("lba", "seq", F.col("v.pba").alias("pba"), "grp", bucket.alias("bucket"))
+            both = new.select("lba", "seq", "pba", "grp").unionByName(old).withColumn("bucket", bucket)
+            # Rows are dealt by bucket, so that a task writes whole files, and a bucket with many new rows to more tasks.
+            part = F.pmod(F.xxhash64("lba"), F.lit(1 + max(touched.values(), default=0) // PART_ROWS)).alias("part")
+            dealt = both.withColumn("part", part).repartition("bucket", "part")
+            last = dealt.groupBy("bucket", "part", "lba", "grp").agg(F.max("seq").alias("seq"), F.max_by(F.struct("pba"), "seq").alias("v"))
+            out = last.select("lba", "seq", F.col("v.pba").alias("pba"), "grp", "bucket")
             out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch_id}")
         finally:
             new.unpersist()
-        where = known | {k: batch_id for k in touched}
+        where = known | dict.fromkeys(touched, batch_id)
         listed = self.spark.createDataFrame(sorted(where.items()), "bucket int, written long")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list/batch={batch_id}")
         self._clean([*lists[-1:], batch_id])

@@ -1,9 +1,12 @@
 import random
 import struct
 
+import pytest
+
 from plumbline.operators import address_map as M
 from plumbline.options import MapOptions
 from plumbline.sources import traces as T
+from plumbline.streaming import map_stream
 from plumbline.streaming.map_stream import MergedTable, keyed_stream, merge_stream
 
 LOG = "seq long, op int, lba long, pba long"
@@ -99,6 +102,33 @@ def test_merged_stream_in_any_order_equals_batch(spark, tmp_path):
     assert held(table.state()) == want
 
 
+@pytest.mark.parametrize("rows", [10**6, 5])
+def test_a_merged_bucket_is_one_file_unless_it_is_large(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(map_stream, "PART_ROWS", rows)
+    log = [(k, 1 + k % 7 // 6, k * 50 % 30_000, k) for k in range(1, 900)]
+    table = MergedTable(spark, str(tmp_path / "table"), buckets=4)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that few rows are dealt to all tasks
+    try:
+        merge_stream(_stream(spark, tmp_path, log), table, str(tmp_path / "checkpoint")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "table" / "data").glob("batch=*/bucket=*")]
+    assert max(files) == 1 if rows > 100 else max(files) > 1
+    assert held(table.state()) == shadow(log)
+
+
+def test_a_log_of_many_files_is_streamed_in_four_batches(spark, monkeypatch):
+    from plumbline.plans import map_queries
+
+    data, plain, batches = "/root/testdata/sf0.001", MergedTable.merge_batch, []
+    monkeypatch.setattr(map_queries, "STREAM_ROWS", 60)
+    monkeypatch.setattr(MergedTable, "merge_batch", lambda self, batch, n: batches.append(n) or plain(self, batch, n))
+    got = {(r.lba, r.pba, r.grp) for r in map_queries.stream_equals_batch(spark, data).collect()}
+    assert got == {(r.lba, r.pba, r.grp) for r in map_queries.lww_map(spark, data).collect()}
+    assert batches == [0, 1, 2, 3]
+
+
 def test_keyed_stream_equals_batch(spark, tmp_path):
     rows = operations(200, seed=7, top=12)
     want = shadow(rows)
